@@ -1,7 +1,7 @@
 """Language identification by compression.
 
 Each language's raw-content zstandard dictionary is a bounded sample of its labelled texts. A text belongs to the language whose
-dictionary compresses it to the fewest bytes; a narrow margin over the second language rejects the decision.
+dictionary compresses it to the fewest bytes; a narrow margin over the second language rejects the decision. Case is folded first.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ class Settings:
 
 
 def learn(labelled: DataFrame, settings: Settings = Settings(), text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
-    """A dictionary for each non-null language of ``labelled``; rows with null or letterless text teach nothing.
+    """A dictionary for each non-null language of ``labelled``, the commonest language first; rows with null or letterless text teach nothing.
 
     The sample is the same on every run: rows of the smallest hash of their key, by a threshold set from the language's count, so
     at most about ``sample_rows`` rows a language reach the driver whatever the table holds."""
@@ -46,7 +46,8 @@ def learn(labelled: DataFrame, settings: Settings = Settings(), text: str = "tex
     found: dict[str, list] = {k: [] for k in counts}
     for r in rows.where(F.col("h") < least[F.col("l")]).collect():
         found[r["l"]].append((r["h"], r["t"]))
-    return {k: b"\n".join(t.encode() for _, t in sorted(v)[: settings.sample_rows])[: settings.dict_bytes] for k, v in sorted(found.items()) if v}
+    order = sorted((k for k, v in found.items() if v), key=lambda k: (-counts[k], k))
+    return {k: b"\n".join(t.lower().encode() for _, t in sorted(found[k])[: settings.sample_rows])[: settings.dict_bytes] for k in order}
 
 
 class Judge:
@@ -60,16 +61,16 @@ class Judge:
             self.by[name] = zstandard.ZstdCompressor(level=settings.level, dict_data=own, write_content_size=False, write_dict_id=False)
 
     def sizes(self, raw: bytes) -> list[tuple[int, str]]:
-        """(bytes, language), smallest first, ties by name."""
+        """(bytes, language), smallest first, ties to the commoner language."""
         step = self.settings.chunk
         parts = [raw[i : i + step] for i in range(0, len(raw), step)]
-        return sorted((sum(len(c.compress(p)) for p in parts), name) for name, c in self.by.items())
+        return sorted(((sum(len(c.compress(p)) for p in parts), name) for name, c in self.by.items()), key=lambda x: x[0])
 
     def __call__(self, raw: bytes | None) -> tuple[str, float, bool]:
         """Language, score and whether the margin is too narrow."""
-        if not raw or not self.by or not LETTER.search(raw.decode("utf-8", "replace")):
+        if not raw or not self.by or not LETTER.search(shown := raw.decode("utf-8", "replace")):
             return "und", 0.0, True
-        sizes = self.sizes(raw)
+        sizes = self.sizes(shown.lower().encode())
         if len(sizes) == 1:
             return sizes[0][1], 1.0, False
         best, second = sizes[0][0], sizes[1][0]
@@ -80,7 +81,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], settings: Settings
     """A row per document: key, ``lang_pred``, ``score`` (how much smaller the best size is than the second, 0 to 1), ``rejected``.
 
     Null, empty and letterless texts are ``und`` with score 0, rejected; so is every text where no language was learned. Equal sizes
-    take the language first by name, with score 0. Whole texts are compressed, chunk by chunk. Repeated rows give repeated results,
+    take the language with more labelled rows, with score 0. Whole texts are compressed, chunk by chunk. Repeated rows give repeated results,
     other columns are not read, an empty table gives an empty result. ``held_out`` names a boolean column to carry."""
     kept: dict = {}
 

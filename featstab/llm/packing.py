@@ -30,11 +30,11 @@ class Settings:
     are optimised together."""
 
     window: int = 1024
-    sentence_cost: float = 4.0
-    cut_cost: float = 12.0
-    window_cost: float = 4.0
-    gap: int = 64
-    short: int = 64
+    sentence_cost: float = 1.0
+    cut_cost: float = 4.0
+    window_cost: float = 1.0
+    gap: int = 32
+    short: int = 128
     block: int = 1 << 18
 
 
