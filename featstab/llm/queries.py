@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language import op6_compression_language
+from .mixing import OP3_SQL, op3_curriculum_mix
 from .packing import op5_order_preserving_packing
 from .quality import op8_compression_bands
 from .simhash import op9_simhash_tiles
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_order_preserving_packing, op6_compression_language, op8_compression_bands, op9_simhash_tiles)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_curriculum_mix, op5_order_preserving_packing, op6_compression_language, op8_compression_bands, op9_simhash_tiles)}
+ORACLE_SQL: dict[str, str] = {"op3_curriculum_mix": OP3_SQL}
