@@ -12,7 +12,8 @@ from .mixing import OP3_SQL, op3_curriculum_mix
 from .packing import op5_order_preserving_packing
 from .pii import op1_feistel_pseudonyms
 from .quality import op8_compression_bands
+from .repeats import op4_run_length_index
 from .simhash import op9_simhash_tiles
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_feistel_pseudonyms, op3_curriculum_mix, op5_order_preserving_packing, op6_compression_language, op8_compression_bands, op9_simhash_tiles, op10_kneser_ney)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_feistel_pseudonyms, op3_curriculum_mix, op4_run_length_index, op5_order_preserving_packing, op6_compression_language, op8_compression_bands, op9_simhash_tiles, op10_kneser_ney)}
 ORACLE_SQL: dict[str, str] = {"op3_curriculum_mix": OP3_SQL}
