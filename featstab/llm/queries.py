@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op2_kmeans_tree
 from .language import op6_compression_language
 from .lm import op10_kneser_ney
 from .mixing import OP3_SQL, op3_curriculum_mix
@@ -14,6 +15,7 @@ from .pii import op1_feistel_pseudonyms
 from .quality import op8_compression_bands
 from .repeats import op4_run_length_index
 from .simhash import op9_simhash_tiles
+from .warc import OP7_SQL, op7_sharded_warc
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_feistel_pseudonyms, op3_curriculum_mix, op4_run_length_index, op5_order_preserving_packing, op6_compression_language, op8_compression_bands, op9_simhash_tiles, op10_kneser_ney)}
-ORACLE_SQL: dict[str, str] = {"op3_curriculum_mix": OP3_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_feistel_pseudonyms, op2_kmeans_tree, op3_curriculum_mix, op4_run_length_index, op5_order_preserving_packing, op6_compression_language, op7_sharded_warc, op8_compression_bands, op9_simhash_tiles, op10_kneser_ney)}
+ORACLE_SQL: dict[str, str] = {"op3_curriculum_mix": OP3_SQL, "op7_sharded_warc": OP7_SQL}
