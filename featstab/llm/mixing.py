@@ -82,7 +82,7 @@ def scheduled(rows: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
 
     A document's start in its source is a two-level sum: rows fall into about sqrt(n) intervals of the random number; interval
     totals are summed along the source and rows within their interval, so neither window grows with a hot source but as a root."""
-    sources = demand(rows, plan)
+    sources = keep(demand(rows, plan), "sources")  # a row per source; its known size lets Spark broadcast it where that is small
     placed = rows.join(sources, rows["_source"].eqNullSafe(sources["_source"])).drop("_source")
     placed = placed.withColumn("_bin", F.floor(F.col("_h") * F.ceil(F.sqrt(F.col("_n").cast("double"))) / F.lit(float(1 << 32))))
     bins = placed.groupBy("_rank", "_bin").agg(F.sum("_size").alias("_sum"))
