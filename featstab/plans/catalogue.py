@@ -493,7 +493,13 @@ def _subtypes(spark, sf):
     for name, groups in (("Luminal", ["Luminal A", "Luminal B"]), ("HER2", ["Her2"]), ("TNBC", ["TNBC"])):
         part = _pairs(spark, sf, groups=tuple(groups)).withColumn("subtype", F.lit(name))
         out = part if out is None else out.unionByName(part)
-        return replication.c1_c2(out, ["subtype"]).join(replication.direction(out, ["subtype"]).drop("n"), "subtype")
+    return out
+
+
+@query
+def subtype_replication(spark, sf):
+    out = _subtypes(spark, sf)
+    return replication.c1_c2(out, ["subtype"]).join(replication.direction(out, ["subtype"]).drop("n"), "subtype")
 
 
 @query
