@@ -31,7 +31,7 @@ from .lm import dealt, pack, scattered, unpack
 
 #: Bytes of the k-grams that can be anchors; positions taken at a time; contents from which on an anchor counts as frequent;
 #: bytes of distinct segments in an index, about; entries that a task holds before it hands them on.
-GRAM, STRETCH, FREQUENT, INDEX, HELD = 24, 1 << 20, 2048, 2 << 20, 500_000
+GRAM, STRETCH, FREQUENT, INDEX, HELD = 24, 1 << 20, 1024, 1 << 20, 500_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 LOW = np.uint64((1 << 24) - 1)
 
@@ -115,9 +115,13 @@ class RunIndex:
         order = np.argsort(seven)
         rank, depth, longest = cls._ranks(seven, order), 7, int(np.diff(ends, prepend=0).max())
         while depth < longest and int(rank.max()) < n - 1:
-            key = rank << np.uint64(32) | shifted(rank + np.uint64(1), depth)
+            if n < 1 << 21:  # three ranks fit a key
+                more = rank + np.uint64(1)
+                key, depth = rank << np.uint64(42) | shifted(more, depth) << np.uint64(21) | shifted(more, 2 * depth), 3 * depth
+            else:
+                key, depth = rank << np.uint64(32) | shifted(rank + np.uint64(1), depth), 2 * depth
             order = np.argsort(key)
-            rank, depth = cls._ranks(key, order), 2 * depth
+            rank = cls._ranks(key, order)
         order = np.argsort(rank << np.uint64(32) | np.arange(n, dtype=np.uint64))  # what is left equal ends in different separators
         last = np.where(order > 0, symbol[order - 1], 0)
         breaks = np.concatenate([[True], (last[1:] != last[:-1]) | (last[1:] == 0)])
