@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kept import once
 from ..functions.scalars import rounded
-from ..operators import attribution, cohort, consensus, enrichment, metrics, preprocess, replication, splits, stability
+from ..operators import attribution, cohort, consensus, enrichment, metrics, models, preprocess, replication, splits, stability
 from ..sources import tables
 from . import study
 from .study import FOLD, KS, N_BOOT, N_SPLITS, SEED, Study
@@ -656,3 +656,66 @@ def document_cohort_metrics(spark, sf):
     rows = tables.load(spark, sf, "documents").join(tables.load(spark, sf, "labels"), "doc_id").where(F.size(words) > 0)
     score = F.round(F.size(F.array_distinct(words)) / F.size(words), 6)
     return metrics.classification(rows.select(F.col("doc_id").alias("sample_id"), F.col("quality").alias("y"), score.alias("score"), (score > 0.4).cast("int").alias("pred"), F.lit("documents").alias("cohort")), ["cohort"])
+
+
+#: Smaller ensembles than the defaults, so that a query takes seconds.
+CONFIGS = [
+    {"id": "logreg", "model": "logreg", "explainers": ("coef", "shap", "perm")},
+    {"id": "svm", "model": "svm", "explainers": ("coef", "shap", "perm")},
+    {"id": "rf", "model": "rf", "explainers": ("shap", "perm", "support"), "parameters": {"n_trees": 20}},
+    {"id": "xgb", "model": "xgb", "explainers": ("shap", "perm", "support"), "parameters": {"n_trees": 40}},
+    {"id": "ttest_lr", "model": "logreg", "top": 5},
+    *({"id": f"logreg_C{c:g}", "model": "logreg", "explainers": ("coef",), "parameters": {"C": c}} for c in (0.01, 0.1, 10.0, 100.0)),
+]
+
+
+@once
+def fits(spark, sf):
+    """Every model on every fold."""
+    s = the_study(spark, sf)
+    return models.fit_folds(models.packed(s.train_z, s.test_z), CONFIGS)
+
+
+@query
+def model_cv_metrics(spark, sf):
+    """Logistic regression, squared-hinge machine, forest, boosted trees, t-test top-k regression: metrics pooled by repeat."""
+    return metrics.classification(models.predictions(fits(spark, sf)), ["config", "repeat"])
+
+
+@query
+def model_rankings(spark, sf):
+    rows = models.attributions(fits(spark, sf)).where("explainer <> 'support'").withColumn("importance", F.round("importance", 9))
+    return attribution.ranked(rows, ("config", "explainer", *FOLD)).where("importance > 0 and rank <= 10")
+
+
+@query
+def tree_support(spark, sf):
+    return models.attributions(fits(spark, sf)).where("explainer = 'support'").groupBy("config", *FOLD).agg(F.sum("importance").cast("long").alias("n_used"))
+
+
+@query
+def model_stability(spark, sf):
+    """Stability dimensions of the fitted models, the regularisation settings among them."""
+    rows = models.attributions(fits(spark, sf)).where("explainer <> 'support'").withColumn("importance", F.round("importance", 9))
+    ranked = attribution.ranked(rows, ("config", "explainer", *FOLD)).withColumn("pipeline", F.concat_ws("|", "config", "explainer"))
+    model = F.when(F.col("config").startswith("logreg"), "logreg").otherwise(F.col("config"))
+    pipes = ranked.select("pipeline", "explainer", model.alias("model"), F.when(F.col("config").startswith("logreg_C"), "sensitivity").otherwise("primary").alias("role"), F.lit(0).alias("position")).distinct()
+    return stability.repeat_level(stability.members(ranked, KS), pipes, D)
+
+
+@query
+def c_grid_rank_agreement(spark, sf):
+    """Spearman of absolute coefficients with those at C = 1, per setting and fold."""
+    rows = models.attributions(fits(spark, sf)).where("explainer = 'coef' and config like 'logreg%'").select("config", *FOLD, "gene", F.round("importance", 9).alias("importance"))
+    ref = rows.where("config = 'logreg'").select(*FOLD, "gene", F.col("importance").alias("reference"))
+    return replication.spearman(rows.join(ref, [*FOLD, "gene"]), "importance", "reference", ["config", *FOLD])
+
+
+@query
+def frozen_lr_transfer(spark, sf):
+    """A regression on the frozen genes of the discovery half, applied to the external units after their own scaling."""
+    genes = frozen(spark, sf).where("in_S_top25").select("gene")
+    shown = lambda rows: replication.within_cohort_z(rows.join(genes, "gene", "left_semi")).withColumn("repeat", F.lit(0)).withColumn("fold", F.lit(0))
+    units = shown(ext(spark, sf).withColumn("sample_id", F.pmod(F.xxhash64("sample_id"), F.lit(1 << 62))))
+    found = models.fit_folds(models.packed(shown(disc(spark, sf)), units), [CONFIGS[0] | {"explainers": ()}])
+    return metrics.classification(models.predictions(found), ["config"])

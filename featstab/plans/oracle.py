@@ -9,7 +9,7 @@ TOL = "1e-9::DOUBLE"
 
 STEPS: dict[str, str] = {
     "cohort": """SELECT vec_id AS sample_id, u.p AS p, 'P' || lpad(u.p::VARCHAR, 2, '0') || '_at' AS probe_id, 'G' || (u.p % 24)::VARCHAR AS gene,
-        CASE WHEN label = 0 THEN 0 ELSE 1 END AS y,
+        (CASE WHEN label = 0 THEN 0 ELSE 1 END)::BIGINT AS y,
         greatest(embedding[u.p + 1]::DOUBLE + CASE WHEN u.p < 6 THEN (CASE WHEN u.p % 2 = 0 THEN 0.15::DOUBLE ELSE -0.15::DOUBLE END) * (CASE WHEN label = 0 THEN 0 ELSE 1 END)
           WHEN u.p >= 56 THEN -0.45::DOUBLE ELSE 0.0::DOUBLE END, -0.15::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(64)) AS p) u""",
     "samples": "SELECT DISTINCT sample_id, y FROM cohort",
@@ -18,7 +18,7 @@ STEPS: dict[str, str] = {
         CASE WHEN p_partkey % 11 = 0 THEN '---' WHEN p_partkey % 13 = 0 THEN '' WHEN p_partkey % 7 = 0 THEN 'G' || (p_partkey % 24) || '///G' || (p_partkey % 5) ELSE ' G' || (p_partkey % 500) || ' ' END AS symbol,
         (p_partkey % 500)::VARCHAR AS entrez FROM part""",
     "usable": "SELECT probe_id, trim(symbol) AS gene, entrez FROM annotation WHERE trim(symbol) NOT IN ('', '---') AND NOT contains(symbol, '///') AND NOT starts_with(probe_id, 'AFFX')",
-    "titles": """SELECT o_orderkey AS sample_id, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS y,
+    "titles": """SELECT o_orderkey AS sample_id, (CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END)::BIGINT AS y,
         'Breast cancer, T' || o_orderkey || CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE strftime(o_orderdate, '_%d_%m_%y') END AS title FROM orders""",
     "months": r"SELECT sample_id, y, CASE WHEN regexp_matches(title, '_(\d{1,2})_(\d{1,2})_(\d{2})$') THEN regexp_extract(title, '_(\d{1,2})_(\d{1,2})_(\d{2})$', 3) || '-' || lpad(regexp_extract(title, '_(\d{1,2})_(\d{1,2})_(\d{2})$', 2), 2, '0') END AS month FROM titles",
     "described": """SELECT d.doc_id AS sample_id, CASE WHEN d.doc_id % 41 = 0 THEN 'unknown' WHEN quality = 1 THEN ' Breast Cancer' ELSE 'normal breast' END AS tissue,
@@ -33,7 +33,7 @@ STEPS: dict[str, str] = {
 
 def _units(where: str) -> str:
     return f"""SELECT CASE WHEN sample_group = 'Healthy' THEN sample_id::VARCHAR ELSE split_part(title, '_', 1) END AS unit_id, probe_id, gene, min(sample_group) AS subtype,
-        max(CASE WHEN sample_group = 'Healthy' THEN 0 ELSE 1 END) AS y, count(DISTINCT sample_id) AS n_arrays, avg(x) AS x FROM arrays WHERE sample_group <> 'CellLine' {where} GROUP BY 1, 2, 3"""
+        max(CASE WHEN sample_group = 'Healthy' THEN 0 ELSE 1 END)::BIGINT AS y, count(DISTINCT sample_id) AS n_arrays, avg(x) AS x FROM arrays WHERE sample_group <> 'CellLine' {where} GROUP BY 1, 2, 3"""
 
 
 STEPS |= {"units": _units(""), "units_a": _units("AND NOT ends_with(title, '_repB')")}
@@ -99,8 +99,8 @@ def _chain(p: str, cohort: str, repeats: int, seed: int, rule: str = "mean") ->
         f"{p}rankings": f"""SELECT *, row_number() OVER (PARTITION BY pipeline, {f} ORDER BY importance DESC, gene) AS rank FROM (SELECT 'mdiff|coef' AS pipeline, 'coef' AS explainer, * FROM {p}coef UNION ALL SELECT 'mdiff|shap', 'shap', * FROM {p}shap
             UNION ALL SELECT 'mdiff|perm', 'perm', * FROM {p}perm UNION ALL SELECT 'auc|coef', 'coef', * FROM {p}aucimp UNION ALL SELECT 'ttest|ttest', 'ttest', * FROM {p}tt)""",
         f"{p}tt_rank": f"SELECT 'ttest|ttest' AS pipeline, *, row_number() OVER (PARTITION BY {f} ORDER BY importance DESC, gene) AS rank FROM {p}tt",
-        f"{p}sets": f"SELECT k, pipeline, {f}, gene FROM {p}rankings, (VALUES (5), (10)) v(k) WHERE rank <= k AND importance > 0",
-        f"{p}tt_sets": f"SELECT k, pipeline, {f}, gene FROM {p}tt_rank, (VALUES (5), (10)) v(k) WHERE rank <= k AND importance > 0",
+        f"{p}sets": f"SELECT k, pipeline, {f}, gene FROM {p}rankings, (VALUES (5::BIGINT), (10::BIGINT)) v(k) WHERE rank <= k AND importance > 0",
+        f"{p}tt_sets": f"SELECT k, pipeline, {f}, gene FROM {p}tt_rank, (VALUES (5::BIGINT), (10::BIGINT)) v(k) WHERE rank <= k AND importance > 0",
         f"{p}pred": f"""SELECT {f}, sample_id, y, round({sigmoid("f")}, 9) AS score, CASE WHEN f > 0 THEN 1 ELSE 0 END AS pred FROM (SELECT z."repeat", z.fold, sample_id, y, round(sum(w * z), 9) AS f FROM {p}test_z z JOIN {p}w w ON {on('z', 'w')} AND z.gene = w.gene GROUP BY 1, 2, 3, 4)""",
     }
 
@@ -124,7 +124,7 @@ for _b in range(3):
     STEPS[f"labels{_b}"] = STEPS["permuted0"].replace(":777:0:", f":777:{_b}:")
     STEPS[f"cohort{_b}"] = f"SELECT c.* REPLACE (l.y AS y) FROM cohort c JOIN labels{_b} l USING (sample_id)"
     STEPS |= _chain(f"n{_b}_", f"cohort{_b}", 1, SEED + 100_000 * (1 + _b))
-STEPS["null_sets"] = " UNION ALL ".join(f'SELECT k, pipeline, {b} AS "repeat", fold, gene FROM n{b}_tt_sets' for b in range(3))
+STEPS["null_sets"] = " UNION ALL ".join(f'SELECT k, pipeline, {b}::BIGINT AS "repeat", fold, gene FROM n{b}_tt_sets' for b in range(3))
 
 
 def _groups() -> str:
@@ -319,7 +319,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "missing_probes": (f"SELECT probe_id FROM usable WHERE probe_id NOT IN (SELECT probe_id FROM {_LINES.format(0)} WHERE NOT starts_with(probe_id, '1'))", ""),
     "annotation_profile": ("SELECT (SELECT count(*) FROM usable) AS n_probes, (SELECT count(DISTINCT gene) FROM usable) AS n_genes, (SELECT count(DISTINCT entrez) FROM usable) AS n_entrez, count(*) FILTER (p >= 2) AS genes_ge2, count(*) FILTER (p >= 5) AS genes_ge5, count(*) FILTER (e > 1) AS genes_multi_entrez FROM (SELECT gene, count(*) AS p, count(DISTINCT entrez) AS e FROM usable GROUP BY 1)", ""),
     "first_entrez": ("SELECT gene, arg_min(entrez, probe_id) AS entrez FROM usable GROUP BY 1", ""),
-    "derive_labels": ("SELECT sample_id, CASE t WHEN 'breast cancer' THEN 1 ELSE 0 END AS y FROM tissues WHERE t IN ('breast cancer', 'normal breast')", ""),
+    "derive_labels": ("SELECT sample_id, (CASE t WHEN 'breast cancer' THEN 1 ELSE 0 END)::BIGINT AS y FROM tissues WHERE t IN ('breast cancer', 'normal breast')", ""),
     "label_violations": ("SELECT sample_id, 'tissue' AS field FROM tissues WHERE t NOT IN ('breast cancer', 'normal breast') UNION ALL SELECT sample_id, field FROM (SELECT sample_id, t, unnest(['source_name', 'title', 'description']) AS field, unnest([contains(lower(source_name), 'cancer'), starts_with(lower(title), 'breast cancer'), contains(lower(description), 'cancer')]) AS says FROM tissues WHERE t IN ('breast cancer', 'normal breast')) WHERE says <> (t = 'breast cancer')", ""),
     "processing_month": ("SELECT sample_id, month FROM months", ""),
     "subset_month": ("SELECT sample_id, y FROM months WHERE month = '95-03'", ""),
@@ -329,7 +329,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "stratified_folds": ("SELECT * FROM folds", ""),
     "fold_balance": (f"SELECT {_F}, y, count(*) AS n FROM folds GROUP BY ALL", ""),
     "fold_overlap_check": ('SELECT DISTINCT t."repeat", t.fold, t.sample_id FROM train t JOIN folds f ON t.sample_id = f.sample_id AND t."repeat" = f."repeat" AND t.fold = f.fold', ""),
-    "too_small_classes": ("SELECT label AS y, count(*) AS n FROM embeddings GROUP BY 1 HAVING count(*) < 60 OR label NOT IN (0, 1)", ""),
+    "too_small_classes": ("SELECT label::BIGINT AS y, count(*) AS n FROM embeddings GROUP BY 1 HAVING count(*) < 60 OR label NOT IN (0, 1)", ""),
     "permuted_labels": ("SELECT * FROM permuted0", ""),
     "permutation_table": ("SELECT * FROM moves", ""),
     "bootstrap_weights": ("SELECT * FROM weights", ""),

@@ -1,0 +1 @@
+"""Nothing streams: the study's inputs are finished cohorts. Runs grow by resuming them (featstab.plans.runs)."""
