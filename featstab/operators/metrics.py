@@ -18,8 +18,8 @@ def roc_auc(rows: DataFrame, by: Sequence[str], name: str = "roc_auc", weight: C
     curve = _curve(rows, by, F.col("score"), F.col("y") == 1, F.lit(1) if weight is None else weight)
     below = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     curve = curve.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0.0)))
-    sums = curve.groupBy(*by).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("c"), F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    return sums.select(*by, F.when((F.col("all_p") > 0) & (F.col("all_n") > 0), F.col("c") / (F.col("all_p") * F.col("all_n"))).alias(name))
+    sums = curve.groupBy(*by).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("_concordant"), F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    return sums.select(*by, F.when((F.col("all_p") > 0) & (F.col("all_n") > 0), F.col("_concordant") / (F.col("all_p") * F.col("all_n"))).alias(name))
 
 
 def average_precision(rows: DataFrame, by: Sequence[str], name: str, positive: int = 1, weight: Column | None = None) -> DataFrame:

@@ -93,8 +93,8 @@ def weighted_auc(rows: DataFrame, weights: DataFrame, by: Sequence[str] = ("b",
     curve = drawn.groupBy(*by, "x").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).cast("double").alias("p"), F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).cast("double").alias("n"))
     below = Window.partitionBy(*by).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     curve = curve.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0.0)))
-    sums = curve.groupBy(*by).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("c"), F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    return sums.select(*by, F.when((F.col("all_p") > 0) & (F.col("all_n") > 0), F.col("c") / (F.col("all_p") * F.col("all_n"))).alias("auc"))
+    sums = curve.groupBy(*by).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("_concordant"), F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    return sums.select(*by, F.when((F.col("all_p") > 0) & (F.col("all_n") > 0), F.col("_concordant") / (F.col("all_p") * F.col("all_n"))).alias("auc"))
 
 
 def direction(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
