@@ -37,7 +37,7 @@ def welch_t(mean1: str = "mean1", mean0: str = "mean0", var1: str = "var1", var0
 
 
 def _shown(rows: DataFrame, importance: Column, signed: Column, by: tuple[str, ...]) -> DataFrame:
-    return rows.select(*by, "gene", F.round(importance, 9).alias("importance"), F.round(signed, 9).alias("signed"))
+    return rows.select(*by, "gene", F.round(importance, 12).alias("importance"), F.round(signed, 12).alias("signed"))
 
 
 def ttest(state: DataFrame, by: tuple[str, ...] = FOLD) -> DataFrame:

@@ -20,9 +20,13 @@ PANELS = (("G1", "primary"), ("G4", "primary"), ("G9", "extended"), ("G99", "ext
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+#: Decimals of doubles; more where shares have few, which rounding to six would split at the half.
+DIGITS = {"rank_features": 9}
+
+
 def query(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(make(spark, sf_dir))
+        return rounded(make(spark, sf_dir), DIGITS.get(make.__name__, 6))
 
     run.__name__, run.__doc__ = make.__name__, make.__doc__
     QUERIES[make.__name__] = run

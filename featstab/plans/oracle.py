@@ -88,14 +88,14 @@ def _chain(p: str, cohort: str, repeats: int, seed: int, rule: str = "mean") ->
             FROM (SELECT *, row_number() OVER (PARTITION BY {f}, r ORDER BY sample_id) AS i FROM m) a
             JOIN (SELECT {f}, r, sample_id AS from_id, row_number() OVER (PARTITION BY {f}, r ORDER BY md5(concat_ws(':', '{SEED}', "repeat", fold, r, sample_id)), sample_id) AS i FROM m) b ON {on('a', 'b')} AND a.r = b.r AND a.i = b.i""",
         f"{p}brier": f'SELECT {f}, {brier(sigmoid("f"))} AS loss FROM {p}margin GROUP BY 1, 2',
-        f"{p}coef": f"SELECT {f}, gene, round(abs(w), 9) AS importance, round(w, 9) AS signed FROM {p}w",
-        f"{p}shap": f"""SELECT z."repeat", z.fold, z.gene, round(avg(abs(w * (z - c))), 9) AS importance, round(avg(w * (z - c)), 9) AS signed FROM {p}train_z z
+        f"{p}coef": f"SELECT {f}, gene, round(abs(w), 12) AS importance, round(w, 12) AS signed FROM {p}w",
+        f"{p}shap": f"""SELECT z."repeat", z.fold, z.gene, round(avg(abs(w * (z - c))), 12) AS importance, round(avg(w * (z - c)), 12) AS signed FROM {p}train_z z
             JOIN (SELECT {f}, gene, avg(z) AS c FROM {p}train_z GROUP BY 1, 2, 3) m ON {on('z', 'm')} AND z.gene = m.gene JOIN {p}w w ON {on('z', 'w')} AND z.gene = w.gene GROUP BY 1, 2, 3""",
-        f"{p}perm": f"""SELECT {f}, gene, round(CASE WHEN raw > 1e-12::DOUBLE THEN raw ELSE 0 END, 9) AS importance, round(raw, 9) AS signed FROM (SELECT l."repeat", l.fold, l.gene, avg(l) - max(loss) AS raw FROM (
+        f"{p}perm": f"""SELECT {f}, gene, round(CASE WHEN raw > 1e-12::DOUBLE THEN raw ELSE 0 END, 12) AS importance, round(raw, 12) AS signed FROM (SELECT l."repeat", l.fold, l.gene, avg(l) - max(loss) AS raw FROM (
             SELECT {f}, gene, r, {brier(sigmoid("f + (z2 - z) * w"))} AS l FROM (SELECT z."repeat", z.fold, z.gene, z.y, m.r, z.z, o.z AS z2, g.f, w.w FROM {p}train_z z JOIN {p}moves m ON {on('z', 'm')} AND z.sample_id = m.sample_id
             JOIN {p}train_z o ON {on('z', 'o')} AND z.gene = o.gene AND o.sample_id = m.from_id JOIN {p}margin g ON {on('z', 'g')} AND z.sample_id = g.sample_id JOIN {p}w w ON {on('z', 'w')} AND z.gene = w.gene) GROUP BY 1, 2, 3, 4) l JOIN {p}brier b ON {on('l', 'b')} GROUP BY 1, 2, 3)""",
-        f"{p}aucimp": f"SELECT {f}, gene, round(abs(auc - 0.5), 9) AS importance, round(auc - 0.5, 9) AS signed FROM {p}train_auc",
-        f"{p}tt": f"SELECT {f}, gene, round(abs({WELCH}), 9) AS importance, round({WELCH}, 9) AS signed FROM {p}state",
+        f"{p}aucimp": f"SELECT {f}, gene, round(abs(auc - 0.5), 12) AS importance, round(auc - 0.5, 12) AS signed FROM {p}train_auc",
+        f"{p}tt": f"SELECT {f}, gene, round(abs({WELCH}), 12) AS importance, round({WELCH}, 12) AS signed FROM {p}state",
         f"{p}rankings": f"""SELECT *, row_number() OVER (PARTITION BY pipeline, {f} ORDER BY importance DESC, gene) AS rank FROM (SELECT 'mdiff|coef' AS pipeline, 'coef' AS explainer, * FROM {p}coef UNION ALL SELECT 'mdiff|shap', 'shap', * FROM {p}shap
             UNION ALL SELECT 'mdiff|perm', 'perm', * FROM {p}perm UNION ALL SELECT 'auc|coef', 'coef', * FROM {p}aucimp UNION ALL SELECT 'ttest|ttest', 'ttest', * FROM {p}tt)""",
         f"{p}tt_rank": f"SELECT 'ttest|ttest' AS pipeline, *, row_number() OVER (PARTITION BY {f} ORDER BY importance DESC, gene) AS rank FROM {p}tt",
@@ -247,10 +247,14 @@ for _t, _z in (("d", "d_z"), ("e", "e_z")):
     STEPS[f"left_{_t}"] = f"SELECT sample_id, y, round(score - a - b * panel, 9) AS score FROM both_{_t}, (SELECT regr_slope(score, panel) AS b, regr_intercept(score, panel) AS a FROM both_{_t})"
 
 
-def assembled(select: str, doubles: str = "") -> str:
+#: Decimals where six would split shares at the half.
+DIGITS = {"rank_features": 9}
+
+
+def assembled(select: str, doubles: str = "", digits: int = 6) -> str:
     """``select`` with the steps that it needs in front, doubles rounded as the catalogue's are."""
     if doubles:
-        select = f"SELECT * REPLACE ({', '.join(f'round({d}, 6) + 0.0::DOUBLE AS {d}' for d in doubles.split())}) FROM ({select})"
+        select = f"SELECT * REPLACE ({', '.join(f'round({d}, {digits}) + 0.0::DOUBLE AS {d}' for d in doubles.split())}) FROM ({select})"
     needed: set[str] = set()
 
     def visit(sql: str) -> None:
@@ -329,7 +333,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "stratified_folds": ("SELECT * FROM folds", ""),
     "fold_balance": (f"SELECT {_F}, y, count(*) AS n FROM folds GROUP BY ALL", ""),
     "fold_overlap_check": ('SELECT DISTINCT t."repeat", t.fold, t.sample_id FROM train t JOIN folds f ON t.sample_id = f.sample_id AND t."repeat" = f."repeat" AND t.fold = f.fold', ""),
-    "too_small_classes": ("SELECT label::BIGINT AS y, count(*) AS n FROM embeddings GROUP BY 1 HAVING count(*) < 60 OR label NOT IN (0, 1)", ""),
+    "too_small_classes": ("SELECT label::BIGINT AS y, count(*) AS n FROM embeddings GROUP BY label HAVING count(*) < 60 OR label NOT IN (0, 1)", ""),
     "permuted_labels": ("SELECT * FROM permuted0", ""),
     "permutation_table": ("SELECT * FROM moves", ""),
     "bootstrap_weights": ("SELECT * FROM weights", ""),
@@ -404,4 +408,4 @@ QUERIES: dict[str, tuple[str, str]] = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: assembled(*q) for name, q in QUERIES.items()}
+    return {name: assembled(*q, DIGITS.get(name, 6)) for name, q in QUERIES.items()}
