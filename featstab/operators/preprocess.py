@@ -17,9 +17,9 @@ FOLD = ("repeat", "fold")
 def floor_state(train: DataFrame, fraction: float = 0.5, least_share: float = 0.01, by: tuple[str, ...] = FOLD) -> DataFrame:
     """by, floor, floor_share, n_minority, threshold: the smallest training value, the share of values on it, and how many samples must
     exceed it. A share under ``least_share`` means that there is no floor: floor null, threshold 0."""
-    low = train.groupBy(*by).agg(F.min("x").alias("floor"), F.count(F.lit(1)).alias("n"))
-    counts = train.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("c")).join(low, list(by))  # values repeat at the floor only
-    share = counts.groupBy(*by).agg((F.sum(F.when(F.col("x") <= F.col("floor") + TOLERANCE, F.col("c")).otherwise(0)) / F.max("n")).alias("floor_share"), F.max("floor").alias("floor"))
+    low = train.groupBy(*by).agg(F.min("x").alias("floor"))  # a row per training set
+    on_it = F.when(F.col("x") <= F.col("floor") + TOLERANCE, 1.0).otherwise(0.0)
+    share = train.join(low, list(by)).groupBy(*by).agg(F.avg(on_it).alias("floor_share"), F.max("floor").alias("floor"))
     classes = train.groupBy(*by, "y").agg(F.countDistinct("sample_id").alias("n")).groupBy(*by).agg(F.min("n").alias("n_minority"))
     found = share.join(classes, list(by))
     has = F.col("floor_share") >= least_share
