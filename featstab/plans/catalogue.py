@@ -723,3 +723,38 @@ def frozen_lr_transfer(spark, sf):
     units = shown(ext(spark, sf).withColumn("sample_id", F.pmod(F.xxhash64("sample_id"), F.lit(1 << 62))))
     found = models.fit_folds(models.packed(shown(disc(spark, sf)), units), [CONFIGS[0] | {"explainers": ()}])
     return metrics.classification(models.predictions(found), ["config"])
+
+
+@query
+def phi_by_k_pivot(spark, sf):
+    """Mean phi per group as a column for each k, beside its spread over repeats at the larger."""
+    level = stability.repeat_level(sets(spark, sf), study.pipelines(spark), D).where("dimension = 'resampling'")
+    wide = level.groupBy("group").pivot("k", list(KS)).agg(F.avg("phi")).withColumnsRenamed({str(k): f"phi_k{k}" for k in KS})
+    spread = level.where(F.col("k") == KS[-1]).groupBy("group").agg(F.min("phi").alias("low"), F.max("phi").alias("high"))
+    return wide.join(spread, "group")
+
+
+@query
+def top_genes_by_frequency(spark, sf):
+    """The genes that head the table, with every pipeline's own frequency."""
+    head = _table(spark, sf, 5).where("position <= 8").select("gene", "position")
+    freq = consensus.frequencies(the_study(spark, sf).rankings, 5)
+    return head.join(freq, "gene").groupBy("gene", "position").pivot("pipeline", ["mdiff|coef", "mdiff|shap", "mdiff|perm", "auc|coef", "ttest|ttest"]).agg(F.first("freq")).na.fill(0.0).withColumnsRenamed({p[0]: p[0].replace("|", "_") for p in study.PIPELINES})
+
+
+@query
+def performance_summary(spark, sf):
+    """Pooled metrics over repeats with the means of their bootstrap bounds."""
+    m = metrics.classification(the_study(spark, sf).predictions, ["repeat"])
+    ci = metrics.percentile_interval(_boot(spark, sf), ["repeat"], ["roc_auc", "balanced_accuracy"])
+    names = ("roc_auc", "roc_auc_lo", "roc_auc_hi", "balanced_accuracy", "balanced_accuracy_lo", "balanced_accuracy_hi")
+    return m.join(ci, "repeat").agg(F.count(F.lit(1)).alias("n_repeats"), *(F.avg(n).alias(n) for n in names))
+
+
+@query
+def regime_diagnostics(spark, sf):
+    """Per regularisation setting: norm of the coefficients and how far the largest stand above the median."""
+    rows = models.attributions(fits(spark, sf)).where("explainer = 'coef' and config like 'logreg%'")
+    ranked = attribution.ranked(rows, ("config", *FOLD))
+    fold = ranked.groupBy("config", *FOLD).agg(F.sqrt(F.sum(F.col("importance") ** 2)).alias("norm"), F.avg(F.when(F.col("rank") <= 5, F.col("importance"))).alias("top"), F.median("importance").alias("mid"))
+    return fold.groupBy("config").agg(F.avg("norm").alias("mean_norm"), F.avg(F.col("top") / F.when(F.col("mid") > 0, F.col("mid"))).alias("top_to_median"), F.count(F.lit(1)).alias("n_folds"))

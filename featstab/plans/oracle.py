@@ -402,6 +402,9 @@ QUERIES: dict[str, tuple[str, str]] = {
     "null_repeat_level": ("SELECT * FROM null_level", _STATS),
     "compare_observed_null": ("""SELECT dimension, "group", k, avg(phi) AS observed_mean, max(n_null) AS n_null, max(null_mean) AS null_mean, max(null_median) AS null_median, max(null_p2_5) AS null_p2_5, max(null_p97_5) AS null_p97_5, avg(CASE WHEN phi > null_p97_5 THEN 1.0::DOUBLE ELSE 0 END) AS share_above, min(phi) > max(null_max) AS all_above
         FROM tt_level JOIN (SELECT dimension, "group", k, count(*) AS n_null, avg(phi) AS null_mean, median(phi) AS null_median, quantile_cont(phi, 0.025) AS null_p2_5, quantile_cont(phi, 0.975) AS null_p97_5, max(phi) AS null_max FROM null_level WHERE phi IS NOT NULL GROUP BY ALL) USING (dimension, "group", k) GROUP BY ALL""", "observed_mean null_mean null_median null_p2_5 null_p97_5 share_above"),
+    "phi_by_k_pivot": ('SELECT "group", avg(phi) FILTER (k = 5) AS phi_k5, avg(phi) FILTER (k = 10) AS phi_k10, min(phi) FILTER (k = 10) AS low, max(phi) FILTER (k = 10) AS high FROM level WHERE dimension = \'resampling\' GROUP BY 1', "phi_k5 phi_k10 low high"),
+    "top_genes_by_frequency": ("SELECT t.gene, position, " + ", ".join(f"count(*) FILTER (pipeline = '{p}') / 10.0::DOUBLE AS {p.replace('|', '_')}" for p in ("mdiff|coef", "mdiff|shap", "mdiff|perm", "auc|coef", "ttest|ttest")) + " FROM gt5 t JOIN rankings r ON r.gene = t.gene AND r.rank <= 5 AND r.importance > 0 WHERE position <= 8 GROUP BY 1, 2", "mdiff_coef mdiff_shap mdiff_perm auc_coef ttest_ttest"),
+    "performance_summary": (f"SELECT count(*) AS n_repeats, avg(roc_auc) AS roc_auc, avg(roc_auc_lo) AS roc_auc_lo, avg(roc_auc_hi) AS roc_auc_hi, avg(balanced_accuracy) AS balanced_accuracy, avg(balanced_accuracy_lo) AS balanced_accuracy_lo, avg(balanced_accuracy_hi) AS balanced_accuracy_hi FROM ({_metrics('pred', '\"repeat\"')}) JOIN (SELECT \"repeat\", {_INTERVAL(('roc_auc', 'balanced_accuracy'))} FROM boot GROUP BY 1) USING (\"repeat\")", "roc_auc roc_auc_lo roc_auc_hi balanced_accuracy balanced_accuracy_lo balanced_accuracy_hi"),
     "customer_cohort_profile": (_CUSTOMERS, "mean1 mean0 t"),
     "document_cohort_metrics": (_metrics(_DOCUMENTS, "cohort"), _METRIC_DOUBLES),
 }

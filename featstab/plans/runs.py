@@ -97,3 +97,42 @@ def analyse(spark: SparkSession, folder: Path, config: dict, d: int) -> None:
     } | {f"gene_table_k{k}": consensus.gene_table(rankings, pipes, k) for k in config["top_k"]}
     for name, table in out.items():
         table.write.mode("overwrite").parquet(str(folder / "analysis" / name))
+
+
+def run_null(values: DataFrame, config: dict, folder: Path, replicates: int) -> list[Path]:
+    """Runs on permuted labels, one repeat each; replicates with a manifest are not run again."""
+    out = []
+    for b in range(replicates):
+        own = config | {"labels": "permuted", "replicate": b, "seed": config["seed"] + 100_000 * (1 + b), "cv": config["cv"] | {"n_repeats": 1}}
+        out.append(folder / f"rep_{b:03d}")
+        if not (out[-1] / "manifest.json").exists():
+            run_matrix(values, own, out[-1])
+    return out
+
+
+def compare_with_null(spark: SparkSession, observed: Path, null: list[Path]) -> DataFrame:
+    """dimension, group, k: observed phi over repeats, the null's mean, median, interval and maximum, the share of repeats above it."""
+    keys = ["dimension", "group", "k"]
+    rows = None
+    for b, path in enumerate(null):
+        part = spark.read.parquet(str(path / "analysis" / "repeat_level_stability")).withColumn("repeat", F.lit(b))
+        rows = part if rows is None else rows.unionByName(part)
+    spread = rows.where("phi is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_null"), F.avg("phi").alias("null_mean"), F.median("phi").alias("null_median"), F.percentile("phi", F.lit(0.025)).alias("null_p2_5"), F.percentile("phi", F.lit(0.975)).alias("null_p97_5"), F.max("phi").alias("null_max"))
+    level = spark.read.parquet(str(observed / "analysis" / "repeat_level_stability")).join(spread, keys)
+    shown = [F.max(c).alias(c) for c in ("n_null", "null_mean", "null_median", "null_p2_5", "null_p97_5", "null_max")]
+    return level.groupBy(*keys).agg(F.avg("phi").alias("observed_mean"), *shown, F.avg((F.col("phi") > F.col("null_p97_5")).cast("double")).alias("share_above"), (F.min("phi") > F.max("null_max")).alias("all_above"))
+
+
+def run_regularisation(values: DataFrame, config: dict, grid: list[float], reference: float, auc_floor: float, folder: Path, k: int) -> DataFrame:
+    """The same folds at every C: stability, worst pooled AUC and the verdict against the reference (setting, phi, band, ..., verdict)."""
+    if reference not in grid:
+        raise ValueError("the reference is not in the grid")
+    if k not in config["top_k"]:
+        raise ValueError("k is not in top_k")
+    spark = values.sparkSession
+    name = lambda c: f"C={c:g}"
+    own = config | {"configs": [{"id": name(c), "model": "logreg", "explainers": ["coef"], "parameters": {"C": c}} for c in grid]}
+    run_matrix(values, own, folder)
+    phi = spark.read.parquet(str(folder / "analysis" / "pooled_resampling")).where(F.col("k") == k).select(F.split("pipeline", r"\|")[0].alias("setting"), "phi")
+    auc = spark.read.parquet(str(folder / "pooled_metrics")).groupBy(F.col("config").alias("setting")).agg(F.min("roc_auc").alias("auc"))
+    return stability.verdict(phi.join(auc, "setting"), F.col("setting") == name(reference), auc_floor)

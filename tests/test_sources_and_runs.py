@@ -92,3 +92,31 @@ def test_freeze_gate(tmp_path):
     with pytest.raises(provenance.FreezeError):
         provenance.ExternalGate(tmp_path)
     assert provenance.config_hash({"a": 1, "b": 2}) == provenance.config_hash({"b": 2, "a": 1})
+
+
+def test_small_sources(spark, tmp_path):
+    from featstab.sources import files
+
+    (tmp_path / "u.tsv").write_text('probe_id\tgene\n1_at\tG"1\n2_at\t\n')
+    assert {(r.probe_id, r.gene) for r in files.feature_universe(spark, str(tmp_path / "u.tsv")).collect()} == {("1_at", 'G"1'), ("2_at", "")}
+    (tmp_path / "l.gmt").write_text("A\tabout\tG1\tG2\tG2\nB\t\tG3\n")
+    want = {("A", "G1"), ("A", "G2"), ("B", "G3")}
+    assert {tuple(r) for r in files.gmt_library(spark, str(tmp_path / "l.gmt")).collect()} == want
+    (tmp_path / "l.json").write_text('{"source": "x", "terms": {"A": ["G1", "G2"], "B": ["G3"]}}')
+    assert {tuple(r) for r in files.cached_library(spark, str(tmp_path / "l.json")).collect()} == want
+    (tmp_path / "t.csv").write_text("a,b\n1,x\n")
+    assert files.result_table(spark, str(tmp_path / "t.csv"), "a int, b string").first().a == 1
+
+
+def test_null_and_regularisation_runs(spark, sf, tmp_path):
+    values = tables.cohort(spark, sf)
+    small = CONFIG | {"configs": CONFIG["configs"][:1], "n_perm": 1}
+    observed = runs.run_matrix(values, small, tmp_path / "observed")
+    null = runs.run_null(values, small, tmp_path / "null", 2)
+    assert not (null[0] / "pooled_metrics").exists()
+    rows = runs.compare_with_null(spark, observed, null).collect()
+    assert rows and all(r.n_null == 2 for r in rows if r.dimension == "resampling")
+    verdict = runs.run_regularisation(values, small, [0.1, 1.0], 1.0, 0.5, tmp_path / "grid", 5).collect()
+    assert {r.setting for r in verdict} == {"C=0.1", "C=1"} and len({r.verdict for r in verdict}) == 1
+    with pytest.raises(ValueError):
+        runs.run_regularisation(values, small, [0.1], 1.0, 0.5, tmp_path / "grid2", 5)
