@@ -4,26 +4,36 @@ Fingerprints are compared in tiles with numpy exclusive-or and bit counts. Withi
 pairs of blocks whose counts differ beyond the radius are skipped. Which rows meet in a tile loses no pair: for a small radius the
 fingerprint is cut into radius + 2 blocks, of which two linked fingerprints share at least two; for a large one, tiles hold texts of
 like size, as texts of a given similarity have. Large tiles are split into sub-tiles that meet pairwise in tasks of their own. A task
-returns the links as a forest, never all pairs.
+returns the links as a forest, never all pairs. In similar() fingerprints only propose: a pair links once the sets of shingles of
+both texts, read from the shared folder, are as similar as asked.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, keep, table, utf8
+from . import files
+from .common import arrow_map, keep, shared_dir, small_batches, table, utf8
 from .components import components
 
 #: Rows of a sub-tile, of a block within a tile, and of the runs that are compared by shifting.
 TILE, BLOCK, SMALL = 8192, 1024, 48
+#: Shingle hashes that a task of similar() holds.
+HELD = 1 << 22
 SEED = 42
+#: Where a text lies: the number of its file, its first byte there and its bytes.
+PLACE = ("file", "at", "bytes")
 
 
 def shingle_hashes(raw: bytes, size: int) -> np.ndarray:
@@ -104,21 +114,69 @@ class Forest:
 def near(x: np.ndarray, y: np.ndarray, radius: int, upper: bool) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs of two blocks within ``radius``; ``upper``: the blocks are one and each pair counts once."""
     d = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
-    if x.shape[1] > 1:
-        d = d + np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
+    seen = x.shape[1] if radius > 48 else min(2, x.shape[1])  # two words leave few pairs only if the radius is far under their 64 bits
+    for word in range(1, seen):
+        d = np.add(d, np.bitwise_count(x[:, None, word] ^ y[None, :, word]), dtype=np.uint8 if word < 3 else np.uint16)
     i, j = np.nonzero(d <= radius)
     if upper:
         i, j = i[i < j], j[i < j]
-    if x.shape[1] > 2 and len(i):
+    if x.shape[1] > seen and len(i):
         close = np.bitwise_count(x[i] ^ y[j]).sum(1, dtype=np.int64) <= radius
         i, j = i[close], j[close]
     return i, j
 
 
-def tile_links(fps: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links within a tile; if it has two sides, of those across."""
+class Texts:
+    """The shingle sets of a task's rows, from their texts in the shared folder; at most HELD hashes (or one pair's) stay in memory."""
+
+    def __init__(self, folder: str, shingle: int, similarity: float, rows: dict[str, np.ndarray]):
+        self.folder, self.shingle, self.similarity, self.rows = folder, shingle, similarity, rows
+        self.sets: dict[int, np.ndarray] = {}
+        self.open: dict[int, object] = {}
+        self.held = 0
+
+    def set_of(self, k: int) -> np.ndarray:
+        if (found := self.sets.pop(k, None)) is None:
+            file = int(self.rows["file"][k])
+            if file not in self.open:
+                if len(self.open) >= 256:
+                    self.open.pop(next(iter(self.open))).close()
+                system, path = files.of(f"{self.folder}/{file}")
+                self.open[file] = system.open_input_file(path)
+            raw = self.open[file].read_at(int(self.rows["bytes"][k]), int(self.rows["at"][k]))
+            found = np.unique(shingle_hashes(zstandard.decompress(raw), self.shingle))
+            self.held += len(found)
+            while self.held > HELD and self.sets:
+                self.held -= len(self.sets.pop(next(iter(self.sets))))
+        self.sets[k] = found  # last, as the one used last
+        return found
+
+    def alike(self, a: int, b: int) -> bool:
+        x, y = self.set_of(a), self.set_of(b)
+        both = np.concatenate([x, y])
+        both.sort()
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        return common >= self.similarity * (len(both) - common) - 1e-9
+
+    def add(self, forest: Forest, a: np.ndarray, b: np.ndarray, start: int = 0) -> None:
+        """Add to the forest those of the links (a, b) whose sets are alike; rows that verified links join already aren't read."""
+        n, s = self.rows["shingles"], self.similarity
+        fit = np.minimum(n[a + start], n[b + start]) >= s * np.maximum(n[a + start], n[b + start]) - 1e-9
+        a, b, step = a[fit], b[fit], 64
+        while len(a):
+            apart = forest.root[a] != forest.root[b]
+            a, b = a[apart], b[apart]
+            ok = np.array([self.alike(i, j) for i, j in zip((a[:step] + start).tolist(), (b[:step] + start).tolist(), strict=True)], dtype=bool)
+            forest.add(a[:step][ok], b[:step][ok])
+            a, b = a[step:], b[step:]
+            step = 64 if ok.any() else min(2 * step, 4096)
+
+
+def tile_links(fps: np.ndarray, side: np.ndarray, radius: int, add: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links within a tile; if it has two sides, of those across. ``add`` says which links count, all if None."""
     ones = np.bitwise_count(fps).sum(1, dtype=np.int64)
     forest, two = Forest(len(fps)), bool(side.any())
+    add = add or Forest.add
     left, right = (np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]) if two else (np.arange(len(fps)),) * 2
     left, right = left[np.argsort(ones[left], kind="stable")], right[np.argsort(ones[right], kind="stable")]
     for p in range(0, len(left), BLOCK):
@@ -131,21 +189,21 @@ def tile_links(fps: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarr
             i, j = near(fps[rows], fps[others], radius, not two and p == q)
             if len(j) > 4 * BLOCK:  # a dense block: first one link for each column, which joins nearly all
                 once = np.unique(j, return_index=True)[1]
-                forest.add(rows[i[once]], others[j[once]])
+                add(forest, rows[i[once]], others[j[once]])
             if len(i):
-                forest.add(rows[i], others[j])
+                add(forest, rows[i], others[j])
     return forest.links()
 
 
-def links_of_sorted(t: np.ndarray, u: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links, as row pairs, within the runs of equal (t, u)."""
+def links_of_sorted(t: np.ndarray, u: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int, texts: Texts | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as row pairs, within the runs of equal (t, u); with ``texts``, of those that are alike."""
     edge = np.concatenate([[True], (t[1:] != t[:-1]) | (u[1:] != u[:-1]), [True]])
     starts = np.nonzero(edge)[0]
     length = np.diff(starts)
     a, b = [], []
     for k in np.nonzero(length > SMALL)[0].tolist():
         s, e = starts[k], starts[k + 1]
-        i, j = tile_links(fps[s:e], side[s:e], radius)
+        i, j = tile_links(fps[s:e], side[s:e], radius, texts and partial(texts.add, start=s))
         a.append(i + s)
         b.append(j + s)
     run, small = np.repeat(np.arange(len(length)), length), np.repeat(length <= SMALL, length)
@@ -160,13 +218,15 @@ def links_of_sorted(t: np.ndarray, u: np.ndarray, side: np.ndarray, fps: np.ndar
         two = np.zeros(len(length), dtype=bool)
         np.logical_or.at(two, run[rest], (side[rest] == 1) | (side[rest + d] == 1))
         hit = rest[close & (~two[run[rest]] | (side[rest] != side[rest + d]))]
-        forest.add(hit, hit + d)
+        (texts.add if texts else Forest.add)(forest, hit, hit + d)
     i, j = forest.links()
     return np.concatenate([*a, i]).astype(np.int64), np.concatenate([*b, j]).astype(np.int64)
 
 
-def compare(tiles: DataFrame, parts: int, radius: int) -> DataFrame:
-    """Links (a, b) between fingerprints that share a tile (t, u), each tile within one sorted partition, a run at a time."""
+def compare(tiles: DataFrame, parts: int, radius: int, node: str = "fp", stored: tuple[str, int, float] | None = None) -> DataFrame:
+    """Links (a, b) between the ``node`` of fingerprints that share a tile (t, u), each tile within one sorted partition, a run at a time.
+
+    ``stored``: folder of texts, words of a shingle, least similarity of the sets; without, fingerprints within ``radius`` link."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -178,9 +238,11 @@ def compare(tiles: DataFrame, parts: int, radius: int) -> DataFrame:
             if cut:
                 raw = got.column("fp").slice(0, cut).to_pylist()
                 fps = np.frombuffer(b"".join(raw), dtype=">u8").astype(np.uint64).reshape(-1, parts)
-                a, b = links_of_sorted(t[:cut], u[:cut], side[:cut], fps, radius)
+                texts = Texts(*stored, {c: got.column(c).to_numpy() for c in (*PLACE, "shingles")}) if stored else None
+                a, b = links_of_sorted(t[:cut], u[:cut], side[:cut], fps, radius, texts)
                 if len(a):
-                    yield pa.RecordBatch.from_pydict({"a": pa.array([raw[i] for i in a.tolist()], pa.binary()), "b": pa.array([raw[i] for i in b.tolist()], pa.binary())})
+                    ends = got.column(node)
+                    yield pa.RecordBatch.from_pydict({"a": ends.take(pa.array(a)).cast(pa.binary()).combine_chunks(), "b": ends.take(pa.array(b)).cast(pa.binary()).combine_chunks()})
             held[:] = got.slice(cut).to_batches()
 
         size = 0
@@ -218,14 +280,14 @@ def block_tiles(distinct: DataFrame, parts: int, radius: int) -> DataFrame:
     return rows.select("t", (F.least("s", "o") * (1 << 32) + F.greatest("s", "o")).alias("u"), (F.col("s") > F.col("o")).cast("int").alias("side"), "fp")
 
 
-def size_tiles(distinct: DataFrame, similarity: float) -> DataFrame:
+def size_tiles(distinct: DataFrame, similarity: float, carried: tuple[str, ...] = ()) -> DataFrame:
     """Tiles of texts whose shingle counts allow ``similarity``: powers of 1 / similarity, each met with itself and the next."""
     level = F.floor(F.log(F.greatest("shingles", F.lit(1))) / F.log(F.lit(1 / similarity)) + 1e-9)
-    rows = distinct.select("fp", level.alias("c")).distinct()
+    rows = distinct.select("fp", *carried, level.alias("c")).distinct()
     split = {r["c"]: -(-r["count"] // TILE) for r in rows.groupBy("c").count().collect()}  # a row per power: bounded
     of = F.create_map(*(F.lit(x).cast("long") for kv in (split or {0: 1}).items() for x in kv))
     many = {d: F.coalesce(F.try_element_at(of, F.col("c") + d), F.lit(0).cast("long")) for d in (-1, 0, 1)}
-    rows = rows.select("fp", "c", F.pmod(F.xxhash64("fp"), many[0]).alias("s"), *(many[d].alias(f"k{d + 1}") for d in (-1, 0, 1)))
+    rows = rows.select("fp", *carried, "c", F.pmod(F.xxhash64("fp"), many[0]).alias("s"), *(many[d].alias(f"k{d + 1}") for d in (-1, 0, 1)))
 
     def met(k: str, make):
         spans = F.when(F.col(k) > 0, F.sequence(F.lit(0).cast("long"), F.col(k) - 1)).otherwise(F.array().cast("array<bigint>"))
@@ -235,7 +297,56 @@ def size_tiles(distinct: DataFrame, similarity: float) -> DataFrame:
     own = met("k1", lambda o: (2 * c, F.least(s, o) * wide + F.greatest(s, o), (s > o).cast("int")))
     above = met("k2", lambda o: (2 * c + 1, s * wide + o, F.lit(0)))
     below = met("k0", lambda o: (2 * c - 1, o * wide + s, F.lit(1)))
-    return rows.select("fp", F.explode(F.concat(own, above, below)).alias("x")).select("x.t", "x.u", "x.side", "fp")
+    return rows.select("fp", *carried, F.explode(F.concat(own, above, below)).alias("x")).select("x.t", "x.u", "x.side", "fp", *carried)
+
+
+def stored(docs: DataFrame, shingle: int, parts: int, text: str, carried: tuple[str, ...], folder: str) -> DataFrame:
+    """``carried``, ``node`` (128 bits of the set of shingles), ``fp``, ``shingles`` (distinct) and where the text lies in ``folder``.
+
+    A task writes its texts, compressed one by one, to a file named by its attempt; rows of a lost attempt name no file."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        file = context.taskAttemptId() if context else uuid.uuid4().int >> 66
+        system, path = files.of(f"{folder}/{file}")
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        compressor, at = zstandard.ZstdCompressor(level=1), 0
+        with system.open_output_stream(path) as out:
+            for batch in batches:
+                found: dict[str, list] = {k: [] for k in ("node", "fp", "shingles", *PLACE)}
+                for raw in utf8(batch, text):
+                    hashes = shingle_hashes(raw or b"", shingle)
+                    own = np.unique(hashes)
+                    packed = compressor.compress(raw or b"")
+                    out.write(packed)
+                    row = (xxhash.xxh3_128_digest(own.tobytes()), fingerprint(hashes, parts).astype(">u8").tobytes(), len(own), file, at, len(packed))
+                    at += len(packed)
+                    for column, value in zip(found.values(), row, strict=True):
+                        column.append(value)
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in carried} | {k: pa.array(v, pa.binary() if k in ("node", "fp") else pa.int64()) for k, v in found.items()})
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in carried) + ", node binary, fp binary, shingles long, " + ", ".join(f"{c} long" for c in PLACE)
+    return docs.select(*carried, text).mapInArrow(run, schema)
+
+
+def similar(docs: DataFrame, shingle: int = 5, parts: int = 4, radius: int = 72, similarity: float = 0.8, text: str = "text", carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """A row per document: ``carried`` and ``label``, the same for documents joined by chains of similar pairs.
+
+    A pair is similar if the Jaccard similarity of its sets of shingles (64-bit hashes) is ``similarity`` or more. That is computed for
+    pairs of unequal sets within ``radius`` bits, unless links found so already join them; equal sets always link. At 0.8 fingerprints
+    of 256 bits differ in 39 bits (48 for sets of four or five shingles), 6 bits of standard error: 72 bits are four of them and more.
+    Sets too small to be similar without being equal are not compared. Texts without words are alike. Texts are written to the shared
+    folder once, compressed. An empty table gives an empty result."""
+    folder = shared_dir(docs.sparkSession, "texts")
+    found = keep(stored(docs, shingle, parts, text, carried, folder), "fingerprints")
+    distinct = found.groupBy("node").agg(F.min(F.struct("fp", "shingles", *PLACE)).alias("x")).select("node", "x.*")
+    distinct = distinct.where(F.col("shingles") * (1 - similarity) >= similarity - 1e-9)
+    tiles = size_tiles(distinct, similarity, ("node", "shingles", *PLACE))
+    labels = components(compare(tiles, parts, radius, "node", (folder, shingle, similarity)))
+    return found.select(*carried, "node").join(labels, "node", "left").select(*carried, F.coalesce("label", "node").alias("label"))
 
 
 def groups(docs: DataFrame, shingle: int = 5, parts: int = 4, radius: int = 44, similarity: float = 0.8, text: str = "text", key: str = "doc_id", carried: tuple[str, ...] = ()) -> DataFrame:

@@ -18,19 +18,18 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): that of the least id, ties by content.
+    """One document of each group of near copies (sets of five-word shingles, similarity 0.8): that of the least id, ties by content.
 
     Documents of a null id alone form a group as others do; of equal rows one stays."""
     del spark, sf_dir
     names = docs.columns
-    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"), F.col("doc_id").alias("_id"))
-    found = simhash.groups(rows, shingle=5, parts=4, radius=44, similarity=0.8, text="_text", key="_id", carried=("_row",))
-    first = Window.partitionBy("_group", "_fp").orderBy("_hash")
-    found = found.select("_row", F.col("group").alias("_group"), F.when(F.col("group").isNull(), F.col("fp")).alias("_fp"), F.col("_id"))
-    # a group's first row is that of its least id: others are dropped before anything is ordered
-    found = found.where(F.col("_id").eqNullSafe(F.col("_group"))).withColumn("_hash", F.xxhash64("_row"))
-    found = found.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return found.select(*(F.col("_row")[c].alias(c) for c in names))
+    marks = [c for n in names for c in (F.col(n), F.col(n).isNull())]
+    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"), F.col("doc_id").alias("_id"), F.xxhash64(*marks).alias("_a"), F.xxhash64(F.lit(1), *marks).alias("_b"))
+    found = simhash.similar(rows.drop("_row"), shingle=5, similarity=0.8, text="_text", carried=("_id", "_a", "_b"))
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_a", "_b")).alias("x")).select("x._a", "x._b")
+    # equal rows meet here before their texts are dealt out, and join where they lie
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_a", "_b").orderBy("_id"))).where("_n = 1")
+    return rows.join(first, ["_a", "_b"], "left_semi").select(*(F.col("_row")[c].alias(c) for c in names))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,3 +98,30 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {r.node: r.label for r in components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
     assert components(edges.where("false")).count() == 0
+
+
+def shingle_sets(texts, k=5):
+    words = [t.lower().split() for t in texts]
+    return [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in words]
+
+
+def test_similar_pairs_link_by_their_exact_similarity(spark):
+    """Texts edited to just over or under 0.8: the fingerprint alone errs on both sides."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for k in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        changed, order = list(base), iter(rng.permutation(400).tolist())
+        while True:
+            before, at = list(changed), next(order)
+            changed[at] = f"edited{at}"
+            a, b = shingle_sets([" ".join(base), " ".join(changed)])
+            if len(a & b) < 0.8 * len(a | b):
+                break
+        texts += [" ".join(base), " ".join(changed if k % 2 else before)]
+    sets = shingle_sets(texts)
+    alike = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert alike == [k % 2 == 0 for k in range(60)]
+    label = {r.doc_id: r.label for r in simhash.similar(documents(spark, list(enumerate(texts)))).collect()}
+    assert [label[2 * k] == label[2 * k + 1] for k in range(60)] == alike
+    assert len(set(label.values())) == 90
