@@ -64,7 +64,8 @@ def fingerprint(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int, parts: int = 1, text: str = "text", carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carried`` columns, ``fp`` (binary, big-endian words) and ``shingles`` (distinct). Null and empty texts: zero and 0."""
+    """``carried`` columns, ``fp`` (binary, big-endian words, repeated shingles counted) and ``shingles`` (distinct). Null and empty
+    texts: zero and 0."""
 
     def function(batch: pa.RecordBatch) -> dict:
         fps, sizes = [], []
@@ -301,7 +302,7 @@ def size_tiles(distinct: DataFrame, similarity: float, carried: tuple[str, ...]
 
 
 def stored(docs: DataFrame, shingle: int, parts: int, text: str, carried: tuple[str, ...], folder: str) -> DataFrame:
-    """``carried``, ``node`` (128 bits of the set of shingles), ``fp``, ``shingles`` (distinct) and where the text lies in ``folder``.
+    """``carried``, ``node`` (128 bits of the set of shingles), ``fp`` of that set, ``shingles`` (its size) and where the text lies in ``folder``.
 
     A task writes its texts, compressed one by one, to a file named by its attempt; rows of a lost attempt name no file."""
     small_batches(docs.sparkSession)
@@ -316,11 +317,10 @@ def stored(docs: DataFrame, shingle: int, parts: int, text: str, carried: tuple[
             for batch in batches:
                 found: dict[str, list] = {k: [] for k in ("node", "fp", "shingles", *PLACE)}
                 for raw in utf8(batch, text):
-                    hashes = shingle_hashes(raw or b"", shingle)
-                    own = np.unique(hashes)
+                    own = np.unique(shingle_hashes(raw or b"", shingle))
                     packed = compressor.compress(raw or b"")
                     out.write(packed)
-                    row = (xxhash.xxh3_128_digest(own.tobytes()), fingerprint(hashes, parts).astype(">u8").tobytes(), len(own), file, at, len(packed))
+                    row = (xxhash.xxh3_128_digest(own.tobytes()), fingerprint(own, parts).astype(">u8").tobytes(), len(own), file, at, len(packed))
                     at += len(packed)
                     for column, value in zip(found.values(), row, strict=True):
                         column.append(value)
@@ -336,7 +336,7 @@ def similar(docs: DataFrame, shingle: int = 5, parts: int = 4, radius: int = 72,
     """A row per document: ``carried`` and ``label``, the same for documents joined by chains of similar pairs.
 
     A pair is similar if the Jaccard similarity of its sets of shingles (64-bit hashes) is ``similarity`` or more. That is computed for
-    pairs of unequal sets within ``radius`` bits, unless links found so already join them; equal sets always link. At 0.8 fingerprints
+    pairs of unequal sets whose fingerprints, over distinct shingles, are within ``radius`` bits, unless links found so already join them; equal sets always link. At 0.8 fingerprints
     of 256 bits differ in 39 bits (48 for sets of four or five shingles), 6 bits of standard error: 72 bits are four of them and more.
     Sets too small to be similar without being equal are not compared. Texts without words are alike. Texts are written to the shared
     folder once, compressed. An empty table gives an empty result."""

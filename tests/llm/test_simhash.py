@@ -125,3 +125,14 @@ def test_similar_pairs_link_by_their_exact_similarity(spark):
     label = {r.doc_id: r.label for r in simhash.similar(documents(spark, list(enumerate(texts)))).collect()}
     assert [label[2 * k] == label[2 * k + 1] for k in range(60)] == alike
     assert len(set(label.values())) == 90
+
+
+def test_repeated_lines_do_not_count_in_similar(spark):
+    """A line that is repeated counts once: unlike texts stay apart, texts of one set stay together."""
+    line, own = " ".join(f"common{i}" for i in range(10)), lambda k: " ".join(f"own{k}x{i}" for i in range(60))
+    rows = [(k, f"{own(k)}\n" + f"{line}\n" * times) for k, times in enumerate([10, 10, 20, 20, 40, 40])]
+    base = [f"w{i}" for i in range(400)]
+    edited = " ".join([*base[:200], "edited", *base[201:]])
+    rows += [(10, " ".join(base) + f"\n{line}" * 2), (11, edited + f"\n{line}" * 40)]
+    label = {r.doc_id: r.label for r in simhash.similar(documents(spark, rows)).collect()}
+    assert len({label[k] for k in range(6)}) == 6 and label[10] == label[11] not in {label[k] for k in range(6)}
