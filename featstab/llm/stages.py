@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +46,20 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """The rows in the order in which they were written, range-sorted: files by their part number, rows by their place in the file.
+
+    Spark deals files out by size. Tables that are not read from files are in order as they are."""
+    try:
+        file, row = (docs.metadataColumn("_metadata")[c] for c in ("file_name", "row_index"))
+        return docs.select(*docs.columns, F.regexp_extract(file, r"part-(\d+)", 1).try_cast("long").alias("_part"), file.alias("_file"), row.alias("_row")).orderBy("_part", "_file", "_row").select(*docs.columns)
+    except AnalysisException:
+        return docs
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of 1024 tokens."""
+    """Pieces of all documents in windows of 1024 tokens, in the order in which the documents were written: sequence ids rise with it."""
     del spark, sf_dir
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(in_written_order(docs.select("doc_id", "text")), public_tokenizers.path("byte_bpe_50k.json"))

@@ -2,10 +2,11 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from featstab.llm import stages
-from featstab.llm.common import table
+from featstab.llm.common import keep, table
 
 from .helpers import AWKWARD, documents
 
@@ -93,3 +94,12 @@ def test_awkward_rows_and_empty_tables(spark, sf):
     assert stages.packed(spark, docs, sf).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert stages.packed(spark, empty, sf).count() == 0
     assert stages.by_language(spark, docs.selectExpr("doc_id", "text", "cast(null as string) lang", "source", "n_chars"), sf).count() == 0
+
+
+def test_packing_follows_the_training_order_of_written_tables(spark, sf):
+    """Spark reads large files first; sequence ids follow the order in which the mix wrote its rows."""
+    rows = [(i, " ".join(["word"] * (40 + 400 * (i // 100))) + f" {i}") for i in range(800)]
+    written = keep(documents(spark, rows).repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id"), "ordered")
+    assert len(written.inputFiles()) == 8
+    first = stages.packed(spark, written, sf).groupBy("doc_id").agg(F.min(F.struct("sequence_id", "offset")).alias("at")).collect()
+    assert [r.doc_id for r in sorted(first, key=lambda r: r["at"])] == list(range(800))
