@@ -96,6 +96,15 @@ def test_awkward_rows_and_empty_tables(spark, sf):
     assert stages.by_language(spark, docs.selectExpr("doc_id", "text", "cast(null as string) lang", "source", "n_chars"), sf).count() == 0
 
 
+def test_one_survivor_of_each_component_whatever_the_ids(spark, sf):
+    """Unlike documents of one id both stay; near copies of null ids merge."""
+    text = lambda k, n=80: [f"{k}word{i}" for i in range(n)]
+    near = lambda k: " ".join([*text(k)[:-1], "changed"])
+    rows = [(1, " ".join(text("a"))), (2, near("a")), (1, " ".join(text("b"))), (3, near("b")), (None, " ".join(text("c"))), (None, near("c")), (None, " ".join(text("d"))), (4, near("d")), (5, " ".join(text("e"))), (5, " ".join(text("e")))]
+    got = stages.without_near_copies(spark, documents(spark, [(*r, "en", "s") for r in rows]), sf).collect()
+    assert sorted((str(r.doc_id), r.text[0]) for r in got) == [("1", "a"), ("1", "b"), ("4", "d"), ("5", "e"), ("None", "c")]
+
+
 def test_packing_follows_the_training_order_of_written_tables(spark, sf):
     """Spark reads large files first; sequence ids follow the order in which the mix wrote its rows."""
     rows = [(i, " ".join(["word"] * (40 + 400 * (i // 100))) + f" {i}") for i in range(800)]
