@@ -64,3 +64,15 @@ def test_bands_reject_repetition_and_noise_and_keep_prose(spark):
 def test_many_different_words():
     words = [str(i % 5).encode() for i in range(20)]
     assert quality.repeated_words(words) == 20 and quality.repeated_words([b"a", b"b", b"c", b"d"]) == 0
+
+
+def test_bands_decide_beyond_the_counting_rules(spark):
+    """Of labelled texts that pass those, nearly all good ones stay and half of the bad ones go; so does random base64."""
+    sf = "/root/testdata/sf0.01"
+    found = quality.op8_compression_bands(spark, sf).where("not base_failed").join(table(spark, sf, "labels"), "doc_id").groupBy("quality", "kept").count().collect()
+    n = Counter({(r["quality"], r.kept): r["count"] for r in found})
+    assert n[1, False] <= 0.01 * n[1, True] and n[0, False] >= n[0, True]
+    rng = np.random.default_rng(0)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    noise = [(k, " ".join("".join(rng.choice(letters, 12)) for _ in range(size // 13))) for k, size in enumerate((700, 1500, 3000, 6000, 8000, 12000, 40000))]
+    assert [(r.base_failed, r.kept) for r in quality.judge(documents(spark, noise)).collect()] == [(False, False)] * len(noise)
