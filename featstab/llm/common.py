@@ -28,6 +28,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def buckets_for(df: DataFrame, each: int) -> int:
+    """Buckets of about ``each`` bytes of the input as Spark estimates it, at least as many as shuffle partitions.
+
+    Tables that do not come from files have no estimate, and get as many as shuffle partitions."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, size // each) if size < 1 << 60 else least
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new path under spark.checkpoint.dir, which driver and executors share; a temporary folder where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)

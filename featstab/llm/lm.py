@@ -1,38 +1,35 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted arrays, memory-mapped by workers.
+"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, memory-mapped by workers.
 
 1. Words are counted and dealt into buckets by hash; a bucket is a sorted array of word hashes with an array of counts. A word's id
    is its place in the buckets' order.
-2. Bigrams of ids are counted within tasks, dealt into buckets by a hash of both words (a frequent word's bigrams go to several), and
-   stored as sorted keys with counts. Each bucket's part of what contexts and continuations need is summed by word bucket.
-3. Workers map the arrays and look up whole batches of bigrams by binary search.
+2. Bigrams of ids are counted within tasks, dealt into buckets by a hash of both words, so that no word's bigrams meet in one, and
+   stored as sorted hashes with counts. Each bucket's part of what contexts and continuations need is summed by word bucket.
+3. Workers map the arrays and look up the different words and bigrams of a whole run of texts, sorted, by binary search.
 
-Counts travel as compressed, sorted runs that tasks have summed already, so a frequent word or pair is one entry per task.
+Counts travel as compressed, sorted runs that tasks have summed already, so a frequent word or pair is one entry per task. The number
+of buckets follows from the size of the input and the number of tokens.
 """
 
 from __future__ import annotations
 
 import struct
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fold, shared_dir, small_batches, table, utf8
+from .common import buckets_for, fold, shared_dir, small_batches, table
 from .files import get_array, put_array
+from .words import END, token_stream
 
-#: No word holds a line feed, so this stands for a text's end; it is also what precedes the first word.
-END = b"\n"
-#: Tokens that a task counts before it hands them on; distinct words that a worker remembers; bigram tokens in a bucket, about.
-HELD, REMEMBERED, BUCKET = 4_000_000, 400_000, 2_000_000
-#: Buckets over which one word's bigrams are spread.
-SPREAD = 8
+#: Tokens that a task counts before it hands them on, and looks up at a time; bytes of input for a word bucket and bigram tokens for a
+#: bigram bucket, about.
+HELD, RUN, INPUT, BUCKET = 4_000_000, 400_000, 64 << 20, 2_000_000
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -64,41 +61,42 @@ def summed(blobs: Iterable[bytes], width: int) -> list[np.ndarray]:
 
 
 def scattered(x: np.ndarray) -> np.ndarray:
+    """A bijection; its upper bits depend on all others."""
     x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
     return x ^ x >> np.uint64(29)
 
 
-def bigram_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of (u << 32 | v): by u, moved by one of SPREAD steps by v."""
-    step = scattered(keys & np.uint64(0xFFFFFFFF)) % np.uint64(SPREAD)
-    return ((scattered(keys >> np.uint64(32)) + step * np.uint64(max(1, buckets // SPREAD))) % np.uint64(buckets)).astype(np.int64)
-
-
-def word_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+def range_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets are equal ranges of the hash."""
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def dealt(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Non-empty buckets and their part of the arrays, in the arrays' order."""
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    edges = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))[0] if len(bucket) else np.zeros(1, dtype=int)
-    for a, b in zip(edges, edges[1:], strict=False):
-        yield int(bucket[a]), [x[order[a:b]] for x in arrays]
+def runs(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(bucket, start, end) of the runs of a sorted array."""
+    edges = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))[0] if len(bucket) else np.zeros(1, dtype=np.int64)
+    yield from zip(bucket[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)
 
 
-def tokens(raw: bytes | None) -> list[bytes]:
-    return [*(raw or b"").lower().split(), END]
+def dealt(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Non-empty buckets and their part of the arrays, in the arrays' order."""
+    small = bucket.astype(np.uint16) if len(bucket) and bucket.min() >= 0 and bucket.max() < 1 << 16 else bucket  # sorted faster
+    order = np.argsort(small, kind="stable")
+    for b, i, j in runs(bucket[order]):
+        yield b, [x[order[i:j]] for x in arrays]
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
-    """D(0), D(1), D(2), D(3+) of the numbers of entries with count 1 to 4."""
-    n1, n2, n3, n4 = (float(x) for x in counts)
-    if min(n1, n2, n3) <= 0:
-        return np.array([0.0, 0.5, 0.75, 0.75])
-    y = n1 / (n1 + 2 * n2)
-    return np.array([0.0, min(max(1 - 2 * y * n2 / n1, 0.0), 1.0), min(max(2 - 3 * y * n3 / n2, 0.0), 2.0), min(max(3 - 4 * y * n4 / n3, 0.0), 3.0)])
+    """D(0), D(1), D(2), D(3+) of the numbers of entries with count 1 to 4.
+
+    Each is over 0 and at most its count, so every context keeps mass for words that it has not seen: where the estimate is outside
+    (counts of counts of repetitive texts can be anything) the single discount n1 / (n1 + 2 n2) is taken, or a half if that is 0."""
+    n = [float(x) for x in counts]
+    single = n[0] / (n[0] + 2 * n[1]) if n[0] > 0 else 0.5
+    out = [0.0]
+    for k in (1, 2, 3):
+        estimate = k - (k + 1) * single * n[k] / n[k - 1] if n[k - 1] > 0 else 0.0
+        out.append(estimate if 0 < estimate <= k else single)
+    return np.array(out)
 
 
 @dataclass
@@ -127,84 +125,94 @@ class Model:
     def n_words(self) -> int:
         return self.offsets[-1]
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Ids; -1 for words that training has not seen."""
-        out = np.full(len(words), -1, dtype=np.int64)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-        for b, (rows, h) in dealt(word_bucket(hashes, len(self.offsets) - 1), np.arange(len(words)), hashes):
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of sorted word hashes; -1 for words that training has not seen."""
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        for b, i, j in runs(range_bucket(hashes, len(self.offsets) - 1)):
             if self.offsets[b + 1] > self.offsets[b]:
                 known = self.array("words", b)
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                out[rows] = np.where(known[at] == h, at + self.offsets[b], -1)
+                at = np.minimum(np.searchsorted(known, hashes[i:j]), len(known) - 1)
+                out[i:j] = np.where(known[at] == hashes[i:j], at + self.offsets[b], -1)
         return out
 
     def of_ids(self, name: str, ids: np.ndarray) -> np.ndarray:
-        """Rows of a per-word array; 0 for -1."""
-        out = None
-        edges = np.array(self.offsets)
-        for b, (rows, i) in dealt(np.searchsorted(edges, ids, "right") - 1, np.arange(len(ids)), ids):
-            if b >= 0:
-                got = self.array(name, b)[i - self.offsets[b]]
-                out = np.zeros((len(ids), *got.shape[1:]), dtype=np.float64) if out is None else out
-                out[rows] = got
-        return out
+        """Rows of a per-word array for sorted ids."""
+        out = [self.array(name, b)[ids[i:j] - self.offsets[b]] for b, i, j in runs(np.searchsorted(np.array(self.offsets), ids, "right") - 1)]
+        return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
     def bigram_counts(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), dtype=np.int64)
-        for b, (rows, k) in dealt(bigram_bucket(keys, self.bigram_buckets), np.arange(len(keys)), keys):
+        """How often training has seen each (u << 32 | v)."""
+        hashes = scattered(keys)
+        order = np.argsort(hashes)
+        hashes, found = hashes[order], np.zeros(len(keys), dtype=np.int64)
+        for b, i, j in runs(range_bucket(hashes, self.bigram_buckets)):
             known = self.array("bigrams", b)
             if len(known):
-                at = np.minimum(np.searchsorted(known, k), len(known) - 1)
-                out[rows] = np.where(known[at] == k, self.array("times", b)[at], 0)
+                at = np.minimum(np.searchsorted(known, hashes[i:j]), len(known) - 1)
+                found[i:j] = np.where(known[at] == hashes[i:j], self.array("times", b)[at], 0)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
-    def log10(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """log10 p(word | word before) of id pairs; -1 is an unknown word."""
-        if not self.n_words:
-            return np.zeros(len(ids))
+    def of_words(self, hashes: np.ndarray) -> Words:
+        """What scoring needs of sorted, different words."""
         d1, d2 = discounts(np.array(self.by_words[:4])), discounts(np.array(self.by_bigrams))
+        ids = self.ids(hashes)
         known = ids >= 0
-        continued = self.of_ids("continued", ids[known]) if known.any() else np.empty(0)
         free = (d1[1] * self.by_words[0] + d1[2] * self.by_words[1] + d1[3] * self.by_words[4]) / self.n_bigrams
-        low = np.full(len(ids), free / (self.n_words + 1))
-        low[known] += np.maximum(continued - d1[np.minimum(continued, 3).astype(np.int64)], 0) / self.n_bigrams
-        p, rows = low.copy(), np.nonzero(before >= 0)[0]
-        if len(rows):
-            context = self.of_ids("contexts", before[rows])
-            total = context[:, 0]
-            rows, context, total = rows[total > 0], context[total > 0], total[total > 0]
-            gamma = (d2[1] * context[:, 1] + d2[2] * context[:, 2] + d2[3] * context[:, 3]) / total
-            p[rows] *= gamma
-            both = ids[rows] >= 0
-            rows, total = rows[both], total[both]
-            times = self.bigram_counts(before[rows].astype(np.uint64) << np.uint64(32) | ids[rows].astype(np.uint64))
-            p[rows] += np.maximum(times - d2[np.minimum(times, 3)], 0) / total
-        return np.log10(p)
-
-
-class Numberer:
-    """Ids of token lists, with a bounded memory of words seen before."""
-
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        new = set(words).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set(words)
-        if new:
-            order = list(new)
-            self.known.update(zip(order, self.model.ids(order).tolist(), strict=True))
-        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-
-
-def _batches(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[list[list[bytes]], list[bytes]]]:
-    """Token lists of the documents of a batch, and all of them in one list."""
+        times, low, total, gamma = np.zeros(len(ids)), np.full(len(ids), free / (self.n_words + 1)), np.zeros(len(ids)), np.ones(len(ids))
+        if known.any():
+            own = ids[known]
+            times[known] = self.of_ids("counts", own)
+            continued, context = self.of_ids("continued", own).astype(np.int64), self.of_ids("contexts", own).astype(np.float64)
+            low[known] += np.maximum(continued - d1[np.minimum(continued, 3)], 0) / self.n_bigrams
+            total[known] = context[:, 0]
+            gamma[known] = np.where(context[:, 0] > 0, context[:, 1:] @ d2[1:] / np.maximum(context[:, 0], 1), 1.0)
+        return Words(ids, times, low, total, gamma)
+
+    def measures(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known, log10 of the smoothed unigram and of the model's probability of each token behind the first, given the one before."""
+        if not self.n_words:
+            return np.zeros(len(hashes) - 1, dtype=np.int64), np.zeros(len(hashes) - 1), np.zeros(len(hashes) - 1)
+        different, place = np.unique(hashes, return_inverse=True)
+        w = self.of_words(different)
+        base = np.log10((w.times + 0.1) / (self.n_tokens + 0.1 * (self.n_words + 1)))
+        u, v = place[:-1], place[1:]
+        p = w.low[v] * w.gamma[u]
+        rows = np.nonzero((w.total[u] > 0) & (w.ids[v] >= 0))[0]
+        u, v = u[rows], v[rows]
+        keys = w.ids[u].astype(np.uint64) << np.uint64(32) | w.ids[v].astype(np.uint64)
+        times, d2 = self.bigram_counts(keys), discounts(np.array(self.by_bigrams))
+        p[rows] += np.maximum(times - d2[np.minimum(times, 3)], 0) / w.total[u]
+        return (w.ids >= 0).astype(np.int64)[place[1:]], base[place[1:]], np.log10(p)
+
+
+@dataclass
+class Words:
+    """Arrays over different words: id (-1: unknown), count, lower-order probability, times as a context, mass left to the lower order."""
+
+    ids: np.ndarray
+    times: np.ndarray
+    low: np.ndarray
+    total: np.ndarray
+    gamma: np.ndarray
+
+
+def token_runs(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, bool]]:
+    """(batch, row, hash of the token before the first and of all, whether the batch ends) in runs of about RUN tokens."""
+    before = END
     for batch in batches:
+        rows, hashes, n = [], [np.array([before])], 0
+        for r, h in token_stream(batch.column(text)):
+            rows.append(r)
+            hashes.append(h)
+            n += len(h)
+            if n >= RUN:
+                yield batch, np.concatenate(rows), np.concatenate(hashes), False
+                rows, hashes, n = [], [hashes[-1][-1:]], 0
         if batch.num_rows:
-            lists = [tokens(raw) for raw in utf8(batch, text)]
-            yield lists, [w for x in lists for w in x]
+            yield batch, np.concatenate(rows) if rows else np.empty(0, dtype=np.int64), np.concatenate(hashes), True
+            before = END
 
 
 def _rows(found: Iterable[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -226,25 +234,26 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
     Null and empty texts are an end alone. An empty table gives a model without words, for which every text has probability 1."""
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "lm")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     small_batches(spark)
     docs = docs.select(text)
+    buckets = buckets_for(docs, INPUT)
 
     def count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held, n = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, counts), dtype=np.uint64, count=len(counts))
-            order, times = np.argsort(hashes), np.fromiter(counts.values(), dtype=np.uint64, count=len(counts))
-            hashes, times = hashes[order], times[order]
-            counts.clear()
-            yield from _rows((b, pack(*x)) for b, x in dealt(word_bucket(hashes, buckets), hashes, times))
-
-        for _, words in _batches(batches, text):
-            counts.update(words)
-            if len(counts) > 2 * REMEMBERED:
+            hashes, times = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            yield from _rows((b, pack(hashes[i:j], times[i:j])) for b, i, j in runs(range_bucket(hashes, buckets)))
+
+        for _, _, hashes, _ in token_runs(batches, text):
+            held.append(hashes[1:])
+            n += len(hashes) - 1
+            if n >= HELD:
                 yield from flush()
-        yield from flush()
+                n = 0
+        if held:
+            yield from flush()
 
     def store_words(bucket: int, blobs: list[bytes]) -> dict:
         hashes, times = summed(blobs, 1)
@@ -263,17 +272,18 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         return model
 
     def count_bigrams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, n = Numberer(model), [], 0
+        held, n = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys, times = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            yield from _rows((b, pack(*x)) for b, x in dealt(bigram_bucket(keys, model.bigram_buckets), keys, times))
+            yield from _rows((b, pack(*x)) for b, x in dealt(range_bucket(scattered(keys), model.bigram_buckets), keys, times))
 
-        for lists, words in _batches(batches, text):
-            ids = number([END, *words])  # each text ends with END, which is also what precedes the next
-            held.append(ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:].astype(np.uint64))
-            n += len(words)
+        for _, _, hashes, _ in token_runs(batches, text):
+            different, place = np.unique(hashes, return_inverse=True)
+            ids = model.ids(different).astype(np.uint64)[place]
+            held.append(ids[:-1] << np.uint64(32) | ids[1:])
+            n += len(ids) - 1
             if n >= HELD:
                 yield from flush()
                 n = 0
@@ -284,17 +294,19 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
     def store_bigrams(bucket: int, blobs: list[bytes]) -> dict:
         keys, times = summed(blobs, 1)
-        put_array(f"{path}/bigrams-{bucket:06d}.npy", keys)
-        put_array(f"{path}/times-{bucket:06d}.npy", times.astype(np.uint32 if not len(times) or times.max() < 1 << 32 else np.uint64))
-        u, v = (keys >> np.uint64(32)).astype(np.int64), np.sort((keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        hashes = scattered(keys)
+        order = np.argsort(hashes)
+        put_array(f"{path}/bigrams-{bucket:06d}.npy", hashes[order])
+        put_array(f"{path}/times-{bucket:06d}.npy", times[order].astype(np.min_scalar_type(int(times.max()))))
+        u, v = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         out = []
         first = np.nonzero(np.concatenate([[True], u[1:] != u[:-1]]))[0]
         parts = [np.add.reduceat(x.astype(np.uint64), first) for x in (times, times == 1, times == 2, times >= 3)]
-        for b, x in dealt(np.searchsorted(edges, u[first], "right") - 1, u[first], *parts):
-            out.append((b, b"c" + pack(*x)))
+        for b, i, j in runs(np.searchsorted(edges, u[first], "right") - 1):
+            out.append((b, b"c" + pack(u[first][i:j], *(x[i:j] for x in parts))))
         v, n = np.unique(v, return_counts=True)
-        for b, x in dealt(np.searchsorted(edges, v, "right") - 1, v, n):
-            out.append((b, b"w" + pack(*x)))
+        for b, i, j in runs(np.searchsorted(edges, v, "right") - 1):
+            out.append((b, b"w" + pack(v[i:j], n[i:j])))
         out.append((-1, b"t" + struct.pack("<5q", len(keys), *(int((times == k).sum()) for k in range(1, 5)))))
         return {"bucket": [b for b, _ in out], "blob": [x for _, x in out]}
 
@@ -336,26 +348,25 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     """A row per document: n_tokens, n_known, train_tokens, base_score (smoothed unigrams), score (log10 probability).
 
     Null and empty texts are an end alone. Repeated rows give repeated results; other columns are not read; an empty table gives an
-    empty result. Texts are scored whole, a batch at a time. ``held_out`` names a boolean column to carry."""
-    kept: dict = {}
-
-    def function(batch: pa.RecordBatch) -> dict:
-        number = kept.setdefault("number", Numberer(model))
-        lists, words = next(_batches([batch], text))
-        ids, ends = number([END, *words]), np.cumsum([len(x) for x in lists])
-        starts = ends - [len(x) for x in lists]
-        times = np.zeros(len(words))
-        known = ids[1:] >= 0
-        if known.any():
-            times[known] = model.of_ids("counts", ids[1:][known])
-        base = np.log10((times + 0.1) / (model.n_tokens + 0.1 * (model.n_words + 1)))
-        sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), base, model.log10(ids[:-1], ids[1:]))]
-        carried = {held_out: batch.column(held_out)} if held_out else {}
-        return {key: batch.column(key)} | carried | {"n_tokens": ends - starts, "n_known": sums[0], "train_tokens": np.full(len(lists), model.n_tokens), "base_score": sums[1], "score": sums[2]}
+    empty result. Texts are scored whole, a run of tokens at a time. ``held_out`` names a boolean column to carry."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = None, None
+        for batch, rows, hashes, ended in token_runs(batches, text):
+            if sums is None:
+                sums, n = np.zeros((3, batch.num_rows)), np.zeros(batch.num_rows, dtype=np.int64)
+            n += np.bincount(rows, minlength=len(n))
+            for total, x in zip(sums, model.measures(hashes), strict=True):
+                total += np.bincount(rows, weights=x, minlength=len(n))
+            if ended:
+                carried = {held_out: batch.column(held_out)} if held_out else {}
+                yield pa.RecordBatch.from_pydict({key: batch.column(key)} | carried | {"n_tokens": n, "n_known": sums[0].astype(np.int64), "train_tokens": np.full(len(n), model.n_tokens), "base_score": sums[1], "score": sums[2]})
+                sums = None
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, " + (f"`{held_out}` boolean, " if held_out else "") + "n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return arrow_map(docs.select(key, text, *([held_out] if held_out else [])), schema, function)
+    small_batches(docs.sparkSession)
+    return docs.select(key, text, *([held_out] if held_out else [])).mapInArrow(run, schema)
 
 
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

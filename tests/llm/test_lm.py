@@ -3,9 +3,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from featstab.llm import lm
+from featstab.llm import lm, words
 from featstab.llm.common import table
 
 from .helpers import AWKWARD, documents, write
@@ -64,7 +65,8 @@ def test_held_out_texts_are_likelier_than_under_unigrams(spark):
 
 def test_awkward_rows_and_small_pieces(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lm, "HELD", 50)
-    monkeypatch.setattr(lm, "REMEMBERED", 4)
+    monkeypatch.setattr(lm, "RUN", 7)
+    monkeypatch.setattr(lm, "BUCKET", 100)
     rows = [r[:2] for r in AWKWARD] + [(i, "a b c a b d A B") for i in range(20, 40)]
     folder = write(spark, documents(spark, rows), tmp_path)
     compare(rows, [t for d, t in rows if zlib.crc32(("" if d is None else str(d)).encode()) % 10], lm.op10_kneser_ney(spark, folder).collect())
@@ -83,3 +85,26 @@ def test_blobs_round_trip():
     assert (a == keys).all() and (b == counts).all()
     x, y = lm.summed([lm.pack(keys, counts), lm.pack(keys[1:], counts[1:])], 1)
     assert (x == keys).all() and y.tolist() == [1, 4, 6, 1 << 41]
+
+
+def test_counts_of_counts_of_repetitive_texts_leave_mass_in_every_context(spark):
+    assert (0 < lm.discounts(np.array([9, 3, 90, 0]))[1:]).all() and (0 < lm.discounts(np.array([0, 0, 0, 0]))[1:]).all()
+    assert (0 < lm.discounts(np.array([5, 0, 7, 1]))[1:]).all() and (lm.discounts(np.array([1, 50, 90, 9]))[1:] <= [1, 2, 3]).all()
+    train = [" ".join(f"w{k}" for k in range(40))] * 3 + ["a b a b c c"] * 2 + ["d", "e f"]
+    rows = [(k, t) for k, t in enumerate([*train, "w0 c b unseen d", "unseen", "w3 w4 w5 a"])]
+    model = lm.train(documents(spark, list(enumerate(train))))
+    got = lm.score(documents(spark, rows), model).collect()
+    assert all(np.isfinite(r.score) for r in got)
+    compare(rows, train, got)
+
+
+def test_token_hashes_tell_words_apart_at_every_cut(monkeypatch):
+    texts = [None, "", "  ", "a b", "a\x00b c", "x" * 1000 + " y", "x" * 300, "abcdefgh abcdefghi ABCDEFGHI", "\xe9 \xfc\xa0z", "end", "start", "\t\x08\x0e\x1f a@[`{Z z"] * 2
+    want = [(i, w) for i, t in enumerate(texts) for w in [*(t or "").encode().lower().split(), b"\n"]]
+    for stretch in (1, 16, 50, 1000):
+        monkeypatch.setattr(words, "STRETCH", stretch)
+        got = [x for r, h in words.token_stream(pa.array(["before", *texts]).slice(1)) for x in zip(r.tolist(), h.tolist(), strict=True)]
+        assert [i for i, _ in got] == [i for i, _ in want]
+        known = dict(zip((w for _, w in want), (h for _, h in got), strict=True))
+        assert [known[w] for _, w in want] == [h for _, h in got] and len(set(known.values())) == len(known)
+    assert list(words.token_stream(pa.array([], pa.string()))) == []
