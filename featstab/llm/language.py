@@ -1,7 +1,8 @@
 """Language identification by compression.
 
-Each language's raw-content zstandard dictionary is a bounded sample of its labelled texts. A text belongs to the language whose
-dictionary compresses it to the fewest bytes; a narrow margin over the second language rejects the decision. Case is folded first.
+Each language's raw-content zstandard dictionary is a bounded sample of pieces of its labelled texts, drawn from all of every text. A
+text belongs to the language whose dictionary compresses it to the fewest bytes; a narrow margin over the second language rejects the
+decision. Case is folded first.
 """
 
 from __future__ import annotations
@@ -11,43 +12,56 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, fold, small_batches, table, utf8
 
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numbers that are no decimal digits.
+WORDLIKE = re.compile(r"[^\W\d_]+")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of a Unicode letter category, as \\p{L} has it."""
+    return any(c.isalpha() for run in WORDLIKE.finditer(text) for c in run[0])
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of what is learned (``sample_rows`` texts a language, the first ``sample_chars`` of each, ``dict_bytes`` kept), ``level``
-    of compression, ``chunk`` bytes compressed at a time and ``least_margin``, relative to the best size, under which a text is rejected."""
+    """Bounds of what is learned (``pieces`` of ``piece`` characters a language), ``level`` of compression, ``chunk`` bytes compressed
+    at a time and ``least_margin``, relative to the best size, under which a text is rejected."""
 
-    sample_rows: int = 600
-    sample_chars: int = 2000
-    dict_bytes: int = 112 << 10
+    pieces: int = 112
+    piece: int = 1000
     level: int = 9
     chunk: int = 2048
     least_margin: float = 0.005
 
 
-def learn(labelled: DataFrame, settings: Settings = Settings(), text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
+def learn(labelled: DataFrame, settings: Settings = Settings(), text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """A dictionary for each non-null language of ``labelled``, the commonest language first; rows with null or letterless text teach nothing.
 
-    The sample is the same on every run: rows of the smallest hash of their key, by a threshold set from the language's count, so
-    at most about ``sample_rows`` rows a language reach the driver whatever the table holds."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("l"), F.substring(text, 1, settings.sample_chars).alias("t"), F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 40)).alias("h"))
-    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
-    if not counts:
-        return {}
-    share = {k: int((1 << 40) * min(1.0, 1.2 * settings.sample_rows / n)) for k, n in counts.items()}
-    least = F.create_map(*(F.lit(x) for kv in share.items() for x in kv))
-    found: dict[str, list] = {k: [] for k in counts}
-    for r in rows.where(F.col("h") < least[F.col("l")]).collect():
-        found[r["l"]].append((r["h"], r["t"]))
-    order = sorted((k for k, v in found.items() if v), key=lambda k: (-counts[k], k))
-    return {k: b"\n".join(t.lower().encode() for _, t in sorted(found[k])[: settings.sample_rows])[: settings.dict_bytes] for k in order}
+    Texts are cut into pieces, whole; those of the smallest hash of text and place are the sample, the same on every run and whatever
+    the keys are. Equal texts of a language teach once. At most ``pieces`` pieces a language reach the driver; the number of languages
+    is that of the labels. The share of pieces that is looked at follows from the language's size and grows where copies make it short."""
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    rows = rows.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.ceil(F.length(text) / settings.piece).alias("n"), F.xxhash64(F.col(text), F.lit(17)).alias("x"))
+    totals = rows.groupBy("l").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()
+    size, wide = {r["l"]: r["n"] for r in totals}, 1 << 40
+    share = {k: min(1.0, 2 * settings.pieces / n) for k, n in size.items()}
+    found: dict[str, list[str]] = {}
+    while share:
+        least = F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, int(wide * v))))
+        chosen = F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.pmod(F.xxhash64(F.col("x"), i), F.lit(wide)) < least[F.col("l")])
+        some = rows.where(F.col("l").isin(list(share))).select("l", "t", "x", F.explode(chosen).alias("i"))
+        some = some.select("l", F.pmod(F.xxhash64("x", "i"), F.lit(wide)).alias("h"), F.substring(F.col("t"), (F.col("i") * settings.piece + 1).cast("int"), F.lit(settings.piece)).alias("p")).distinct()
+        some = some.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "p"))).where(F.col("r") <= settings.pieces)
+        got: dict[str, list[str]] = {}
+        for r in some.orderBy("l", "r").collect():
+            got.setdefault(r["l"], []).append(r["p"])
+        found |= {k: got.get(k, []) for k, v in share.items() if v == 1.0 or len(got.get(k, ())) >= settings.pieces}
+        share = {k: min(1.0, 16 * v) for k, v in share.items() if k not in found}
+    return {r["l"]: b"\n".join(p.lower().encode() for p in found[r["l"]]) for r in sorted(totals, key=lambda r: (-r["rows"], r["l"]))}
 
 
 class Judge:
@@ -68,7 +82,7 @@ class Judge:
 
     def __call__(self, raw: bytes | None) -> tuple[str, float, bool]:
         """Language, score and whether the margin is too narrow."""
-        if not raw or not self.by or not LETTER.search(shown := raw.decode("utf-8", "replace")):
+        if not raw or not self.by or not has_letter(shown := raw.decode("utf-8", "replace")):
             return "und", 0.0, True
         sizes = self.sizes(shown.lower().encode())
         if len(sizes) == 1:
