@@ -92,15 +92,17 @@ class Tree:
                 out[rows] = self.leaf[node]
         return out
 
-    def visits(self, query: np.ndarray, margin: float) -> list[tuple[int, float]]:
-        """(leaf, slack) of the leaves of a query, best bin first: slack is the margin from which on the leaf is visited."""
+    def visits(self, query: np.ndarray, margin: float, rows: list[int], least: int) -> list[tuple[int, float]]:
+        """(leaf, slack) of the leaves of a query, best bin first: slack is the margin from which on the leaf is visited.
+
+        Beyond the margin leaves are visited until they hold ``least`` of the leaves' ``rows``."""
         promise = (self.centre @ query + np.sqrt(query @ query) * self.spread).tolist()
-        queue, found, first, low = [(-promise[0], 0)], [], None, 0.0
+        queue, found, first, low, seen = [(-promise[0], 0)], [], None, 0.0, 0
         while queue:
             key, node = heapq.heappop(queue)
             if first is not None:
                 low = min(low, -key)
-                if first - low > margin:
+                if first - low > margin and seen >= least:
                     break
             if self.children[node]:
                 for child in self.children[node]:
@@ -109,6 +111,7 @@ class Tree:
                 if first is None:
                     first = low = -key
                 found.append((self.leaf[node], first - low))
+                seen += rows[self.leaf[node]]
         return found
 
 
@@ -140,26 +143,32 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _sampled(rows: DataFrame, n: int, salt: int) -> tuple[int, list]:
-    """The number of rows, and about ``n`` of them: those of the smallest hashes, the same on every run."""
-    total = rows.count()
-    wide = 1 << 40
-    mark = F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(wide))
-    found = rows.where(mark < int(wide * min(1.0, 1.1 * n / max(1, total)))).withColumn("h", mark).collect()
-    return total, sorted(found, key=lambda r: (r["h"], r["id"], r["v"]))[:n]
+    """The number of rows, and ``n`` of them (all, if fewer): those of the smallest hashes of id and vector, the same on every run.
+
+    A threshold keeps the other rows from being sorted; it is raised where equal rows leave too few under it."""
+    total, wide, share = rows.count(), 1 << 40, 0.0
+    mark = F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(wide))
+    found: list = []
+    while len(found) < min(n, total) and share < 1.0:
+        share = min(1.0, 16 * share or 1.2 * n / max(1, total))
+        found = rows.withColumn("h", mark).where(F.col("h") < int(wide * share)).orderBy("h", "id", "v").limit(n).collect()
+    return total, found
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, settings: Settings = Settings(), vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """The ``k`` nearest rows found for each query: query_id, rank (from 1), vec_id, score (inner product in double precision).
 
     Rows whose id or vector is null, whose vector is zero, holds a null or non-finite number or isn't of the commonest length take no
-    part on either side. Rows with a query's id count as the query itself and aren't found. A query id that repeats is asked once
+    part on either side. Every query gets ``k`` rows, or all others where there are fewer: leaves are visited until they hold as many.
+    Rows with a query's id count as the query itself and aren't found. A query id that repeats is asked once
     (its least vector); rows that repeat are found each. Ties go to smaller ids. Other columns are not read. Empty tables give an
     empty result. The margin
     is calibrated on ``settings.trial_queries`` queries against all rows."""
     spark = rows.sparkSession
     small_batches(spark)
     rows = keep(usable(rows, vector, key), "vectors")
-    asked = usable(queries, vector, key).groupBy("id").agg(F.min("v").alias("v"))
+    again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("own")).where("own > 1")  # rows that an asked id has besides its own
+    asked = usable(queries, vector, key).groupBy("id").agg(F.min("v").alias("v")).join(again, "id", "left").select("id", "v", F.coalesce("own", F.lit(1)).alias("own"))
     schema = "query_id long, vec_id long, score double"
     total, sample = _sampled(rows, settings.sample_rows, 1)
     if not total:
@@ -173,6 +182,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, settings: Settings
 
     leaves = rows.mapInArrow(assign, "id long, v array<double>, leaf long")
     sizes = {r["leaf"]: r["count"] for r in leaves.groupBy("leaf").count().collect()}  # a row per leaf
+    held_rows = [sizes.get(leaf, 0) for leaf in range(tree.n_leaves)]
     first, split, n_blocks, room = [0] * tree.n_leaves, [1] * tree.n_leaves, 0, 0
     for leaf in range(tree.n_leaves):  # small leaves share a block, large ones have several
         size = sizes.get(leaf, 0)
@@ -224,7 +234,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, settings: Settings
         slack = []  # of each query's true neighbours
         for q_id, v in zip(trial_ids.tolist(), trial_v, strict=True):
             if own := true.get(q_id):
-                by = dict(tree.visits(v, float("inf")))
+                by = dict(tree.visits(v, float("inf"), held_rows, 0))
                 slack.append(np.array([by[leaf] for leaf in own]))
         for margin in np.unique(np.concatenate(slack)) if slack else ():
             reached = np.array([(x <= margin).mean() for x in slack])
@@ -235,18 +245,18 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, settings: Settings
     spans = [range(first[leaf], first[leaf] + split[leaf]) for leaf in range(tree.n_leaves)]
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray]] = []
+        held: list[tuple[int, np.ndarray, int]] = []
 
         def flush() -> pa.RecordBatch:
             by: dict[int, list[tuple[int, list[int]]]] = {}
-            for n, (_, v) in enumerate(held):
+            for n, (_, v, own) in enumerate(held):
                 wanted: dict[int, list[int]] = {}
-                for leaf, _ in tree.visits(v, margin):
+                for leaf, _ in tree.visits(v, margin, held_rows, k + own):
                     for b in spans[leaf]:
                         wanted.setdefault(b, []).append(leaf)
-                for b, own in wanted.items():
-                    by.setdefault(b, []).append((n, own))
-            ids, x = np.array([i for i, _ in held], dtype=np.int64), np.stack([v for _, v in held])
+                for b, leaves_there in wanted.items():
+                    by.setdefault(b, []).append((n, leaves_there))
+            ids, x = np.array([i for i, _, _ in held], dtype=np.int64), np.stack([v for _, v, _ in held])
             rows = {"block": list(by), "q_ids": [], "q": [], "q_leaves": [], "q_ends": []}
             for found in by.values():
                 n = [f[0] for f in found]
@@ -259,7 +269,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, settings: Settings
 
         for batch in batches:
             if batch.num_rows:
-                held += zip(batch.column("id").to_pylist(), _matrix(batch), strict=True)
+                held += zip(batch.column("id").to_pylist(), _matrix(batch), batch.column("own").to_pylist(), strict=True)
             if len(held) >= settings.chunk:
                 yield flush()
         if held:

@@ -66,3 +66,19 @@ def test_few_rows_and_empty_tables(spark):
     assert found(ann.search(df, df.where("vec_id = 0"), 20, SMALL)) == {0: [(1, 1, 0.5)]}
     assert ann.search(df.where("false"), df, 20, SMALL).count() == 0
     assert ann.search(df, df.where("false"), 20, SMALL).count() == 0
+
+
+def test_queries_far_from_dense_clusters_get_all_their_neighbours(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 8)) * 20
+    rows = [(i, (centres[i % 20] + rng.normal(size=8) * 0.01).tolist()) for i in range(1, 4000)]
+    rows += [(4000 + 20 * i, (rng.normal(size=8) * 300).tolist()) for i in range(4)] + [(20, [1.0] * 8)] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(ann.search(df, df.where("vec_id % 20 = 0"), 20, ann.Settings(sample_rows=500, leaf_rows=4, least_sample=1, block_rows=16, recall=0.5, most=0.1, least_recall=0.1)))
+    assert len(got) == len({i for i, _ in rows if i % 20 == 0}) and all(len(v) == 20 for v in got.values())
+
+
+def test_sample_of_equal_rows_is_bounded(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0])] * 5000 + [(k, [float(k), 1.0]) for k in range(2, 12)], "id long, v array<double>")
+    total, sample = ann._sampled(df, 100, 1)
+    assert total == 5010 and len(sample) == 100
