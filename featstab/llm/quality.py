@@ -1,6 +1,6 @@
 """Quality rules by compression bands.
 
-zstandard compresses each whole text, and each of its full fixed-size chunks by itself. Repetitive text compresses far below what
+zstandard compresses each whole text, and each of its fixed-size chunks by itself; the last chunk ends with the text. Repetitive text compresses far below what
 prose of that length does and noise hardly at all, so a text is rejected when a ratio leaves the band for its length, or when too many
 chunks leave the chunk band. Counting rules (length, repeated word windows) come first.
 """
@@ -27,11 +27,11 @@ class Bands:
     the 0.5 % quantile of the ratio less 1 % (less 5 % from 16384 bytes on, where texts are few) and the 99.5 % quantile plus 5 %; chunks
     likewise. Shorter texts had no labels, and their limits aren't fitted. Fit anew for tables of other prose.
 
-    ``chunk`` bytes a chunk (a shorter rest isn't judged), ``chunk_limits`` its ratios, ``chunk_share`` of chunks outside that rejects."""
+    ``chunk`` bytes a chunk (a shorter text is judged as a whole alone), ``chunk_limits`` its ratios, ``chunk_share`` of chunks outside that rejects."""
 
     limits: tuple[tuple[int, float, float], ...] = ((128, 0.30, 1.00), (256, 0.551, 0.750), (512, 0.510, 0.695), (1024, 0.475, 0.591), (2048, 0.451, 0.541), (4096, 0.425, 0.494), (8192, 0.413, 0.472), (16384, 0.393, 0.450))
     chunk: int = 4096
-    chunk_limits: tuple[float, float] = (0.448, 0.500)
+    chunk_limits: tuple[float, float] = (0.443, 0.500)
     chunk_share: float = 0.5
     level: int = 3
     least_words: int = 50
@@ -73,7 +73,7 @@ def measures(raw: bytes) -> tuple[int, int, int, int, int]:
 
 
 def ratios(raw: bytes, bands: Bands, compressor: zstandard.ZstdCompressor) -> tuple[float | None, int, int, bool]:
-    """Ratio of the whole (None if empty), full chunks, chunks outside their band, whether all bands hold."""
+    """Ratio of the whole (None if empty), chunks, chunks outside their band, whether all bands hold."""
     if not raw:
         return None, 0, 0, True
     ratio, good = len(compressor.compress(raw)) / len(raw), True
@@ -81,11 +81,10 @@ def ratios(raw: bytes, bands: Bands, compressor: zstandard.ZstdCompressor) -> tu
         if len(raw) >= least:
             good = low <= ratio <= high
             break
-    n, bad = len(raw) // bands.chunk, 0
+    starts = [*range(0, len(raw) - bands.chunk, bands.chunk), len(raw) - bands.chunk] if len(raw) >= bands.chunk else []
     low, high = bands.chunk_limits
-    for i in range(n if n > 1 else 0):  # one chunk says what the whole text says
-        bad += not low <= len(compressor.compress(raw[i * bands.chunk : (i + 1) * bands.chunk])) / bands.chunk <= high
-    return ratio, n, bad, good and not (n > 1 and bad >= bands.chunk_share * n)
+    bad = sum(not low <= len(compressor.compress(raw[i : i + bands.chunk])) / bands.chunk <= high for i in starts)
+    return ratio, len(starts), bad, good and not (bad and bad >= bands.chunk_share * len(starts))
 
 
 def judge(docs: DataFrame, bands: Bands = Bands(), text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -28,9 +28,11 @@ def brute(text, bands=quality.Bands()):
     fits = [(low, high) for least, low, high in bands.limits if len(raw) >= least]
     if kept and fits:
         kept = fits[-1][0] <= size(raw) <= fits[-1][1]
-    chunks = [raw[i : i + bands.chunk] for i in range(0, len(raw) - bands.chunk + 1, bands.chunk)]
-    if kept and len(chunks) > 1:
-        kept = sum(not bands.chunk_limits[0] <= size(c) <= bands.chunk_limits[1] for c in chunks) < bands.chunk_share * len(chunks)
+    chunks = [raw[i : i + bands.chunk] for i in range(0, len(raw), bands.chunk)]
+    if len(chunks) > 1 and len(chunks[-1]) < bands.chunk:
+        chunks[-1] = raw[-bands.chunk :]  # the last one ends with the text
+    if kept and len(raw) >= bands.chunk and (bad := sum(not bands.chunk_limits[0] <= size(c) <= bands.chunk_limits[1] for c in chunks)):
+        kept = bad < bands.chunk_share * len(chunks)
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), again, len(covered), failed, kept
 
 
@@ -76,3 +78,16 @@ def test_bands_decide_beyond_the_counting_rules(spark):
     letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
     noise = [(k, " ".join("".join(rng.choice(letters, 12)) for _ in range(size // 13))) for k, size in enumerate((700, 1500, 3000, 6000, 8000, 12000, 40000))]
     assert [(r.base_failed, r.kept) for r in quality.judge(documents(spark, noise)).collect()] == [(False, False)] * len(noise)
+
+
+def test_the_end_of_a_text_is_judged(spark):
+    rng = np.random.default_rng(1)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    vocabulary = ["".join(rng.choice(letters, int(rng.integers(2, 9)))) for _ in range(300)]
+    prose = lambda n: " ".join(vocabulary[int(299 * rng.random() ** 2)] for _ in range(n))[: n * 4]
+    bands = quality.Bands(limits=((1, 0.0, 2.0),), chunk_limits=(0.2, 0.7))
+    packer = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    good = prose(2000)[:5000].encode()
+    assert quality.ratios(good, bands, packer)[1:] == (2, 0, True)
+    assert quality.ratios(good[:4096] + b"z" * 4000, bands, packer)[1:] == (2, 1, False)
+    assert quality.ratios(b"z" * 4096, bands, packer)[1:] == (1, 1, False) and quality.ratios(b"z" * 4095, bands, packer)[1:] == (0, 0, True)
