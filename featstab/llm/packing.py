@@ -27,7 +27,7 @@ from .common import small_batches, table
 class Settings:
     """``window`` tokens; costs, in tokens of padding, of a cut at a sentence's end, of any other cut inside a document and of a window;
     ``gap``: a candidate is set at least so often; ``short``: least power of two that stands without padding; ``block``: tokens that
-    are optimised together."""
+    are held at a time, of which the cuts of the last ``ahead`` are left open until more tokens are known."""
 
     window: int = 1024
     sentence_cost: float = 1.0
@@ -36,12 +36,15 @@ class Settings:
     gap: int = 32
     short: int = 128
     block: int = 1 << 18
+    ahead: int = 1 << 14
 
 
 #: Bytes after which a sentence may end.
 ENDERS = (".", "!", "?", "\n")
 #: Characters on which both tokenizer libraries' patterns agree whatever Unicode version they were built with.
 PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]")
+#: White space that the faster library's pattern would go back over character by character, on a bounded stack.
+WIDE_SPACE = re.compile(r"\s{8192}")
 
 
 class ByteTokenizer:
@@ -65,7 +68,7 @@ class ByteTokenizer:
         self.enders = np.array([ranks[e.encode()] for e in ENDERS if e.encode() in ranks], dtype=np.uint32)
 
     def __call__(self, text: str) -> np.ndarray:
-        if PLAIN.search(text) or self.special and self.special.search(text):
+        if PLAIN.search(text) or WIDE_SPACE.search(text) or self.special and self.special.search(text):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return self.fast.encode_to_numpy(text)
 
@@ -118,60 +121,86 @@ def candidates(ids: np.ndarray, ends: np.ndarray, enders: np.ndarray, settings:
     return where, cost[where]
 
 
-def pack_block(tokens: list[np.ndarray], enders: np.ndarray, settings: Settings) -> dict[str, np.ndarray]:
-    """Pieces of consecutive documents: doc (index), start, length, crc, window (from 0), offset."""
-    ids = np.concatenate(tokens)
-    ends = np.cumsum([len(t) for t in tokens])
-    first = ends - [len(t) for t in tokens]
-    cuts = np.array(best_cuts(*candidates(ids, ends, enders, settings), settings))
-    begin = np.union1d(first, cuts[:-1])
-    length = np.diff(np.append(begin, ends[-1]))
+@dataclass
+class Held:
+    """A document, or what is left of it from ``start`` on: arrays of ids, ``n`` in all; ``total`` of the whole document."""
+
+    key: object
+    start: int
+    total: int
+    ids: list[np.ndarray]
+    n: int
+
+
+def pack_block(docs: list[Held], enders: np.ndarray, settings: Settings, last: bool) -> tuple[dict[str, np.ndarray], list[Held]]:
+    """Pieces of consecutive documents: doc (index), start, length, crc, window (from 0), offset, doc_tokens, first id here; then the rest.
+
+    Unless ``last``, windows in the last ``ahead`` tokens are not fixed, and those tokens are the rest."""
+    ids = np.concatenate([x for d in docs for x in d.ids])
+    behind = np.cumsum([d.n for d in docs])
+    first = behind - [d.n for d in docs]
+    whole = np.array([d.start + d.n == d.total for d in docs])
+    cuts = np.array(best_cuts(*candidates(ids, np.append(behind[whole], len(ids)), enders, settings), settings))
+    if not last:
+        cuts = cuts[: max(2, int(np.searchsorted(cuts, len(ids) - settings.ahead, "right")))]
+    stop = int(cuts[-1])
+    begin = np.union1d(first[first < stop], cuts[:-1])
+    length = np.diff(np.append(begin, stop))
     doc, window = np.searchsorted(first, begin, "right") - 1, np.searchsorted(cuts, begin, "right") - 1
     view = memoryview(ids.astype("<u4").tobytes())
     crc = np.array([zlib.crc32(view[4 * b : 4 * (b + n)]) for b, n in zip(begin.tolist(), length.tolist(), strict=True)], dtype=np.int64)
-    return {"doc": doc, "start": begin - first[doc], "length": length, "crc": crc, "window": window, "offset": begin - cuts[window], "doc_tokens": (ends - first)[doc]}
+    before, total = np.array([d.start for d in docs]), np.array([d.total for d in docs])
+    found = {"doc": doc, "start": begin - first[doc] + before[doc], "length": length, "crc": crc, "window": window, "offset": begin - cuts[window], "doc_tokens": total[doc], "ids": ids, "begin": begin}
+    rest = []
+    for d, a, b in zip(docs, first.tolist(), behind.tolist(), strict=True):
+        if b > stop:
+            cut = max(a, stop)
+            rest.append(Held(d.key, d.start + cut - a, d.total, [ids[cut:b].copy()], b - cut))
+    return found, rest
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, settings: Settings = Settings(), text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """A row per piece of a document in a window.
 
     A document is its text's ids and ``end_id``; null and empty texts are that id alone. Each task packs the documents of its input
-    partition in the order in which it reads them, ``block`` tokens at a time; ``sequence_id`` is the partition's number in the upper
+    partition in the order in which it reads them, ``block`` tokens at a time; no block ends in a cut of its own, as what its last
+    windows hold is looked at again with the next. ``sequence_id`` is the partition's number in the upper
     bits and a count in the lower 32. Repeated rows are packed as separate documents with the same key. A null key stays null. Other
-    columns are not read. An empty table gives an empty result. No shuffle; memory is bounded by a block and the longest text.
+    columns are not read. An empty table gives an empty result. No shuffle; memory is bounded by a block, and the longest text and its ids.
     ``tokenizer`` is a path that every worker can open. ``with_ids`` adds the piece's token ids."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, context = ByteTokenizer(tokenizer), TaskContext.get()
-        base = (context.partitionId() if context else 0) << 32
-        keys: list = []
-        tokens: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            nonlocal base
-            got = pack_block(tokens, encode.enders, settings)
-            named = pa.array(keys, kind).take(pa.array(got["doc"]))
+        base, kind, held, n = (context.partitionId() if context else 0) << 32, None, [], 0
+
+        def flush(last: bool) -> pa.RecordBatch:
+            nonlocal base, held, n
+            got, rest = pack_block(held, encode.enders, settings, last)
+            named = pa.array([d.key for d in held], kind).take(pa.array(got["doc"]))
             out = {key: named, "start": got["start"], "length": got["length"], "ids_crc32": got["crc"], "doc_tokens": got["doc_tokens"], "sequence_id": got["window"] + base, "offset": got["offset"]}
             if with_ids:
-                out["ids"] = pa.array([tokens[d][s : s + n].tolist() for d, s, n in zip(got["doc"].tolist(), got["start"].tolist(), got["length"].tolist(), strict=True)], pa.list_(pa.int32()))
+                out["ids"] = pa.array([got["ids"][b : b + m].tolist() for b, m in zip(got["begin"].tolist(), got["length"].tolist(), strict=True)], pa.list_(pa.int32()))
             base += int(got["window"][-1]) + 1
-            keys.clear()
-            tokens.clear()
+            held, n = rest, sum(d.n for d in rest)
             return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v.astype(np.int64)) for k, v in out.items()})
 
-        kind, held = None, 0
         for batch in batches:
             kind = batch.schema.field(key).type
-            for k, t in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist(), strict=True):
-                keys.append(k)
-                tokens.append(np.append(encode(t or ""), np.uint32(end_id)))
-                held += len(tokens[-1])
-                if held >= settings.block:
-                    held = 0
-                    yield flush()
-        if keys:
-            yield flush()
+            for k, t in zip(batch.column(key).to_pylist(), batch.column(text), strict=True):
+                ids = np.append(encode(t.as_py() or ""), np.uint32(end_id))
+                for at in range(0, len(ids), settings.block):
+                    part = ids[at : at + settings.block]
+                    if at and held:
+                        held[-1].ids.append(part)
+                        held[-1].n += len(part)
+                    else:
+                        held.append(Held(k, at, len(ids), [part], len(part)))
+                    n += len(part)
+                    if n >= settings.block:
+                        yield flush(False)
+        if held:
+            yield flush(True)
 
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return docs.select(key, text).mapInArrow(run, schema)

@@ -79,3 +79,19 @@ def test_cuts_are_the_cheapest(seed):
     at = {p: i for i, p in enumerate(where.tolist())}
     best = min(cost(where, penalty, settings, [0, *inner, 11]) for n in range(11) for inner in combinations(range(1, 11), n))
     assert cost(where, penalty, settings, [at[p] for p in got]) == pytest.approx(best)
+
+
+def test_runs_of_white_space(spark):
+    rows = [(1, " " * 1_000_000 + "end"), (2, "a" + "\n" * 300_000), (3, "b " + " \n\t" * 3000 + "c d"), (4, " " * 8191 + "x")]
+    check(rows, packing.pack(documents(spark, rows), PATH).collect())
+
+
+def test_blocks_leave_no_cuts_of_their_own(spark):
+    """Long documents go through in bounded blocks, and the pieces cost what those of one block do."""
+    rows = [(1, "Some words make a sentence of their own. " * 3000), (2, "short"), (3, "no end in sight " * 2000), *((k, f"Text {k}. " * (k % 97)) for k in range(4, 200))]
+    docs = documents(spark, rows).coalesce(1)
+    small, large = (packing.pack(docs, PATH, settings=packing.Settings(window=64, short=16, block=b, ahead=512)).collect() for b in (2048, 1 << 18))
+    a, b = check(rows, small, 64), check(rows, large, 64)
+    assert a <= b + 0.002 and len(small) <= 1.01 * len(large)
+    order = [(r.doc_id, r.start) for r in sorted(small, key=lambda r: (r.sequence_id, r.offset))]
+    assert order == sorted(order)
