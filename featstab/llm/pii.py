@@ -8,7 +8,9 @@ documents, and two values of one length never become one.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +18,38 @@ from pyspark.sql import functions as F
 from .common import table
 
 ROUNDS = 8
+#: Where the key of a deployment is configured.
+KEY_SETTING = "spark.featstab.pseudonymKey"
 #: Kinds in the order in which a candidate is tried.
-KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
-DIGITS, LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+KINDS = ("email", "iban", "ip6", "ip", "date", "ssn", "phone", "abroad", "card")
+DIGITS, LETTERS, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+# Characters of an account number by country (ISO 13616).
+ACCOUNT_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+# Country codes of telephones with one and with two digits (ITU E.164); all others have three.
+ONE_DIGIT, TWO_DIGITS = ("1", "7"), "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def _account(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    spaced = f"(?: [A-Z0-9]{{4}}){{{groups}}}" + (f" [A-Z0-9]{{{rest}}}" if rest else "")
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:[A-Z0-9]{{{length - 4}}}|{spaced})(?![0-9A-Za-z])"
+
+
+#: Account numbers of the countries above have their length; those of others may have any.
+_KNOWN, _OTHER = "|".join(_account(*x) for x in ACCOUNT_LENGTHS.items()), "|".join(" ".join(ACCOUNT_LENGTHS.values()).split())
 SHAPES = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "iban": rf"(?=[A-Z]{{2}}[0-9]{{2}}[A-Z0-9 ])(?:{_KNOWN}|(?!{_OTHER})[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?))",
+    "ip6": r"(?<!:)[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?!:[0-9A-Fa-f])",
     "ip": r"(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])",
     "date": r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
+    "phone": r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
+    "abroad": r"\+[1-9][0-9]{0,2}(?:[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,12}){1,5}",
     "card": r"[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19}",
 }
 PATTERN = r"(?<![0-9A-Za-z])(?:" + "|".join(f"(?:{SHAPES[k]})" for k in KINDS) + r")(?![0-9A-Za-z])"
@@ -134,12 +158,13 @@ def kind_of(m: Column) -> Column:
     digits, flat = _digits(m), F.regexp_replace(m, " ", "")
     octets = F.transform(F.split(m, "\\."), lambda o: _long(o) <= 255)
     full = {k: m.rlike(f"^(?:{SHAPES[k]})$") for k in KINDS}
+    short = (F.length(digits) >= 8) & (F.length(digits) <= 15)
     found = F.when(F.instr(m, "@") > 0, "email")
     found = found.when(full["iban"], F.when(_mod97(F.concat(F.substr(flat, F.lit(5)), F.substr(flat, F.lit(1), F.lit(4)))) == 1, "iban"))
-    found = found.when(full["ip"], F.when(F.forall(octets, lambda o: o), "ip"))
+    found = found.when(full["ip6"], "ip6").when(full["ip"], F.when(F.forall(octets, lambda o: o), "ip"))
     found = found.when(full["date"], F.when(year.between(1800, 2199) & month.between(1, 12) & day.between(1, 31) & (day <= days), "date"))
     found = found.when(full["ssn"], F.when(~m.rlike("^(?:000|666|9)|-00-|-0000$"), "ssn"))
-    return found.when(full["phone"], "phone").when(full["card"], F.when((_luhn(digits, 1) % 10 == 0) & (F.translate(digits, "0", "") != ""), "card"))
+    return found.when(full["phone"], "phone").when(full["abroad"], F.when(short, "abroad")).when(full["card"], F.when((_luhn(digits, 1) % 10 == 0) & (F.translate(digits, "0", "") != ""), "card"))
 
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
@@ -154,6 +179,10 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     body = permuted_text(key, "iban", F.substr(flat, F.lit(5)), lambda c, i: F.when(c.rlike("[0-9]"), digit).otherwise(F.lit(LETTERS.upper())))
     check = F.lpad((98 - _mod97(F.concat(body, F.substr(flat, F.lit(1), F.lit(2)), F.lit("00")))).cast("string"), 2, "0")
     iban = _respelt(m, "A-Z0-9", F.concat(F.substr(flat, F.lit(1), F.lit(2)), check, body))
+    # network address of eight groups: all of its 32 digits, leading noughts of a group left out
+    nibbles = F.array_join(F.transform(F.split(F.lower(m), ":"), lambda g: F.lpad(g, 4, "0")), "")
+    moved6 = permuted_text(key, "ip6", nibbles, lambda c, i: F.lit(HEX))
+    ip6 = F.element_at(F.transform(F.array(moved6), lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substr(x, 4 * i + 1, F.lit(4)), "^0{1,3}", "")), ":")), 1)
     # network address: two pairs of octets
     o = [_long(F.get(F.split(m, "\\."), F.lit(i))) for i in range(4)]
     pair = permuted_number(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 1 << 16, 1 << 16)
@@ -181,10 +210,14 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     # telephone: the last ten digits; area and exchange keep to 2-9 where they do
     starts = lambda c, i: F.when((i == 0) | (i == 3), F.when(c.isin("0", "1"), F.lit("01")).otherwise(F.lit("23456789"))).otherwise(digit)
     phone = _respelt(m, "0-9", permuted_text(key, "phone", F.substr(digits, F.length(digits) - 9, F.lit(10)), starts))
+    # other telephones: what follows the country's code; its first digit keeps to 1-9 where it does
+    own = F.when(digits.rlike(f"^(?:{'|'.join(ONE_DIGIT)})"), 1).when(digits.rlike(f"^(?:{'|'.join(TWO_DIGITS)})"), 2).otherwise(3)
+    inside = F.concat(F.substr(digits, F.lit(1), own), permuted_text(key, "abroad", F.substr(digits, own + 1), lambda c, i: F.when(i > 0, digit).when(c == "0", F.lit("0")).otherwise(F.lit("123456789"))))
+    abroad = _respelt(m, "0-9", inside)
     # card: all but the check digit, which is computed anew
     head = F.transform(F.array(permuted_text(key, "card", F.substr(digits, F.lit(1), F.length(digits) - 1), lambda c, i: digit)), lambda h: F.concat(h, F.pmod(-_luhn(h, 0), F.lit(10)).cast("string")))
     card = _respelt(m, "0-9", F.element_at(head, 1))
-    made = {"email": email, "iban": iban, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "card": card}
+    made = {"email": email, "iban": iban, "ip6": ip6, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "abroad": abroad, "card": card}
     found = F.when(kind.isNull(), m)
     for k in KINDS:
         found = found.when(kind == k, made[k])
@@ -196,7 +229,7 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", chars: str | No
 
     Null stays null with counts 0; empty texts and texts without valid values stay as they are. Values are replaced wherever they
     stand, in texts of any length. A number that only looks like a kind (wrong check digit, 31 February, octet over 255) stays.
-    Slashed dates count as month first where that is possible. Columns of ``docs`` named like a count are replaced by it. ``chars``
+    Slashed dates count as month first where that is possible. Addresses of eight groups are spelt without leading noughts. Columns of ``docs`` named like a count are replaced by it. ``chars``
     names a column for the new length. Equal values become equal values in every row; repeated rows stay equal. No shuffle."""
     rows = docs.select(F.struct("*").alias("_row"), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)).alias("_m"))
     rows = rows.select("_row", F.transform("_m", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k"))).alias("_found"))
@@ -214,6 +247,19 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", chars: str | No
     return rows.select(*(changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns if c not in counts), *(v.alias(c) for c, v in counts.items()))
 
 
-def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str, key: str = "replace this key") -> DataFrame:
+@lru_cache
+def _own_key(application: str) -> str:
+    """A random key for an application without a configured one."""
+    del application
+    return secrets.token_hex(32)
+
+
+def configured_key(spark: SparkSession) -> str:
+    """The key of KEY_SETTING. Where it is unset, a random one that lasts as long as the application: values are linked within it,
+    and nobody can link or invert them later."""
+    return spark.conf.get(KEY_SETTING, None) or _own_key(spark.sparkContext.applicationId)
+
+
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data pseudonymised, and what was replaced."""
-    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), configured_key(spark))

@@ -34,14 +34,22 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its personal data pseudonymised and its length set anew."""
-    del spark, sf_dir
-    chars = "n_chars" if "n_chars" in docs.columns else None
-    return pii.pseudonymised(docs, "replace this key", chars=chars).select(docs.columns)
+    """Every document, its personal data pseudonymised under the configured key and its length set anew.
+
+    Null and empty texts stay as they are, repeated rows stay equal, an empty table stays empty; columns keep names, types and order,
+    also those named like a count of the operator's."""
+    del sf_dir
+    names = docs.columns
+    found = pii.pseudonymised(docs.select(F.struct("*").alias("_kept"), F.col("text").alias("_own")), pii.configured_key(spark), text="_own")
+    made = {"text": F.col("_own")} | ({"n_chars": F.length("_own").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
+    return found.select(*(made.get(c, F.col("_kept")[c]).alias(c) for c in names))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as the mix takes them, in training order: some repeatedly, some not, at most one of a source cut."""
+    """The documents as the mix takes them, in training order: some repeatedly, some not, at most one of a source cut.
+
+    Null and empty texts have no words and are never taken; null sources are one source; rows that repeat a key are documents of their
+    own, ties are ordered by content. An empty table stays empty."""
     del spark, sf_dir
     return mixing.mix(docs)
 
@@ -58,7 +66,10 @@ def in_written_order(docs: DataFrame) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of 1024 tokens, in the order in which the documents were written: sequence ids rise with it."""
+    """Pieces of all documents in windows of 1024 tokens, in the order in which the documents were written: sequence ids rise with it.
+
+    Null and empty texts are their end alone, rows that repeat a key are packed each, a null key stays null; other columns are not read.
+    An empty table gives no pieces."""
     del spark, sf_dir
     import public_tokenizers
 

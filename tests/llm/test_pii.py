@@ -3,8 +3,10 @@ import hashlib
 import re
 
 import pytest
+import regex
 
 from featstab.llm import pii
+from featstab.llm.common import table
 
 from .helpers import AWKWARD, documents
 
@@ -105,3 +107,132 @@ def test_key_matters(spark, key):
 def test_plan_is_native(spark):
     plan = pii.pseudonymised(documents(spark, [(1, "x")]), KEY)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def brute_numbers(kind, left, right, n_left, n_right):
+    for i in range(pii.ROUNDS):
+        digest = int(hashlib.sha256(f"{KEY}|{kind}|{i}|{right if i % 2 == 0 else left}".encode()).hexdigest()[:12], 16)
+        if i % 2 == 0:
+            left = (left + digest) % n_left
+        else:
+            right = (right + digest) % n_right
+    return left, right
+
+
+def respelt(value, new, kept):
+    """``value`` with its last characters of a class replaced by those of ``new``."""
+    new, out = list(new), []
+    for c in reversed(value):
+        out.append(new.pop() if new and re.fullmatch(f"[{kept}]", c) else c)
+    return "".join(reversed(out))
+
+
+def remainder(account):
+    return int("".join(str(int(c, 36)) for c in account)) % 97
+
+
+def brute_value(m):
+    """(kind, pseudonym) of a candidate, written down case by case; None if it isn't valid."""
+    digits = re.sub(r"\D", "", m)
+    if "@" in m:
+        name, _, domain = m.partition("@")
+        letters = re.sub("[^a-z0-9]", "", name.lower())
+        return "email", respelt(name.lower(), brute_text("email", letters, [pii.LETTERS + pii.DIGITS] * len(letters)), "a-z0-9") + "@" + domain
+    if re.match("[A-Z]{2}[0-9]{2}[A-Z0-9 ]", m):
+        flat = m.replace(" ", "")
+        if remainder(flat[4:] + flat[:4]) != 1:
+            return None
+        body = brute_text("iban", flat[4:], [pii.DIGITS if c.isdigit() else pii.LETTERS.upper() for c in flat[4:]])
+        return "iban", respelt(m, f"{flat[:2]}{98 - remainder(body + flat[:2] + '00'):02d}{body}", "A-Z0-9")
+    if m.count(":") == 7:
+        x = brute_text("ip6", "".join(g.zfill(4) for g in m.lower().split(":")), [pii.HEX] * 32)
+        return "ip6", ":".join(f"{int(x[i : i + 4], 16):x}" for i in range(0, 32, 4))
+    if re.fullmatch(r"\d+(\.\d+){3}", m) and not re.fullmatch(r"\d{3}\.\d{3}\.\d{4}", m):
+        o = [int(x) for x in m.split(".")]
+        if max(o) > 255:
+            return None
+        left, right = brute_numbers("ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 1 << 16, 1 << 16)
+        return "ip", ".".join(map(str, (*divmod(left, 256), *divmod(right, 256))))
+    if re.fullmatch(r"\d{4}([-/])\d{1,2}\1\d{1,2}|\d{1,2}([./])\d{1,2}\2\d{4}", m):
+        part, sep = re.split("[-/.]", m), re.search("[-/.]", m)[0]
+        order = "ymd" if len(part[0]) == 4 else "mdy" if sep != "." and int(part[0]) <= 12 else "dmy"
+        by = dict(zip(order, part, strict=True))
+        try:
+            day = datetime.date(int(by["y"]), int(by["m"]), int(by["d"]))
+        except ValueError:
+            return None
+        if not 1800 <= day.year < 2200:
+            return None
+        a, b = brute_numbers("date", *divmod((day - datetime.date(1800, 1, 1)).days, 773), 189, 773)
+        new = datetime.date(1800, 1, 1) + datetime.timedelta(a * 773 + b)
+        shown = {"y": f"{new.year:04d}"} | {k: f"{x:0{2 if len(by[k]) == 2 else 1}d}" for k, x in (("m", new.month), ("d", new.day))}
+        return "date", sep.join(shown[k] for k in order)
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", m):
+        if re.match("000|666|9|...-00|.*-0000", m):
+            return None
+        sets = ["0" if c == "0" else "123456789" if i > 2 else "6" if c == "6" else "1234578" if i == 0 else "12345789" for i, c in enumerate(digits)]
+        return "ssn", respelt(m, brute_text("ssn", digits, sets), "0-9")
+    if re.fullmatch(r"(\+1[ .-]?)?(\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}", m):
+        last = digits[-10:]
+        sets = [("01" if c in "01" else "23456789") if i in (0, 3) else pii.DIGITS for i, c in enumerate(last)]
+        return "phone", respelt(m, brute_text("phone", last, sets), "0-9")
+    if m[0] == "+":
+        if not 8 <= len(digits) <= 15:
+            return None
+        code = 1 if digits[0] in pii.ONE_DIGIT else 2 if digits[:2] in pii.TWO_DIGITS else 3
+        sets = [pii.DIGITS if i else "0" if c == "0" else "123456789" for i, c in enumerate(digits[code:])]
+        return "abroad", respelt(m, digits[:code] + brute_text("abroad", digits[code:], sets), "0-9")
+    if not luhn(digits) or not digits.strip("0"):
+        return None
+    head = brute_text("card", digits[:-1], [pii.DIGITS] * (len(digits) - 1))
+    return "card", respelt(m, head + next(c for c in pii.DIGITS if luhn(head + c)), "0-9")
+
+
+def compare(spark, rows, got):
+    for (d, text), r in zip(sorted(rows), sorted(got, key=lambda r: r.doc_id), strict=True):
+        found = []
+
+        def new(m, found=found):
+            value = brute_value(m[0])
+            found.append(value and value[0])
+            return value[1] if value else m[0]
+
+        want = None if text is None else regex.sub(pii.PATTERN, new, text)
+        assert (d, want) == (r.doc_id, r.text)
+        assert [found.count(k) for k in pii.KINDS] == [r[f"n_{k}"] for k in pii.KINDS]
+
+
+def test_query_equals_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
+    spark.conf.set(pii.KEY_SETTING, KEY)
+    try:
+        compare(spark, rows, pii.op1_feistel_pseudonyms(spark, sf).collect())
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_every_kind_equals_brute_force(spark):
+    texts = [
+        "BE68 5390 0754 7034 PAID and BE68539007547034, BE68 5390 0754 7035 or DE89 3704 0044 0532 0130 00 AB",
+        "ZZ79 1234 5678 9012 3456 is of no known country",
+        "j\u00fcrgen.m\u00fcller@x.de, J\u00dcRGEN@x.de and a+b_c%d@sub.example.co.uk",
+        "2001:0db8:85a3:0000:0000:8a2e:0370:7334 2001:DB8:85A3:0:0:8A2E:370:7334, 12:30:45 and 1:2:3:4:5:6:7:8:9",
+        "+49 30 1234567, +44 (0)20 7946 0958, +358.9.123.456 and +12 or +1 212 555 0100 (212) 555-0100 212.555.0100",
+        "10.0.0.1 255.255.255.256 1984-02-29 31.12.1999 7/4/1976 078-05-1120 000-12-3456 4111 1111 1111 1111 378282246310005",
+    ]
+    got = pii.pseudonymised(documents(spark, list(enumerate(texts))), KEY).collect()
+    compare(spark, list(enumerate(texts)), got)
+    by = {r.doc_id: r for r in got}
+    assert by[0].n_iban == 3 and "BE68 5390 0754 7034" not in by[0].text and " PAID and " in by[0].text and by[0].text.endswith(" AB")
+    assert by[2].n_email == 3 and "j\u00fcrgen" not in by[2].text.lower()
+    assert by[3].n_ip6 == 2 and len(set(re.findall(r"(?:[0-9a-f]+:){7}[0-9a-f]+", by[3].text.split(", ")[0]))) == 1
+    assert by[4].n_abroad == 3 and by[4].n_phone == 3 and by[4].text.startswith("+49 ") and "+44 (0)" in by[4].text
+
+
+def test_key_is_configured_or_lasts_for_the_application(spark):
+    assert pii.configured_key(spark) == pii.configured_key(spark) and len(pii.configured_key(spark)) == 64
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    try:
+        assert pii.configured_key(spark) == "mine"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
