@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import keep, table
 
+#: Bits of the random number that orders a source's documents: wide enough that only rows equal in key and text share one.
+BITS = 60
 WORD = r"[^\x20\x09-\x0D]+"
 FLAT, RISING, FALLING = ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.5), (1.0, 0.5))
 
@@ -56,9 +58,9 @@ def words(text: str = "text") -> Column:
 
 
 def sized(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """Each row as the struct ``_row``, with its size, source and keyed random number."""
-    mark = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    return docs.select(F.struct("*").alias("_row"), words(text).alias("_size"), F.col(source).cast("string").alias("_source"), F.conv(F.substring(F.md5(mark.cast("binary")), 1, 8), 16, 10).cast("long").alias("_h"), F.xxhash64(key, text).alias("_x"))
+    """Each row as the struct ``_row``, with its size, source and a random number of BITS bits keyed by key and text."""
+    mark = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("")))
+    return docs.select(F.struct("*").alias("_row"), words(text).alias("_size"), F.col(source).cast("string").alias("_source"), F.conv(F.substring(F.md5(mark.cast("binary")), 1, BITS // 4), 16, 10).cast("long").alias("_h"))
 
 
 def demand(rows: DataFrame, plan: Curriculum) -> DataFrame:
@@ -81,14 +83,15 @@ def scheduled(rows: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
     """``rows`` of sized() with source size, target and ``_plays``: (repetition, words, position), without empty ones.
 
     A document's start in its source is a two-level sum: rows fall into about sqrt(n) intervals of the random number; interval
-    totals are summed along the source and rows within their interval, so neither window grows with a hot source but as a root."""
+    totals are summed along the source and rows within their interval, so neither window grows with a hot source but as a root. Rows
+    equal in key and text share an interval."""
     sources = keep(demand(rows, plan), "sources")  # a row per source; its known size lets Spark broadcast it where that is small
     placed = rows.join(sources, rows["_source"].eqNullSafe(sources["_source"])).drop("_source")
-    placed = placed.withColumn("_bin", F.floor(F.col("_h") * F.ceil(F.sqrt(F.col("_n").cast("double"))) / F.lit(float(1 << 32))))
+    placed = placed.withColumn("_bin", F.floor(F.col("_h") * F.ceil(F.sqrt(F.col("_n").cast("double"))).cast("double") / F.lit(float(1 << BITS))))
     bins = placed.groupBy("_rank", "_bin").agg(F.sum("_size").alias("_sum"))
     along = Window.partitionBy("_rank").orderBy("_bin")
     bins = bins.select("_rank", "_bin", (F.sum("_sum").over(along) - F.col("_sum")).alias("_before"))
-    inside = Window.partitionBy("_rank", "_bin").orderBy("_h", "_size", "_x").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_rank", "_bin").orderBy("_h", "_size").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("_start", F.sum("_size").over(inside) - F.col("_size")).join(bins, ["_rank", "_bin"])
     start, quota = F.col("_before") + F.col("_start"), F.floor("_target")
 
@@ -99,7 +102,7 @@ def scheduled(rows: DataFrame, plan: Curriculum = Curriculum()) -> DataFrame:
         time = plan.time(0, u)
         for k in range(1, len(plan.weights)):
             time = F.when(F.col("_class") == k, plan.time(k % len(plan.schedules), u)).otherwise(time)
-        return F.struct(e.alias("repetition"), taken.alias("words"), F.round(time, 6).alias("position"))
+        return F.struct(e.alias("repetition"), taken.alias("words"), time.alias("position"))
 
     repetitions = F.sequence(F.lit(0).cast("long"), F.lit(max(0, int(-(-plan.limit // 1)) - 1)).cast("long"))
     return placed.withColumn("_plays", F.filter(F.transform(repetitions, play), lambda p: p["words"] > 0))
@@ -111,7 +114,7 @@ def mix(docs: DataFrame, plan: Curriculum = Curriculum(), text: str = "text", ke
     At most one document per source is taken in part: its first words, joined by single spaces, and ``chars`` (if there is such a
     column) their length. Null and empty texts have size 0 and are never taken. Null sources are a source of their own, the last.
     Rows that repeat a key are documents of their own. Columns keep their names and types, whatever they are. An empty table gives
-    an empty result. Ties of the random number are ordered by size and text, so reruns agree."""
+    an empty result. The random number follows from key and text, so reruns agree."""
     rows = scheduled(sized(docs, text, key, source), plan).select("_row", "_size", F.explode("_plays").alias("_play"))
     cut = F.col("_play.words") < F.col("_size")
     short = F.array_join(F.slice(F.regexp_extract_all(F.col("_row")[text], F.lit(WORD), F.lit(0)), 1, F.col("_play.words").cast("int")), " ")
@@ -125,17 +128,17 @@ def mix(docs: DataFrame, plan: Curriculum = Curriculum(), text: str = "text", ke
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, source size, source target and words taken of every document, range-sorted by its first training position."""
     docs = table(spark, sf_dir, "documents")
-    small = keep(sized(docs).select(F.struct(F.col("_row.doc_id").alias("doc_id")).alias("_row"), "_size", "_source", "_h", "_x"), "sizes")
+    small = keep(sized(docs).select(F.struct(F.col("_row.doc_id").alias("doc_id")).alias("_row"), "_size", "_source", "_h"), "sizes")
     found = scheduled(small)
     taken = F.aggregate("_plays", F.lit(0).cast("long"), lambda total, p: total + p["words"])
     found = found.select(F.col("_row.doc_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_all").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"), F.try_element_at(F.col("_plays"), F.lit(1))["position"].alias("position"))
-    return found.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return found.orderBy(F.col("position").asc_nulls_last(), "doc_id").withColumn("position", F.round("position", 9))
 
 
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS h
+         ('0x' || md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(md5(text), ''))[1:15])::BIGINT AS h
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source
@@ -148,13 +151,13 @@ WITH d AS (
   SELECT source, source_size, rank, round(least(cap, coalesce(max(CASE WHEN cap >= own * weight THEN own END) OVER () * weight, cap)), 6) AS target FROM l
 ), p AS (
   SELECT doc_id, size, source_size, target, rank % 3 AS class, floor(target)::BIGINT AS quota,
-         (sum(size) OVER (PARTITION BY rank ORDER BY h, size, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT - size AS start
+         (sum(size) OVER (PARTITION BY rank ORDER BY h, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), q AS (
   SELECT *, greatest(least(quota - start, size), 0)::BIGINT AS one, greatest(least(quota - start - source_size, size), 0)::BIGINT AS two FROM p
 ), u AS (SELECT *, CASE WHEN one > 0 THEN (start::DOUBLE + one / 2.0::DOUBLE) / quota::DOUBLE END AS x FROM q)
 SELECT doc_id, size, source_size, target, one + two AS taken,
        round(CASE WHEN x IS NULL THEN NULL WHEN class = 0 THEN x WHEN class = 1 THEN (sqrt(0.25::DOUBLE + 2.0::DOUBLE * x) - 0.5::DOUBLE) / 1.0::DOUBLE
-                        ELSE (sqrt(greatest(2.25::DOUBLE - 2.0::DOUBLE * x, 0)) - 1.5::DOUBLE) / -1.0::DOUBLE END, 6) AS position
+                        ELSE (sqrt(greatest(2.25::DOUBLE - 2.0::DOUBLE * x, 0)) - 1.5::DOUBLE) / -1.0::DOUBLE END, 9) AS position
 FROM u
 """
