@@ -1,8 +1,8 @@
 """Deterministic sharded WARC archives.
 
-Records are range-sorted by page id into shards whose bounds follow from the data alone; each shard is written as files that roll at a
-compressed size, one gzip member per record, with headers and digests made anew. Tasks write under temporary names; the driver renames
-the files of the attempts that succeeded and commits them by a manifest, written last. Equal payloads are stored once: the record
+Records are range-sorted by page id and digest into shards whose bounds follow from the data alone; a shard is a partition, written as
+files that roll at a compressed size, one gzip member per record, with headers and digests made anew. Tasks write under temporary
+names; the files of the attempts that succeeded are renamed and committed by a manifest, written last. Equal payloads are stored once: the record
 of the largest page id is the response, the others revisit it.
 """
 
@@ -14,6 +14,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -26,11 +27,14 @@ from .files import of
 
 @dataclass(frozen=True)
 class Layout:
-    """``roll`` compressed bytes after which a file ends, ``shard`` payload bytes of a shard (about), ``least`` payload bytes from
-    which equal payloads are stored once; ``date`` of the records; ``sample`` page ids from which bounds are taken."""
+    """``roll`` compressed bytes after which a file ends, ``shard`` payload bytes of a shard (about), fewer where there would be less than
+    ``shards`` of them, but not under ``small``; ``least`` payload bytes from which equal payloads are stored once; ``date`` of the
+    records; ``sample`` pages from which bounds are taken."""
 
     roll: int = 64 << 20
     shard: int = 256 << 20
+    small: int = 4 << 20
+    shards: int = 64
     least: int = 0
     level: int = 6
     date: str = "1970-01-01T00:00:00Z"
@@ -41,27 +45,29 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def _between(bounds: list[int], x: Column) -> Column:
-    """How many bounds are at most x, over two levels; null: 0."""
+def _between(bounds: list[tuple[int, str]], x: Column) -> Column:
+    """How many bounds (page id, digest) are at most x, over two levels; null ids are the least."""
     if not bounds:
         return F.lit(0)
     step = max(1, int(len(bounds) ** 0.5))
     parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     many = lambda array: F.size(F.filter(array, lambda b: b <= x))
-    longs = lambda values: F.array(*(F.lit(v).cast("long") for v in values))
-    part = many(longs(p[0] for p in parts))
-    inside = F.element_at(F.array(*(longs(p) for p in parts)), part)
-    return F.when(x.isNull() | (x < bounds[0]), 0).otherwise((part - 1) * step + many(inside))
+    pairs = lambda values: F.array(*(F.struct(F.lit(i).cast("long").alias("page_id"), F.lit(d).alias("digest")) for i, d in values))
+    part = many(pairs(p[0] for p in parts))
+    return F.when(part == 0, 0).otherwise((part - 1) * step + many(F.get(F.array(*(pairs(p) for p in parts)), part - 1)))
 
 
-def shard_of(ids: DataFrame, n: int, layout: Layout) -> Column:
-    """The shard of ``page_id``: ranges of equal numbers of pages, from a hashed sample."""
+def shard_of(ids: DataFrame, n: int, layout: Layout) -> tuple[Column, int]:
+    """The shard of (page_id, digest), and the number of shards: ranges of equal numbers of pages, from a hashed sample.
+
+    The sample's bound holds whatever the ids are: it is by id and digest, each pair once."""
     if n < 2:
-        return F.lit(0)
+        return F.lit(0), 1
     wide, total = 1 << 40, ids.count()
-    share = int(wide * min(1.0, layout.sample / max(1, total)))
-    found = sorted(r[0] for r in ids.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(wide)) < share)).select("page_id").collect())
-    return _between(sorted({found[len(found) * k // n] for k in range(1, n)} if found else ()), F.col("page_id"))
+    share, mark = int(wide * min(1.0, layout.sample / max(1, total))), F.pmod(F.xxhash64("page_id", "digest"), F.lit(wide))
+    found = sorted((r["page_id"], r["digest"]) for r in ids.where(F.col("page_id").isNotNull() & (mark < share)).select("page_id", "digest").distinct().collect())
+    bounds = sorted({found[len(found) * k // n] for k in range(1, n)} if found else ())
+    return _between(bounds, F.struct(F.col("page_id").alias("page_id"), F.col("digest").alias("digest"))), len(bounds) + 1
 
 
 def _identity(*parts: object) -> str:
@@ -131,7 +137,7 @@ def write(pages: DataFrame, folder: str, layout: Layout = Layout(), key: str = "
 
     Null html is an empty payload, null url a urn of the page id. Payloads are equal if their SHA-1 and length are. Rows that repeat a
     page id are records of their own; of equal rows one is the response and the others revisit it. Null ids sort first and are the
-    least; a group of null ids alone refers to null. Other columns are not read. An empty table gives a manifest without files. The
+    least, of one shard; a group of null ids alone refers to null. Other columns are not read. An empty table gives a manifest without files. The
     same table gives the same files whatever its partitions and order, but for the order of rows equal in id and payload."""
     spark = pages.sparkSession
     small_batches(spark)
@@ -139,13 +145,13 @@ def write(pages: DataFrame, folder: str, layout: Layout = Layout(), key: str = "
     rows = rows.withColumn("digest", F.sha1("payload"))
     ids = rows.select("page_id", "digest", F.octet_length("payload").alias("n"))
     size = ids.agg(F.sum("n")).first()[0] or 0
-    shard = shard_of(ids, -(-size // layout.shard), layout)
+    shard, shards = shard_of(ids, -(-size // max(layout.small, min(layout.shard, size // layout.shards))), layout)
     shared = ids.where(F.col("n") >= layout.least).groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     equal = ids.join(shared, ["digest", "n"]).select("page_id", "digest", "refers_to").distinct()
     # what is known of a page's payload travels to its shard by itself and comes before the page, so payloads are shuffled once
     known = equal.select(shard.alias("shard"), "page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
     whole = rows.select(shard.alias("shard"), "page_id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers_to"))
-    dealt = whole.unionByName(known).repartition("shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "kind", "url")
+    dealt = whole.unionByName(known).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "kind", "url")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, told, before = None, None, None
@@ -173,8 +179,8 @@ def write(pages: DataFrame, folder: str, layout: Layout = Layout(), key: str = "
     found = sorted((r.asDict() for r in dealt.mapInArrow(run, FILES).collect()), key=lambda r: r["name"])  # a row per file
     system, path = of(folder)
     system.create_dir(path, recursive=True)
-    for r in found:
-        system.move(r.pop("temporary"), f"{path}/{r['name']}")
+    with ThreadPoolExecutor(32) as pool:
+        list(pool.map(lambda r: system.move(r.pop("temporary"), f"{path}/{r['name']}"), found))
     system.create_dir(f"{path}/_temporary")
     system.delete_dir(f"{path}/_temporary")
     manifest = {"folder": folder, "files": found}

@@ -42,7 +42,7 @@ def test_query_equals_sql_and_brute_force(spark, sf):
         assert got == sorted(map(str, con.execute(warc.OP7_SQL).fetchall()))
 
 
-@pytest.mark.parametrize("layout", [warc.Layout(), warc.Layout(roll=300, shard=2000)])
+@pytest.mark.parametrize("layout", [warc.Layout(), warc.Layout(roll=300, shard=2000, small=500)])
 def test_awkward_rows_round_trip(spark, layout):
     df = spark.createDataFrame([(*r, 1, 2) for r in ROWS], PAGES + ", shard int, digest int")
     folder = shared_dir(spark, "test")
@@ -57,7 +57,7 @@ def test_awkward_rows_round_trip(spark, layout):
 
 def test_files_do_not_depend_on_partitions_or_order(spark):
     rows = [(i, f"http://h{i % 7}.example/{i}", f"<p>{i % 50}</p>" * (1 + i % 9)) for i in range(300)]
-    layout, out = warc.Layout(roll=2000, shard=1500), []
+    layout, out = warc.Layout(roll=2000, shard=1500, small=500), []
     for order, n in ((rows, 1), (rows[::-1], 5)):
         folder = shared_dir(spark, "test")
         warc.write(spark.createDataFrame(order, PAGES).repartition(n), folder, layout)
