@@ -38,9 +38,13 @@ def buckets_for(df: DataFrame, each: int) -> int:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new path under spark.checkpoint.dir, which driver and executors share; a temporary folder where that is unset."""
+    """A new path under spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, a temporary folder serves a session of one machine, as in tests; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="featstab-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

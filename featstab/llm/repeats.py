@@ -25,13 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, shared_dir, small_batches, table, utf8
+from .common import arrow_map, buckets_for, shared_dir, small_batches, table, utf8
 from .files import get_array, put_array
 from .lm import dealt, pack, scattered, unpack
 
 #: Bytes of the k-grams that can be anchors; positions taken at a time; contents from which on an anchor counts as frequent;
-#: bytes of distinct segments in an index, about; entries that a task holds before it hands them on.
-GRAM, STRETCH, FREQUENT, INDEX, HELD = 24, 1 << 20, 1024, 1 << 20, 500_000
+#: bytes of distinct segments in an index, about; entries that a task holds before it hands them on; bytes
+#: of input for a bucket of segments, about.
+GRAM, STRETCH, FREQUENT, INDEX, HELD, INPUT = 24, 1 << 20, 1024, 1 << 20, 500_000, 32 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 LOW = np.uint64((1 << 24) - 1)
 
@@ -243,7 +244,7 @@ def index(docs: DataFrame, length: int = 200, text: str = "text") -> Stored:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(text)
-    stored = Stored(shared_dir(spark, "repeats"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stored = Stored(shared_dir(spark, "repeats"), buckets_for(docs, INPUT))
     buckets = stored.buckets
 
     def count_segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
