@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,11 @@ NOISE = 1e-12
 
 
 def ranked(rows: DataFrame, by: tuple[str, ...] = FOLD) -> DataFrame:
-    """Adds rank: largest importance first, ties by gene. Null and non-finite importances are errors: see invalid_importances()."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("importance"), "gene")))
+    """Adds rank: largest importance first, ties by gene. A null or non-finite importance fails the job that meets it."""
+    i = F.col("importance")
+    bad = i.isNull() | F.isnan(i) | (F.abs(i) == float("inf"))
+    told = F.raise_error(F.concat_ws(" ", F.lit("importance is missing or not finite:"), F.col("gene"))).cast("double")
+    return rows.withColumn("importance", F.when(bad, told).otherwise(i)).withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("importance"), "gene")))
 
 
 def invalid_importances(rows: DataFrame) -> DataFrame:
@@ -77,15 +82,33 @@ def margins(z: DataFrame, weights: DataFrame, by: tuple[str, ...] = FOLD) -> Dat
 
 
 def linear_permutation(z: DataFrame, weights: DataFrame, moves: DataFrame, by: tuple[str, ...] = FOLD) -> DataFrame:
-    """Rise of the balanced Brier loss when a gene is permuted: the score moves by (z of the other sample - z) w, so no model is run."""
-    f = margins(z, weights, by)
-    loss = f.groupBy(*by).agg(balanced_brier(sigmoid(F.col("f")), F.col("y")).alias("l0"))
-    own = z.select(*by, "gene", "sample_id", "z")
-    other = z.select(*by, "gene", F.col("sample_id").alias("from_id"), F.col("z").alias("z_from"))
-    rows = own.join(moves, [*by, "sample_id"]).join(other, [*by, "gene", "from_id"]).join(f, [*by, "sample_id"]).join(weights, [*by, "gene"])
-    p = sigmoid(F.col("f") + (F.col("z_from") - F.col("z")) * F.col("w"))
-    by_r = rows.groupBy(*by, "gene", "r").agg(balanced_brier(p, F.col("y")).alias("l"))
-    raw = by_r.groupBy(*by, "gene").agg(F.avg("l").alias("l")).join(loss, list(by)).select(*by, "gene", (F.col("l") - F.col("l0")).alias("raw"))
+    """Rise of the balanced Brier loss when a gene is permuted: the score moves by (z of the other sample - z) w, so no model is run.
+
+    A task holds one fold's matrix and its permutations."""
+
+    def run(rows: pa.Table, drawn: pa.Table) -> pa.Table:
+        data, moved = rows.to_pandas().sort_values(["gene", "sample_id"]), drawn.to_pandas().sort_values(["r", "sample_id"])
+        out = []
+        if len(data) and len(moved):
+            genes, samples = data["gene"].drop_duplicates().to_numpy(), np.sort(data["sample_id"].unique())
+            x = data["z"].to_numpy().reshape(len(genes), len(samples))
+            w = data["w"].to_numpy()[:: len(samples)]
+            y = data["y"].to_numpy()[: len(samples)]
+            source = np.searchsorted(samples, moved["from_id"].to_numpy()).reshape(-1, len(samples))
+            f = np.round(w @ x, 9)
+            loss = lambda s: (((1 / (1 + np.exp(-s))) - y)[..., y == 1] ** 2).mean(-1) / 2 + ((1 / (1 + np.exp(-s)))[..., y == 0] ** 2).mean(-1) / 2
+            start = loss(f)
+            raw = np.array([loss(f + (x[g][source] - x[g]) * w[g]).mean() - start for g in range(len(genes))])
+            keys = [pa.array(data[c].to_numpy()[: len(genes)], rows.schema.field(c).type) for c in by]
+            out = [*keys, pa.array(genes, pa.string()), pa.array(raw, pa.float64())]
+        fields = [*(rows.schema.field(c) for c in by), pa.field("gene", pa.string()), pa.field("raw", pa.float64())]
+        return pa.Table.from_arrays(out or [pa.array([], f.type) for f in fields], schema=pa.schema(fields))
+
+    kinds = {f.name: f.dataType.simpleString() for f in z.schema}
+    rows = z.join(weights, [*by, "gene"]).select(*by, "gene", "sample_id", "y", "z", "w")
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", gene string, raw double"
+    own = moves.select(*(F.col(c).alias(c) for c in (*by, "r", "sample_id", "from_id")))  # columns of its own, as both sides come from the folds
+    raw = rows.groupBy(*by).cogroup(own.groupBy(*by)).applyInArrow(run, schema)
     return _shown(raw, F.when(F.col("raw") > NOISE, F.col("raw")).otherwise(F.lit(0.0)), F.col("raw"), by)
 
 

@@ -29,10 +29,10 @@ def enrich(foreground: DataFrame, background: DataFrame, library: DataFrame, lea
     hit = F.col("_in").isNotNull()
     terms = rows.groupBy("term").agg(F.count(F.lit(1)).alias("term_size"), F.count_if(hit).alias("overlap"), F.concat_ws(";", F.array_sort(F.collect_list(F.when(hit, F.col("gene"))))).alias("overlap_genes"))
     terms = terms.where(F.col("term_size").between(least, most)).join(F.broadcast(sizes))
-    logs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("background_size")), lambda i: F.when(i > 0, F.ln(F.greatest(i, F.lit(1)).cast("double"))).otherwise(F.lit(0.0)))
-    # running sum of logarithms as an array: position i + 1 holds ln(i!)
-    table = F.aggregate(logs, F.struct(F.lit(0.0).alias("t"), F.array().cast("array<double>").alias("a")), lambda acc, x: F.struct((acc["t"] + x).alias("t"), F.concat(acc["a"], F.array(acc["t"] + x)).alias("a")), lambda acc: acc["a"])
-    table_row = sizes.select(table.alias("_t"))
+    # ln(i!) at place i + 1 of one array, from a running sum
+    logs = sizes.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("background_size"))).alias("i"))
+    logs = logs.withColumn("t", F.sum(F.when(F.col("i") > 0, F.ln(F.greatest("i", F.lit(1)).cast("double"))).otherwise(F.lit(0.0))).over(Window.orderBy("i")))
+    table_row = logs.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]).alias("_t"))
     terms = terms.join(F.broadcast(table_row))
     N, n, K, k, t = (F.col(c) for c in ("background_size", "foreground_size", "term_size", "overlap", "_t"))
     tail = F.aggregate(F.sequence(k, F.least(K, n)), F.lit(0.0), lambda s, i: s + F.when(n - i <= N - K, F.exp(_log_choose(t, K, i) + _log_choose(t, N - K, n - i) - _log_choose(t, N, n))).otherwise(F.lit(0.0)))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import resampled
+from ..functions.resampled import multiplicities, nullable
+
 
 def _curve(rows: DataFrame, by: Sequence[str], score: Column, positive: Column, weight: Column) -> DataFrame:
     """by, s, p, n: weights of positives and negatives at each distinct score."""
@@ -61,13 +65,39 @@ def predicted_once(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.groupBy(*by, "sample_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+#: Resamples that a task works on at a time.
+CHUNK = 64
+
+
 def bootstrap(rows: DataFrame, weights: DataFrame, by: Sequence[str]) -> DataFrame:
-    """by, b, roc_auc, ap_normal, balanced_accuracy of every resample, by multiplicities: one join, no loop over resamples."""
-    drawn, keys, w = rows.join(weights, "sample_id"), [*by, "b"], F.col("w")
-    c = confusion(drawn, keys, w)
-    tn, fp, fn, tp = (F.col(x).cast("double") for x in ("tn", "fp", "fn", "tp"))
-    c = c.select(*keys, ((_share(tp, tp + fn) + _share(tn, tn + fp)) / 2).alias("balanced_accuracy"))
-    return roc_auc(drawn, keys, weight=w).join(average_precision(drawn, keys, "ap_normal", 0, w), keys).join(c, keys)
+    """by, b, roc_auc, ap_normal, balanced_accuracy of every resample, by multiplicities.
+
+    Predictions meet CHUNK resamples at a time; a task holds their multiplicities and the predictions of all groups, so its memory
+    grows with the samples of the cohort and not with the resamples. Undefined values are null; an empty table gives an empty result."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    names = list(by)
+
+    def run(drawn: pa.Table, predicted: pa.Table) -> pa.Table:
+        out = []
+        data = predicted.drop_columns(["part"]).to_pandas().sort_values("sample_id", kind="stable")
+        b, sample, w = (drawn.column(c).to_numpy() for c in ("b", "sample_id", "w"))
+        for key, group in data.groupby(names, sort=False, dropna=False):
+            numbers, m = multiplicities(b, sample, w, group["sample_id"].to_numpy())
+            y, score, pred = (group[c].to_numpy() for c in ("y", "score", "pred"))
+            keys = key if isinstance(key, tuple) else (key,)
+            values = {"roc_auc": resampled.auc(score, y, m), "ap_normal": resampled.average_precision(score, y, m, 0), "balanced_accuracy": resampled.balanced_accuracy(pred, y, m)}
+            columns = [pa.array([k] * len(numbers), predicted.schema.field(n).type) for n, k in zip(names, keys, strict=True)]
+            out.append(pa.Table.from_arrays([*columns, pa.array(numbers, pa.int64()), *map(nullable, values.values())], names=[*names, "b", *values]))
+        return pa.concat_tables(out) if out else empty
+
+    types = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+    empty = pa.schema([*((n, types[kinds[n]]) for n in names), ("b", pa.int64()), *((v, pa.float64()) for v in ("roc_auc", "ap_normal", "balanced_accuracy"))]).empty_table()
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", b bigint, roc_auc double, ap_normal double, balanced_accuracy double"
+    chunk = F.floor(F.col("b") / CHUNK)
+    drawn = weights.select("b", "sample_id", "w", chunk.alias("chunk"))
+    chunks = drawn.select(F.col("chunk").alias("part")).distinct()  # a row per CHUNK resamples
+    each = rows.select(*(F.col(c).alias(c) for c in (*names, "sample_id", "y", "score", "pred"))).join(F.broadcast(chunks))
+    return drawn.groupBy("chunk").cogroup(each.groupBy("part")).applyInArrow(run, schema)
 
 
 def percentile_interval(rows: DataFrame, by: Sequence[str], values: Sequence[str], alpha: float = 0.05) -> DataFrame:

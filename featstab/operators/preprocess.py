@@ -1,12 +1,14 @@
 """Preprocessing learned on training rows alone: detection floor, one probe per gene, scaling.
 
-Everything a fold learns comes from one aggregation of its training rows by probe; filtering, collapsing and scaling work on that
-small table.
+What a single training set learns comes from one aggregation of its rows by probe (floor_state, probe_state). Repeated folds learn from
+cells (fold_floors, fold_probes): values are summed up once for each test fold and class, and a training set's moments are merged
+from the cells of the other folds, so no value is copied for every set that it trains. Filtering, collapsing and scaling work on the
+small tables that result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import TOLERANCE
@@ -36,6 +38,67 @@ def probe_state(train: DataFrame, floor: DataFrame, by: tuple[str, ...] = FOLD)
     return found
 
 
+def _others(n_splits: int) -> Column:
+    return F.filter(F.sequence(F.lit(0), F.lit(n_splits - 1)), lambda f: f != F.col("fold"))
+
+
+def fold_floors(values: DataFrame, folds: DataFrame, n_splits: int, fraction: float = 0.5, least_share: float = 0.01) -> DataFrame:
+    """floor_state() of every training set of the folds, labels as they have them: (repeat, fold) is the test fold that a set leaves out.
+
+    Minima of samples give the floors, of which a repeat has two at most; values are then counted at each different floor."""
+    lows = values.groupBy("sample_id").agg(F.min("x").alias("low"), F.count(F.lit(1)).alias("n"))
+    held = folds.select("repeat", F.explode(_others(n_splits)).alias("set"), "sample_id", "y").withColumnRenamed("set", "fold")
+    sets = held.join(lows, "sample_id")
+    floors = sets.groupBy(*FOLD).agg(F.min("low").alias("floor"), F.sum("n").alias("n"))
+    classes = sets.groupBy(*FOLD, "y").agg(F.count(F.lit(1)).alias("n")).groupBy(*FOLD).agg(F.min("n").alias("n_minority"))
+    different = floors.agg(F.array_sort(F.collect_set("floor")).alias("_floors"))  # one row
+    on_it = values.join(F.broadcast(different)).select("sample_id", F.explode(F.filter("_floors", lambda f: F.col("x") <= f + TOLERANCE)).alias("floor"))
+    on_it = on_it.groupBy("sample_id", "floor").agg(F.count(F.lit(1)).alias("at"))
+    counted = held.join(floors.select(*FOLD, "floor"), list(FOLD)).join(on_it, ["sample_id", "floor"]).groupBy(*FOLD).agg(F.sum("at").alias("at"))
+    found = floors.join(counted, list(FOLD)).join(classes, list(FOLD)).withColumn("floor_share", F.col("at") / F.col("n"))
+    has = F.col("floor_share") >= least_share
+    return found.select(*FOLD, F.when(has, F.col("floor")).alias("floor"), "floor_share", "n_minority", F.when(has, F.ceil(fraction * F.col("n_minority"))).otherwise(0).cast("long").alias("threshold"))
+
+
+def _merged(cells: Column) -> Column:
+    """Struct (n, mean, m2, low, high) of cells of the same fields; a set of equal values has no deviation, to the last bit."""
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(s: Column, c: Column) -> Column:
+        n = s["n"] + c["n"]
+        gap, share = c["mean"] - s["mean"], c["n"] / n
+        return F.struct(n.alias("n"), (s["mean"] + gap * share).alias("mean"), (s["m2"] + c["m2"] + gap * gap * s["n"] * share).alias("m2"))
+
+    total = F.aggregate(cells, zero, add)
+    low, high = F.array_min(F.transform(cells, lambda c: c["low"])), F.array_max(F.transform(cells, lambda c: c["high"]))
+    made = F.transform(F.array(F.struct(total.alias("t"), low.alias("low"), high.alias("high"))), lambda x: F.struct(x["t"]["n"].alias("n"), F.when(x["low"] == x["high"], x["low"]).otherwise(x["t"]["mean"]).alias("mean"), F.when(x["low"] == x["high"], F.lit(0.0)).otherwise(x["t"]["m2"]).alias("m2")))
+    return F.element_at(made, 1)
+
+
+def fold_probes(values: DataFrame, folds: DataFrame, floors: DataFrame, n_splits: int) -> DataFrame:
+    """probe_state() of every training set of the folds, ``floors`` of fold_floors().
+
+    A probe's values of one repeat, test fold and class are a cell, with detections over the repeat's lower and higher floor."""
+    two = floors.groupBy("repeat").agg(F.min("floor").alias("_low"), F.max("floor").alias("_high"))
+    held = folds.select("repeat", "fold", "sample_id", "y").join(F.broadcast(two), "repeat")  # a row per repeat
+    over = lambda floor: F.sum((F.col("x") > F.col(floor) + TOLERANCE).cast("long"))
+    cells = values.select("sample_id", "probe_id", "gene", "x").join(held, "sample_id").groupBy("repeat", "probe_id", "gene", "fold", "y").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"), F.min("x").alias("low"), F.max("x").alias("high"), over("_low").alias("over_low"), over("_high").alias("over_high"),
+    )
+    cell = F.struct("fold", "y", "n", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("mean")).alias("mean"), (F.col("var") * F.col("n")).alias("m2"), "low", "high", "over_low", "over_high")
+    probes = cells.groupBy("repeat", "probe_id", "gene").agg(F.array_sort(F.collect_list(cell)).alias("_c"))
+    sets = floors.join(F.broadcast(two), "repeat").select(*FOLD, "floor", (F.col("floor") == F.col("_low")).alias("_is_low"))
+    rows = probes.join(sets, "repeat").withColumn("_c", F.filter("_c", lambda c: c["fold"] != F.col("fold")))
+    of = lambda y: F.filter("_c", lambda c: c["y"] == y)
+    rows = rows.select(*FOLD, "probe_id", "gene", "floor", F.aggregate("_c", F.lit(0).cast("long"), lambda s, c: s + F.when(F.col("_is_low"), c["over_low"]).otherwise(c["over_high"])).alias("_over"), _merged(F.col("_c")).alias("a"), _merged(of(1)).alias("b1"), _merged(of(0)).alias("b0"))
+    one = lambda b: F.when(F.col(f"{b}.n") > 0, F.col(f"{b}.mean"))
+    sample = lambda b: F.when(F.col(f"{b}.n") > 1, F.col(f"{b}.m2") / (F.col(f"{b}.n") - 1))
+    return rows.where("a.n > 0").select(
+        *FOLD, "probe_id", "gene", F.when(F.col("floor").isNotNull(), F.col("_over")).alias("n_detected"), F.col("a.n").alias("n"), F.col("a.mean").alias("mean"), F.sqrt(F.col("a.m2") / F.col("a.n")).alias("sd"), (F.col("a.m2") / F.col("a.n")).alias("variance"),
+        F.col("b1.n").alias("n1"), F.col("b0.n").alias("n0"), one("b1").alias("mean1"), one("b0").alias("mean0"), sample("b1").alias("var1"), sample("b0").alias("var0"),
+    )
+
+
 def detected(state: DataFrame, floor: DataFrame, by: tuple[str, ...] = FOLD) -> DataFrame:
     """Probes that enough training samples exceed the floor on; all of them where there is no floor."""
     rows = state.join(floor.select(*by, "threshold", F.col("floor").alias("_floor")), list(by))
@@ -43,11 +106,11 @@ def detected(state: DataFrame, floor: DataFrame, by: tuple[str, ...] = FOLD) ->
 
 
 def collapsed(state: DataFrame, rule: str = "mean", by: tuple[str, ...] = FOLD) -> DataFrame:
-    """One probe per gene: that of the largest training mean or variance, ties to the smaller probe id."""
+    """One probe per gene: that of the largest training mean or variance, ties to the smaller probe id. Probes without a gene go."""
     if rule not in ("mean", "variance"):
         raise ValueError(rule)
     order = Window.partitionBy(*by, "gene").orderBy(F.round(rule, 9).desc(), "probe_id")
-    return state.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return state.where(F.col("gene").isNotNull()).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
 def scaling(state: DataFrame) -> DataFrame:

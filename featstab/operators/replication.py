@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import resampled
+from ..functions.resampled import multiplicities, nullable
+
 from ..functions.scalars import average_rank, percent_rank, scaled_rank
 from .attribution import class_auc
 
@@ -69,6 +74,35 @@ def correlation(a: str, b: str) -> Column:
     return F.when(ok, F.covar_pop(a, b) / F.sqrt(F.when(ok, va * vb)))
 
 
+def largest_correlations(values: DataFrame, block: int = 512) -> DataFrame:
+    """p, max_r: the largest Pearson correlation of each numbered feature with a later one; null without variance or a later feature.
+
+    Features are packed into blocks of ``block`` standardised columns; a task multiplies two blocks and gives a number per feature, so
+    pairs are never rows. Every feature must have every sample."""
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        data = rows.to_pandas().pivot(index="p", columns="sample_id", values="x").sort_index(axis=0).sort_index(axis=1)
+        x = data.to_numpy()
+        x = x - x.mean(1, keepdims=True)
+        size = np.sqrt((x * x).sum(1, keepdims=True))
+        x = np.divide(x, size, out=np.full_like(x, np.nan), where=size > 0)
+        return pa.table({"b": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([data.index.to_numpy(dtype=np.int64).tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary())})
+
+    def multiply(batches):
+        for batch in batches:
+            for left, right, own_ids, own, other_ids, other in zip(*(batch.column(c).to_pylist() for c in ("b", "c", "ids", "x", "ids2", "x2")), strict=True):
+                p, q = np.frombuffer(own_ids, np.int64), np.frombuffer(other_ids, np.int64)
+                r = np.frombuffer(own).reshape(len(p), -1) @ np.frombuffer(other).reshape(len(q), -1).T
+                r = np.where((p[:, None] < q[None, :]) & ~np.isnan(r), r, -np.inf).max(1)
+                yield pa.RecordBatch.from_pydict({"p": p, "r": pa.array(r, mask=np.isinf(r))})
+
+    blocks = values.select("sample_id", F.col("p").cast("long").alias("p"), "x", F.floor(F.col("p") / block).alias("b")).groupBy("b").applyInArrow(pack, "b bigint, ids binary, x binary")
+    n = values.agg(F.max(F.floor(F.col("p") / block))).first()[0]
+    left = blocks.withColumn("c", F.explode(F.sequence(F.col("b"), F.lit(n).cast("long"))))  # with itself and each later block
+    right = blocks.select(F.col("b").alias("c"), F.col("ids").alias("ids2"), F.col("x").alias("x2"))
+    return left.join(right, "c").mapInArrow(multiply, "p bigint, r double").groupBy("p").agg(F.max("r").alias("max_r"))
+
+
 def c1_c2(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """From (s, e_disc, auc_ext): Spearman of stability s with the aligned effect r, the same where s > 0 (over three genes), the
     coefficients of rank(r) on rank(s) and rank(|e|) in closed form, and the partial correlation."""
@@ -87,14 +121,32 @@ def c1_c2(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return shown.join(pos, list(by), "left") if by else shown.join(pos, F.lit(True), "left")  # one row each
 
 
-def weighted_auc(rows: DataFrame, weights: DataFrame, by: Sequence[str] = ("b", "gene")) -> DataFrame:
-    """by, auc: class AUC of every gene in every resample, from multiplicities."""
-    drawn = rows.join(weights, "sample_id")
-    curve = drawn.groupBy(*by, "x").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).cast("double").alias("p"), F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0)).cast("double").alias("n"))
-    below = Window.partitionBy(*by).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    curve = curve.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0.0)))
-    sums = curve.groupBy(*by).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("_concordant"), F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    return sums.select(*by, F.when((F.col("all_p") > 0) & (F.col("all_n") > 0), F.col("_concordant") / (F.col("all_p") * F.col("all_n"))).alias("auc"))
+#: Parts over which genes are dealt in weighted_auc().
+PARTS = 64
+
+
+def weighted_auc(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """b, gene, auc: class AUC of every gene in every resample, from multiplicities; null without both classes.
+
+    Genes are dealt over PARTS tasks, which all get the multiplicities: a task holds those and its genes' values."""
+
+    def run(drawn: pa.Table, values: pa.Table) -> pa.Table:
+        out = [pa.schema([("b", pa.int64()), ("gene", pa.string()), ("auc", pa.float64())]).empty_table()]
+        data = values.to_pandas().sort_values("sample_id", kind="stable")
+        b, sample, w = (drawn.column(c).to_numpy() for c in ("b", "sample_id", "w"))
+        seen = None
+        for gene, group in data.groupby("gene", sort=False):
+            own = group["sample_id"].to_numpy()
+            if seen is None or not np.array_equal(own, seen):
+                seen, (numbers, m) = own, multiplicities(b, sample, w, own)
+            found = resampled.auc(group["x"].to_numpy(), group["y"].to_numpy(), m)
+            out.append(pa.table({"b": pa.array(numbers, pa.int64()), "gene": pa.array([gene] * len(numbers), pa.string()), "auc": nullable(found)}))
+        return pa.concat_tables(out)
+
+    part = F.pmod(F.xxhash64("gene"), F.lit(PARTS))
+    each = weights.select("b", "sample_id", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
+    dealt = rows.select(*(F.col(c).alias(c) for c in ("gene", "sample_id", "y", "x")), part.alias("own"))
+    return each.groupBy("part").cogroup(dealt.groupBy("own")).applyInArrow(run, "b bigint, gene string, auc double").where("auc is not null")
 
 
 def direction(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -124,6 +176,18 @@ def binomial_interval(agree: int, n: int, level: float = 0.95) -> tuple[float, f
     return low, high
 
 
+def exact_interval(rows: DataFrame, level: float = 0.95) -> DataFrame:
+    """Adds fraction_lo and fraction_hi to rows with n and n_consistent: the exact interval of the fraction; null without genes."""
+
+    def run(batches):
+        for batch in batches:
+            ends = [binomial_interval(a, n, level) if n else (None, None) for a, n in zip(batch.column("n_consistent").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+            yield batch.append_column("fraction_lo", pa.array([e[0] for e in ends], pa.float64())).append_column("fraction_hi", pa.array([e[1] for e in ends], pa.float64()))
+
+    shown = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    return rows.mapInArrow(run, f"{shown}, fraction_lo double, fraction_hi double")
+
+
 def signature(z: DataFrame, genes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """by, sample_id, y, score: mean z of the genes with positive e_disc minus that of the negative ones; an empty side is 0."""
     rows = z.join(genes.select(*by, "gene", "e_disc"), "gene")
@@ -132,8 +196,11 @@ def signature(z: DataFrame, genes: DataFrame, by: Sequence[str] = ()) -> DataFra
 
 
 def panel_score(z: DataFrame, panel: Sequence[str]) -> DataFrame:
-    """sample_id, y, panel: mean z of the panel's genes that are there; no row where none is."""
-    return z.where(F.col("gene").isin(*panel)).groupBy("sample_id", "y").agg(F.round(F.avg("z"), 9).alias("panel"))
+    """sample_id, y, panel: mean z of the panel's genes that are there; none at all fails the job."""
+    there = F.col("gene").isin(*panel)
+    rows = z.groupBy("sample_id", "y").agg(F.count_if(there).alias("_n"), F.round(F.avg(F.when(there, F.col("z"))), 9).alias("panel"))
+    none = F.raise_error(F.lit("no gene of the panel is in the cohort")).cast("double")
+    return rows.select("sample_id", "y", F.when(F.col("_n") == 0, none).otherwise(F.col("panel")).alias("panel"))
 
 
 def residual_scores(rows: DataFrame, score: str, covariate: str) -> DataFrame:

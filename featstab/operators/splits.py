@@ -44,6 +44,19 @@ def permuted_labels(labels: DataFrame, seed: int, replicate: int) -> DataFrame:
     return by_id.join(dealt, "n").select("sample_id", "y")
 
 
+def null_folds(labels: DataFrame, n_splits: int, replicates: int, seed: int = 42) -> DataFrame:
+    """repeat, fold, sample_id, y of the permutation null: each replicate, under ``repeat``, has labels and folds of its own.
+
+    Replicate b has permuted_labels(labels, seed, b) and the folds that stratified_folds() draws for the seed moved by 100000 (1 + b)."""
+    rows = labels.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    of = lambda *order: F.row_number().over(Window.partitionBy("repeat").orderBy(*order))
+    placed = rows.select("repeat", "sample_id", of("sample_id").alias("n"))
+    dealt = rows.select("repeat", "y", of(keyed(seed, 777, F.col("repeat"), F.col("sample_id")), "sample_id").alias("n"))
+    rows = placed.join(dealt, ["repeat", "n"])
+    order = Window.partitionBy("repeat", "y").orderBy(keyed(F.lit(seed) + 100_000 * (1 + F.col("repeat")), F.col("sample_id")), "sample_id")
+    return rows.select("repeat", ((F.row_number().over(order) - 1) % n_splits).alias("fold"), "sample_id", "y")
+
+
 def permutations(rows: DataFrame, n: int, seed: int, by: tuple[str, ...] = ("repeat", "fold")) -> DataFrame:
     """by, r, sample_id, from_id: ``n`` permutations of the samples of each group, the same for all genes."""
     rows = rows.select(*by, "sample_id").distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.kept import once
+from ..functions.kept import kept, shared
 from ..functions.scalars import rounded
 from ..operators import attribution, cohort, consensus, enrichment, metrics, models, preprocess, replication, splits, stability
 from ..sources import tables
-from . import study
+from . import external, study
 from .study import FOLD, KS, N_BOOT, N_SPLITS, SEED, Study
 
 D = tables.N_GENES
@@ -37,12 +37,12 @@ def values(spark: SparkSession, sf: str) -> DataFrame:
     return tables.cohort(spark, sf)
 
 
-@once
+@shared
 def the_study(spark: SparkSession, sf: str, **how) -> Study:
     return Study(values(spark, sf), **how)
 
 
-@once
+@shared
 def sets(spark: SparkSession, sf: str) -> DataFrame:
     return stability.members(the_study(spark, sf).rankings, KS)
 
@@ -248,6 +248,12 @@ def topk_positive(spark, sf):
     return attribution.positive_top(the_study(spark, sf).rankings, 5).select("pipeline", *FOLD, "gene", "rank")
 
 
+@query
+def ttest_lr_top(spark, sf):
+    """The genes that the t-test baseline fits on: the head of the full ranking, positive or not."""
+    return the_study(spark, sf).ttest_rankings.where(F.col("rank") <= KS[0]).select(*FOLD, "gene", "rank")
+
+
 @query
 def linear_coef_rank(spark, sf):
     return attribution.ranked(attribution.coefficients(the_study(spark, sf).weights)).select(*FOLD, "gene", "importance", "signed", "rank")
@@ -317,7 +323,7 @@ def pairwise_jaccard(spark, sf):
     return stability.pairwise_jaccard(sets(spark, sf))
 
 
-@once
+@shared
 def _table(spark, sf, k, **how):
     return consensus.gene_table(the_study(spark, sf, **how).rankings, study.pipelines(spark), k)
 
@@ -332,7 +338,7 @@ def gene_table_k10(spark, sf):
     return _table(spark, sf, 10)
 
 
-@once
+@shared
 def lists(spark, sf):
     """The frozen lists; this cohort has 24 genes, so the sizes are 5 and 10 under the names of 25 and 50."""
     found = consensus.frozen_lists(the_study(spark, sf).rankings, study.pipelines(spark), *KS)
@@ -396,7 +402,7 @@ def predicted_once(spark, sf):
     return metrics.predicted_once(the_study(spark, sf).predictions, ["repeat"])
 
 
-@once
+@shared
 def _boot(spark, sf):
     return metrics.bootstrap(the_study(spark, sf).predictions, splits.bootstrap_weights(tables.samples(values(spark, sf)), N_BOOT, SEED), ["repeat"])
 
@@ -411,12 +417,12 @@ def bootstrap_intervals(spark, sf):
     return metrics.percentile_interval(_boot(spark, sf), ["repeat"], ["roc_auc", "ap_normal", "balanced_accuracy"])
 
 
-@once
+@shared
 def disc(spark, sf):
     return study.whole(tables.discovery_half(values(spark, sf)))
 
 
-@once
+@shared
 def ext(spark, sf, variant="mean"):
     probes = disc(spark, sf).select("probe_id").distinct()
     return study.external_units(spark, sf, variant).join(probes, "probe_id", "left_semi").withColumnRenamed("unit_id", "sample_id")
@@ -452,7 +458,7 @@ def unit_errors(spark, sf):
     return replication.unit_errors(tables.external_arrays(values(spark, sf)).withColumn("title", F.when(F.col("sample_id") % 33 == 0, "no number").otherwise(F.col("title"))))
 
 
-@once
+@shared
 def frozen(spark, sf):
     v = values(spark, sf)
     return consensus.frozen_table(replication.effects(disc(spark, sf)), _table(spark, sf, 5), lists(spark, sf), tables.probe_map(v))
@@ -463,7 +469,7 @@ def freeze_gene_table(spark, sf):
     return frozen(spark, sf)
 
 
-@once
+@shared
 def _pairs(spark, sf, variant="mean", groups=()):
     """gene, s, e_disc, auc_ext, e_ext, g and list flags."""
     e = ext(spark, sf, variant)
@@ -491,7 +497,7 @@ def direction_consistency(spark, sf):
     return replication.direction(_pairs(spark, sf))
 
 
-@once
+@shared
 def _subtypes(spark, sf):
     out = None
     for name, groups in (("Luminal", ["Luminal A", "Luminal B"]), ("HER2", ["Her2"]), ("TNBC", ["TNBC"])):
@@ -500,6 +506,55 @@ def _subtypes(spark, sf):
     return out
 
 
+@query
+def direction_interval(spark, sf):
+    """The share of genes whose effect keeps its sign, with its exact interval."""
+    return replication.exact_interval(replication.direction(_pairs(spark, sf)))
+
+
+@query
+def gene_level_summary(spark, sf):
+    """The row of the second cohort's primary analysis, without its intervals."""
+    return external.gene_level(frozen(spark, sf), ext(spark, sf)).drop("fraction_lo", "fraction_hi")
+
+
+@query
+def signature_intervals(spark, sf):
+    """Percentile interval of each list's signature in the second cohort."""
+    rows = _by_list(spark, sf)
+    scores = replication.signature(replication.within_cohort_z(ext(spark, sf)), rows.select("list", "gene", "e_disc"), ["list"])
+    return external.signature_intervals(kept(scores), study.N_BOOT_UNITS, SEED)
+
+
+@query
+def list_notes(spark, sf):
+    """Every list with its number of genes, and a note where it is too small for statistics."""
+    return external.list_level(frozen(spark, sf), ext(spark, sf), disc(spark, sf)).select("list", "n_genes", "n_up", "note")
+
+
+@query
+def panel_constants(spark, sf):
+    """The composition panel."""
+    del sf
+    return spark.createDataFrame([(g, "core") for g in external.CORE_PANEL] + [(g, "wide") for g in external.WIDE_PANEL], "gene string, panel string")
+
+
+@query
+def alternative_universe(spark, sf):
+    """phi over all runs against the whole universe and against the genes eligible in any fold."""
+    s = the_study(spark, sf)
+    eligible = s.state.select("gene").distinct().count()
+    return stability.scopes(sets(spark, sf), D + 6, eligible).select("pipeline", "k", "scope", "phi", "phi_alt")
+
+
+@query
+def misordered_samples(spark, sf):
+    """Places where a matrix's columns and its metadata name different samples: even ids against all but those of a class."""
+    v = tables.samples(values(spark, sf))
+    place = lambda rows, name: rows.select(F.col("sample_id").alias(name), F.row_number().over(Window.orderBy("sample_id")).alias("pos"))
+    return place(v.where("sample_id < 40"), "column").join(place(v.where("sample_id < 40 and sample_id <> 7"), "sample"), "pos", "full_outer").where(~F.col("column").eqNullSafe(F.col("sample")))
+
+
 @query
 def subtype_replication(spark, sf):
     out = _subtypes(spark, sf)
@@ -515,13 +570,13 @@ def repA_replication(spark, sf):
 def bootstrap_c1(spark, sf):
     """Percentile intervals of C1 and C2 over resamples of the external units."""
     e = ext(spark, sf)
-    w = splits.bootstrap_weights(tables.samples(e), N_BOOT, SEED)
+    w = splits.bootstrap_weights(tables.samples(e), study.N_BOOT_UNITS, SEED)
     auc = replication.weighted_auc(e, w).withColumnRenamed("auc", "auc_ext")
     rows = auc.join(frozen(spark, sf).select("gene", "s", F.col("e").alias("e_disc")), "gene")
     return metrics.percentile_interval(replication.c1_c2(rows, ["b"]), [], ["c1", "c2_stability", "c2_partial"])
 
 
-@once
+@shared
 def _by_list(spark, sf):
     long = F.explode(F.array(*(F.when(F.col(f"in_{n}"), F.lit(n)) for n in ("S_cons", "S_top25", "S_top50"))))
     rows = _pairs(spark, sf).withColumn("list", long).where("list is not null")
@@ -591,14 +646,14 @@ def spearman_matrix(spark, sf):
 @query
 def probe_correlation(spark, sf):
     """The largest Pearson correlation of each probe with a later one."""
-    v = values(spark, sf).select("sample_id", "p", "x")
-    pairs = v.alias("a").join(v.alias("b"), "sample_id").where("a.p < b.p").groupBy(F.col("a.p").alias("p"), F.col("b.p").alias("q")).agg(replication.correlation("a.x", "b.x").alias("r"))
-    return pairs.groupBy("p").agg(F.max("r").alias("max_r"))
+    return replication.largest_correlations(values(spark, sf)).where("max_r is not null")
 
 
+@shared
 def _enriched(spark, sf):
-    genes = lambda n: spark.range(n).select(F.concat(F.lit("G"), F.col("id")).alias("gene"))
-    return enrichment.enrich(genes(60), genes(400), tables.library(spark, sf))
+    """Terms of the frozen list of 50 against all frozen genes."""
+    f = frozen(spark, sf)
+    return enrichment.enrich(f.where("in_S_top50").select("gene"), f.select("gene"), tables.library(spark, sf))
 
 
 @query
@@ -606,21 +661,30 @@ def enrichment_terms(spark, sf):
     return _enriched(spark, sf)
 
 
+@query
+def enrichment_summary(spark, sf):
+    """Per foreground and library: sizes, terms tested, significant ones, least adjusted p."""
+    found = _enriched(spark, sf).agg(F.max("foreground_size").alias("n_foreground"), F.max("background_size").alias("n_background"), F.count(F.lit(1)).alias("n_terms"), F.count_if(F.col("adj_p") < 0.05).alias("n_significant"), F.min("adj_p").alias("min_adj_p"))
+    return found.select(F.lit("S_top50").alias("foreground"), F.lit("parts").alias("library"), "*")
+
+
 @query
 def benjamini_hochberg(spark, sf):
-    rows = tables.load(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("term"), (F.pmod(F.col("p_partkey") * 7919, F.lit(10007)) / 10007.0).alias("p_value"))
+    """Adjusted p of Welch's t of every probe on the whole cohort, by the normal tail's leading terms."""
+    train = values(spark, sf).withColumn("repeat", F.lit(0)).withColumn("fold", F.lit(0))
+    t = F.abs(attribution.welch_t())
+    state = preprocess.probe_state(train, preprocess.floor_state(train))
+    rows = state.select(F.col("probe_id").alias("term"), F.round(F.least(F.lit(1.0), F.exp(-t * t / 2) * 2 / (t + F.sqrt(t * t + 8 / F.lit(3.141592653589793)))), 12).alias("p_value"))
     return enrichment.benjamini_hochberg(rows)
 
 
-@once
+@shared
 def _null(spark, sf):
-    v, out = values(spark, sf), None
-    for b in range(3):
-        s = Study(v, 1, SEED + 100_000 * (1 + b), labels=splits.permuted_labels(tables.samples(v), SEED, b))
-        part = s.ttest_rankings.withColumn("repeat", F.lit(b))
-        out = part if out is None else out.unionByName(part)
+    """Stability of the t-test ranking in every replicate, all of them in one plan."""
+    v = values(spark, sf)
+    folds = splits.null_folds(tables.samples(v), N_SPLITS, study.N_NULL, SEED)
     only = study.pipelines(spark).where("pipeline = 'ttest|ttest'")
-    return stability.repeat_level(stability.members(out, KS), only, D)
+    return stability.repeat_level(stability.members(Study(v, folds=kept(folds)).ttest_rankings, KS), only, D)
 
 
 @query
@@ -662,28 +726,50 @@ def document_cohort_metrics(spark, sf):
     return metrics.classification(rows.select(F.col("doc_id").alias("sample_id"), F.col("quality").alias("y"), score.alias("score"), (score > 0.4).cast("int").alias("pred"), F.lit("documents").alias("cohort")), ["cohort"])
 
 
-#: Smaller ensembles than the defaults, so that a query takes seconds.
 CONFIGS = [
     {"id": "logreg", "model": "logreg", "explainers": ("coef", "shap", "perm")},
     {"id": "svm", "model": "svm", "explainers": ("coef", "shap", "perm")},
-    {"id": "rf", "model": "rf", "explainers": ("shap", "perm", "support"), "parameters": {"n_trees": 20}},
-    {"id": "xgb", "model": "xgb", "explainers": ("shap", "perm", "support"), "parameters": {"n_trees": 40}},
+    {"id": "rf", "model": "rf", "explainers": ("shap", "perm", "support")},
+    {"id": "xgb", "model": "xgb", "explainers": ("shap", "perm", "support")},
     {"id": "ttest_lr", "model": "logreg", "top": 5},
     *({"id": f"logreg_C{c:g}", "model": "logreg", "explainers": ("coef",), "parameters": {"C": c}} for c in (0.01, 0.1, 10.0, 100.0)),
 ]
+#: Of explained ensembles: exact Shapley values grow with rows times leaves, and these cohorts have 20 times the samples of the models' own regime.
+EXPLAINED_TREES = {"rf": 20, "xgb": 40}
+#: Repeats whose folds the registered fits run on.
+FITTED_REPEATS = 2
 
 
-@once
-def fits(spark, sf):
-    """Every model on every fold."""
+@shared
+def packed_folds(spark, sf):
     s = the_study(spark, sf)
-    return models.fit_folds(models.packed(s.train_z, s.test_z), CONFIGS)
+    own = lambda rows: rows.where(F.col("repeat") < FITTED_REPEATS)
+    return models.packed(own(s.train_z), own(s.test_z))
+
+
+@shared
+def fits(spark, sf):
+    """Every configuration on every fold with its attributions; ensembles of EXPLAINED_TREES."""
+    own = [c | {"parameters": {"n_trees": EXPLAINED_TREES[c["id"]]}} if c["id"] in EXPLAINED_TREES else c for c in CONFIGS]
+    return models.fit_folds(packed_folds(spark, sf), own, study.N_PERM)
+
+
+@shared
+def linear_fits(spark, sf):
+    """Logistic regression at every strength, coefficients alone."""
+    return models.fit_folds(packed_folds(spark, sf), [c | {"explainers": ("coef",)} for c in CONFIGS if c["id"].startswith("logreg")], 0)
+
+
+@shared
+def scored_fits(spark, sf):
+    """Every configuration on every fold, predictions alone; ensembles of the default numbers of trees."""
+    return models.fit_folds(packed_folds(spark, sf), [c | {"explainers": ()} for c in CONFIGS], 0)
 
 
 @query
 def model_cv_metrics(spark, sf):
     """Logistic regression, squared-hinge machine, forest, boosted trees, t-test top-k regression: metrics pooled by repeat."""
-    return metrics.classification(models.predictions(fits(spark, sf)), ["config", "repeat"])
+    return metrics.classification(models.predictions(scored_fits(spark, sf)), ["config", "repeat"])
 
 
 @query
@@ -710,7 +796,7 @@ def model_stability(spark, sf):
 @query
 def c_grid_rank_agreement(spark, sf):
     """Spearman of absolute coefficients with those at C = 1, per setting and fold."""
-    rows = models.attributions(fits(spark, sf)).where("explainer = 'coef' and config like 'logreg%'").select("config", *FOLD, "gene", F.round("importance", 9).alias("importance"))
+    rows = models.attributions(linear_fits(spark, sf)).where("explainer = 'coef' and config like 'logreg%'").select("config", *FOLD, "gene", F.round("importance", 9).alias("importance"))
     ref = rows.where("config = 'logreg'").select(*FOLD, "gene", F.col("importance").alias("reference"))
     return replication.spearman(rows.join(ref, [*FOLD, "gene"]), "importance", "reference", ["config", *FOLD])
 
@@ -753,8 +839,26 @@ def performance_summary(spark, sf):
 
 @query
 def regime_diagnostics(spark, sf):
-    """Per regularisation setting: norm of the coefficients and how far the largest stand above the median."""
-    rows = models.attributions(fits(spark, sf)).where("explainer = 'coef' and config like 'logreg%'")
+    """Per regularisation setting, over folds: steps and convergence of the solver, norm of the coefficients, least margin on the
+    training rows, how far the largest coefficients stand above the median, and their rank correlation with the class difference."""
+    found = linear_fits(spark, sf)
+    told = models.measures(found).groupBy("config", *FOLD).pivot("name", ["steps", "converged", "norm", "margin"]).agg(F.first("value"))
+    rows = models.attributions(found).where("explainer = 'coef'")
     ranked = attribution.ranked(rows, ("config", *FOLD))
-    fold = ranked.groupBy("config", *FOLD).agg(F.sqrt(F.sum(F.col("importance") ** 2)).alias("norm"), F.avg(F.when(F.col("rank") <= 5, F.col("importance"))).alias("top"), F.median("importance").alias("mid"))
-    return fold.groupBy("config").agg(F.avg("norm").alias("mean_norm"), F.avg(F.col("top") / F.when(F.col("mid") > 0, F.col("mid"))).alias("top_to_median"), F.count(F.lit(1)).alias("n_folds"))
+    fold = ranked.groupBy("config", *FOLD).agg(F.max(F.when(F.col("rank") == 5, F.col("importance"))).alias("top"), F.median("importance").alias("mid"))
+    gap = the_study(spark, sf).weights.select(*FOLD, "gene", F.round(F.abs("w"), 9).alias("difference"))
+    rho = replication.spearman(rows.withColumn("importance", F.round("importance", 9)).join(gap, [*FOLD, "gene"]), "importance", "difference", ["config", *FOLD]).drop("n")
+    all_ = told.join(fold, ["config", *FOLD]).join(rho, ["config", *FOLD])
+    return all_.groupBy("config").agg(
+        F.avg("steps").alias("mean_steps"), F.sum((F.col("converged") < 1).cast("long")).alias("n_unconverged"), F.avg("norm").alias("mean_norm"), F.min("margin").alias("min_margin"), F.avg(F.col("top") / F.when(F.col("mid") > 0, F.col("mid"))).alias("top_to_median"),
+        F.avg("rho").alias("rho_class_difference"), F.count(F.lit(1)).alias("n_folds"),
+    )
+
+
+@query
+def c_grid_top_overlap(spark, sf):
+    """Jaccard of the top genes by absolute coefficient with those at C = 1, per setting and fold; genes are the same in both."""
+    rows = attribution.ranked(models.attributions(linear_fits(spark, sf)).where("explainer = 'coef'"), ("config", *FOLD)).where(F.col("rank") <= KS[0]).select("config", *FOLD, "gene")
+    ref = rows.where("config = 'logreg'").select(*FOLD, "gene", F.lit(1).alias("_ref"))
+    shared_genes = rows.join(ref, [*FOLD, "gene"], "left").groupBy("config", *FOLD).agg(F.count("_ref").alias("n_shared"))
+    return shared_genes.withColumn("jaccard", F.col("n_shared") / (2 * KS[0] - F.col("n_shared")))

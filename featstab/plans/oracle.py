@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-K, SEED, N_BOOT, N_PERM, D = 5, 42, 20, 2, 24
+K, REPEATS, SEED, N_BOOT, N_BOOT_UNITS, N_PERM, N_NULL, D = 5, 20, 42, 2000, 1000, 10, 30, 24
 TOL = "1e-9::DOUBLE"
 
 STEPS: dict[str, str] = {
@@ -105,26 +105,27 @@ def _chain(p: str, cohort: str, repeats: int, seed: int, rule: str = "mean") ->
     }
 
 
-def set_stats(source: str, by: str, unit: str) -> str:
+def set_stats(source: str, by: str, unit: str, d: int = D) -> str:
     """All set statistics of a table of members, pairs by list intersection."""
     return f"""WITH z AS (SELECT {by}, concat_ws('|', {unit}) AS u, list(gene) AS l FROM {source} GROUP BY ALL), g AS (SELECT {by}, gene, count(*) AS c FROM {source} GROUP BY ALL),
         a AS (SELECT {by}, count(*)::DOUBLE AS m, sum(len(l))::DOUBLE AS total, min(len(l))::DOUBLE AS low, max(len(l)) AS high FROM z GROUP BY ALL), b AS (SELECT {by}, sum(c * c)::DOUBLE AS sq, count(*) AS n_distinct, max(c) AS max_count FROM g GROUP BY ALL),
         j AS (SELECT {by}, avg(len(list_intersect(z1.l, z2.l))::DOUBLE / (len(z1.l) + len(z2.l) - len(list_intersect(z1.l, z2.l)))) AS j FROM z z1 JOIN z z2 USING ({by}) WHERE z1.u < z2.u GROUP BY ALL)
-        SELECT * EXCLUDE (m, total, low, high, sq, j), m::BIGINT AS n_sets, CASE WHEN m >= 2 AND total / m < {D} THEN 1 - ((total - sq / m) / (m - 1) / {D}) / ((total / m / {D}) * (1 - total / m / {D})) END AS phi,
-        CASE WHEN m >= 2 AND low = high AND low < {D} THEN ({D} * ((sq - total) / 2) / (m * (m - 1) / 2) - low * low) / (low * ({D} - low)) END AS kuncheva, CASE WHEN m >= 2 THEN j END AS jaccard, CASE WHEN m >= 2 THEN total / m END AS mean_set_size
+        SELECT * EXCLUDE (m, total, low, high, sq, j), m::BIGINT AS n_sets, CASE WHEN m >= 2 AND total / m < {d} THEN 1 - ((total - sq / m) / (m - 1) / {d}) / ((total / m / {d}) * (1 - total / m / {d})) END AS phi,
+        CASE WHEN m >= 2 AND low = high AND low < {d} THEN ({d} * ((sq - total) / 2) / (m * (m - 1) / 2) - low * low) / (low * ({d} - low)) END AS kuncheva, CASE WHEN m >= 2 THEN j END AS jaccard, CASE WHEN m >= 2 THEN total / m END AS mean_set_size
         FROM a JOIN b USING ({by}) LEFT JOIN j USING ({by})"""
 
 
-STEPS |= _chain("", "cohort", 2, SEED)
+STEPS |= _chain("", "cohort", REPEATS, SEED)
 STEPS["v_state"] = _chosen("kept", "variance")
-STEPS |= {k: v for k, v in _chain("v_", "cohort", 2, SEED, "variance").items() if k not in ("v_folds", "v_train", "v_floor", "v_probes", "v_kept", "v_state")}
+STEPS |= {k: v for k, v in _chain("v_", "cohort", REPEATS, SEED, "variance").items() if k not in ("v_folds", "v_train", "v_floor", "v_probes", "v_kept", "v_state")}
 for _k in [k for k in STEPS if k.startswith("v_")]:
     STEPS[_k] = re.sub(r"\bv_(train|folds)\b", r"\1", STEPS[_k])
-for _b in range(3):
-    STEPS[f"labels{_b}"] = STEPS["permuted0"].replace(":777:0:", f":777:{_b}:")
-    STEPS[f"cohort{_b}"] = f"SELECT c.* REPLACE (l.y AS y) FROM cohort c JOIN labels{_b} l USING (sample_id)"
-    STEPS |= _chain(f"n{_b}_", f"cohort{_b}", 1, SEED + 100_000 * (1 + _b))
-STEPS["null_sets"] = " UNION ALL ".join(f'SELECT k, pipeline, {b}::BIGINT AS "repeat", fold, gene FROM n{b}_tt_sets' for b in range(3))
+STEPS |= _chain("n_", "cohort", N_NULL, SEED)
+STEPS["n_labels"] = f"""WITH r AS (SELECT b AS "repeat", sample_id, y FROM samples, (SELECT unnest(range({N_NULL})) AS b)) SELECT "repeat", u.sample_id, v.y FROM (SELECT "repeat", sample_id, row_number() OVER (PARTITION BY "repeat" ORDER BY sample_id) AS n FROM r) u
+    JOIN (SELECT "repeat", y, row_number() OVER (PARTITION BY "repeat" ORDER BY md5(concat_ws(':', '{SEED}', '777', "repeat", sample_id)), sample_id) AS n FROM r) v USING ("repeat", n)"""
+STEPS["n_folds"] = f"""SELECT "repeat", (row_number() OVER (PARTITION BY "repeat", y ORDER BY md5(({SEED} + 100000 * (1 + "repeat"))::VARCHAR || ':' || sample_id), sample_id) - 1) % {K} AS fold, sample_id, y FROM n_labels"""
+STEPS["n_train"] = STEPS["n_train"].replace("c.y,", "f.y,")
+STEPS["null_sets"] = "SELECT * FROM n_tt_sets"
 
 
 def _groups() -> str:
@@ -174,8 +175,8 @@ def _metrics(source: str, by: str) -> str:
         2 * tn::DOUBLE / (2 * tn + fp + fn) AS f1_normal, auc AS roc_auc, ap_cancer, ap_normal FROM c JOIN a USING ({by}) JOIN q USING ({by}) JOIN r USING ({by})"""
 
 
-def _weights(samples: str) -> str:
-    return f"""WITH n AS (SELECT y, count(*) AS n FROM {samples} GROUP BY 1), d AS (SELECT b, y, ('0x' || substr(md5(concat_ws(':', '{SEED}', b, y, draw)), 1, 8))::BIGINT % n AS i FROM n, (SELECT unnest(range({N_BOOT})) AS b), LATERAL (SELECT unnest(range(n)) AS draw))
+def _weights(samples: str, n_boot: int) -> str:
+    return f"""WITH n AS (SELECT y, count(*) AS n FROM {samples} GROUP BY 1), d AS (SELECT b, y, ('0x' || substr(md5(concat_ws(':', '{SEED}', b, y, draw)), 1, 8))::BIGINT % n AS i FROM n, (SELECT unnest(range({n_boot})) AS b), LATERAL (SELECT unnest(range(n)) AS draw))
         SELECT b, sample_id, count(*) AS w FROM d JOIN (SELECT sample_id, y, row_number() OVER (PARTITION BY y ORDER BY sample_id) - 1 AS i FROM {samples}) USING (y, i) GROUP BY 1, 2"""
 
 
@@ -221,8 +222,8 @@ STEPS |= {
     "pairs": _pairs("ext"), "pairs_a": _pairs("ext_a"),
     "pairs_sub": " UNION ALL ".join(f"SELECT *, '{n}' AS subtype FROM ({_pairs(f'(SELECT * FROM ext WHERE subtype IN ({g}))')})" for n, g in (("Luminal", "'Luminal A', 'Luminal B', 'Healthy'"), ("HER2", "'Her2', 'Healthy'"), ("TNBC", "'TNBC', 'Healthy'"))),
     "d_z": _zed("d_rows"), "e_z": _zed("ext"),
-    "weights": _weights("samples"),
-    "ext_weights": _weights("(SELECT DISTINCT sample_id, y FROM ext)"),
+    "weights": _weights("samples", N_BOOT),
+    "ext_weights": _weights("(SELECT DISTINCT sample_id, y FROM ext)", N_BOOT_UNITS),
     "boot_pred": "SELECT p.*, w.b, w.w FROM pred p JOIN weights w USING (sample_id)",
     "boot": """WITH c AS (SELECT "repeat", b, (sum(CASE WHEN y = 1 AND pred = 1 THEN w ELSE 0 END)::DOUBLE / sum(CASE WHEN y = 1 THEN w ELSE 0 END) + sum(CASE WHEN y = 0 AND pred = 0 THEN w ELSE 0 END)::DOUBLE / sum(CASE WHEN y = 0 THEN w ELSE 0 END)) / 2 AS balanced_accuracy FROM boot_pred GROUP BY 1, 2),
         u AS (SELECT "repeat", b, score, sum(CASE WHEN y = 1 THEN w ELSE 0 END)::DOUBLE AS p, sum(CASE WHEN y = 0 THEN w ELSE 0 END)::DOUBLE AS n FROM boot_pred GROUP BY 1, 2, 3),
@@ -301,7 +302,7 @@ _GENE_DOUBLES = "mean_selection_frequency ttest_frequency median_rank mean_rank
 _METRIC_DOUBLES = "sensitivity specificity balanced_accuracy f1_cancer f1_normal roc_auc ap_cancer ap_normal"
 _FOLD_METRICS = ("roc_auc", "ap_cancer", "ap_normal", "balanced_accuracy", "f1_normal")
 _ENRICH = """WITH lib AS (SELECT DISTINCT term, gene FROM (SELECT p_brand AS term, 'G' || (p_partkey % 500) AS gene FROM part UNION ALL SELECT p_type, 'G' || (p_partkey % 500) FROM part)),
-    bg AS (SELECT 'G' || i AS gene FROM (SELECT unnest(range(400)) AS i) WHERE 'G' || i IN (SELECT gene FROM lib)), fg AS (SELECT gene FROM bg WHERE substr(gene, 2)::INT < 60),
+    bg AS (SELECT gene FROM frozen WHERE gene IN (SELECT gene FROM lib)), fg AS (SELECT gene FROM frozen WHERE in_S_top50 AND gene IN (SELECT gene FROM lib)),
     s AS (SELECT (SELECT count(*) FROM bg) AS N1, (SELECT count(*) FROM fg) AS n), t AS (SELECT term, count(*) AS K1, count(f.gene) AS k, coalesce(string_agg(f.gene, ';' ORDER BY f.gene), '') AS overlap_genes FROM lib JOIN bg USING (gene) LEFT JOIN fg f USING (gene) GROUP BY 1 HAVING count(*) BETWEEN 5 AND 500),
     p AS (SELECT *, CASE WHEN k = 0 OR n = 0 THEN 1.0::DOUBLE ELSE round(least(1.0::DOUBLE, (SELECT sum(CASE WHEN n - i <= N1 - K1 THEN exp(lgamma(K1 + 1) - lgamma(i + 1) - lgamma(K1 - i + 1) + lgamma(N1 - K1 + 1) - lgamma(n - i + 1) - lgamma(N1 - K1 - n + i + 1) - lgamma(N1 + 1) + lgamma(n + 1) + lgamma(N1 - n + 1)) ELSE 0 END)
       FROM (SELECT unnest(range(k, least(K1, n) + 1)) AS i))), 12) END AS p_value FROM t, s),
@@ -312,6 +313,13 @@ _CUSTOMERS = f"""SELECT gene, n1, n0, mean1, mean0, {WELCH} AS t FROM (SELECT p_
 _DOCUMENTS = r"""(SELECT 'documents' AS cohort, doc_id AS sample_id, quality AS y, score, CASE WHEN score > 0.4 THEN 1 ELSE 0 END AS pred FROM (SELECT doc_id, quality, round(len(list_distinct(w))::DOUBLE / len(w), 6) AS score FROM
     (SELECT doc_id, quality, list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM documents JOIN labels USING (doc_id)) WHERE len(w) > 0))"""
 
+_SCOPES = lambda d: set_stats("(SELECT *, 'all_runs' AS scope FROM sets UNION ALL SELECT *, 'repeat_' || \"repeat\" FROM sets)", "pipeline, k, scope", '"repeat", fold', d)
+_TAIL = lambda p, first, last: f"list_sum(list_transform(range({first}, {last} + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - ({p})))))"
+_EXACT = f"""SELECT * FROM (WITH RECURSIVE a AS (SELECT count(*) AS n, count(*) FILTER (sign(e_disc) = sign(e_ext)) AS k FROM pairs), r AS (SELECT 0 AS i, n, k, 0.0::DOUBLE AS a1, 1.0::DOUBLE AS a2, 0.0::DOUBLE AS b1, 1.0::DOUBLE AS b2 FROM a
+    UNION ALL SELECT i + 1, n, k, CASE WHEN lo THEN (a1 + a2) / 2 ELSE a1 END, CASE WHEN lo THEN a2 ELSE (a1 + a2) / 2 END, CASE WHEN hi THEN (b1 + b2) / 2 ELSE b1 END, CASE WHEN hi THEN b2 ELSE (b1 + b2) / 2 END
+      FROM (SELECT *, {_TAIL("(a1 + a2) / 2", "k", "n")} < 0.025 AS lo, {_TAIL("(b1 + b2) / 2", "0", "k")} > 0.025 AS hi FROM r WHERE i < 50))
+    SELECT n, k AS n_consistent, k::DOUBLE / n AS fraction, CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE (a1 + a2) / 2 END AS fraction_lo, CASE WHEN k = n THEN 1.0::DOUBLE ELSE (b1 + b2) / 2 END AS fraction_hi FROM r WHERE i = 50)"""
+
 QUERIES: dict[str, tuple[str, str]] = {
     "slice_phi_by_repeat": ('SELECT "repeat", phi, kuncheva, jaccard FROM tt_own WHERE k = 10', "phi kuncheva jaccard"),
     "cohort_profile": (f"SELECT probe_id, gene, count(*) AS n, min(x) AS low, max(x) AS high, avg(x) AS mean, median(x) AS median, count(*) FILTER (x <= -0.15::DOUBLE + {TOL}) AS n_floor FROM cohort GROUP BY 1, 2", "low high mean median"),
@@ -398,12 +406,25 @@ QUERIES: dict[str, tuple[str, str]] = {
     "spearman_matrix": (_spearman("(SELECT a.gene, a.x, b.x AS x0 FROM d_rows a JOIN d_rows b USING (sample_id) WHERE b.gene = 'G0' AND a.gene <> 'G0')", "x", "x0", "gene"), "rho"),
     "probe_correlation": ("SELECT p, max(r) AS max_r FROM (SELECT a.p AS p, b.p AS q, corr(a.x, b.x) AS r FROM cohort a JOIN cohort b USING (sample_id) WHERE a.p < b.p GROUP BY 1, 2) GROUP BY 1", "max_r"),
     "enrichment_terms": (_ENRICH, "odds_ratio p_value adj_p"),
-    "benjamini_hochberg": ("SELECT term, p_value, least(1.0::DOUBLE, min(q) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS adj_p FROM (SELECT *, p_value * count(*) OVER () / i AS q FROM (SELECT *, row_number() OVER (ORDER BY p_value, term) AS i FROM (SELECT p_partkey::VARCHAR AS term, ((p_partkey * 7919) % 10007) / 10007.0::DOUBLE AS p_value FROM part)))", "p_value adj_p"),
+    "enrichment_summary": (f"SELECT 'S_top50' AS foreground, 'parts' AS library, max(foreground_size) AS n_foreground, max(background_size) AS n_background, count(*) AS n_terms, count(*) FILTER (adj_p < 0.05) AS n_significant, min(adj_p) AS min_adj_p FROM ({_ENRICH})", "min_adj_p"),
+    "benjamini_hochberg": (f"""SELECT term, p_value, least(1.0::DOUBLE, min(q) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS adj_p FROM (SELECT *, p_value * count(*) OVER () / i AS q FROM (SELECT *, row_number() OVER (ORDER BY p_value, term) AS i FROM
+        (SELECT term, round(least(1.0::DOUBLE, exp(-t * t / 2) * 2 / (t + sqrt(t * t + 8 / 3.141592653589793::DOUBLE))), 12) AS p_value FROM (SELECT probe_id AS term, abs({WELCH}) AS t FROM (SELECT probe_id, {MOMENTS} FROM cohort GROUP BY 1)))))""", "p_value adj_p"),
+    "ttest_lr_top": (f"SELECT {_F}, gene, rank FROM tt_rank WHERE rank <= 5", ""),
+    "direction_interval": (_EXACT, "fraction fraction_lo fraction_hi"),
+    "gene_level_summary": (f"""SELECT * FROM ({_c1c2("pairs")}), (SELECT rho AS spearman_effects FROM ({_spearman("pairs", "e_disc", "e_ext", "")})), (SELECT count(*) FILTER (sign(e_disc) = sign(e_ext)) AS n_consistent, avg(CASE WHEN sign(e_disc) = sign(e_ext) THEN 1.0::DOUBLE ELSE 0 END) AS fraction FROM pairs),
+        (SELECT count(*) AS n_units, count(*) FILTER (y = 0) AS n_normal FROM (SELECT DISTINCT sample_id, y FROM ext))""", "c1 c2_stability c2_effect c2_partial c1_selected spearman_effects fraction"),
+    "signature_intervals": (f"""SELECT list, {_INTERVAL(("signature_auc",))} FROM (SELECT list, b, sum(p * (coalesce(below, 0) + n / 2)) / (sum(p) * sum(n)) AS signature_auc FROM (SELECT *, sum(n) OVER (PARTITION BY list, b ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM
+        (SELECT list, b, score, sum(CASE WHEN y = 1 THEN w ELSE 0 END)::DOUBLE AS p, sum(CASE WHEN y = 0 THEN w ELSE 0 END)::DOUBLE AS n FROM sig_e JOIN (SELECT sample_id, b, w FROM ext_weights) USING (sample_id) GROUP BY 1, 2, 3)) GROUP BY 1, 2) GROUP BY 1""", "signature_auc_lo signature_auc_hi"),
+    "list_notes": ("""SELECT list, coalesce(n, 0) AS n_genes, CASE WHEN n >= 2 THEN n_up END AS n_up, CASE WHEN coalesce(n, 0) < 2 THEN 'too few genes for statistics of a list' END AS note FROM (SELECT unnest(['S_cons', 'S_top25', 'S_top50']) AS list)
+        LEFT JOIN (SELECT list, count(*) AS n, count(*) FILTER (e_disc > 0) AS n_up FROM by_list GROUP BY 1) USING (list)""", ""),
+    "panel_constants": ("SELECT unnest(['ADIPOQ', 'PLIN1', 'FABP4']) AS gene, 'core' AS panel UNION ALL SELECT unnest(['LEP', 'LPL', 'CFD', 'ADH1B', 'CIDEC', 'PLIN4', 'CD36', 'GPD1']), 'wide'", ""),
+    "alternative_universe": (f"SELECT pipeline, k, scope, a.phi, b.phi AS phi_alt FROM ({_SCOPES(D + 6)}) a JOIN ({_SCOPES(D)}) b USING (pipeline, k, scope)", "phi phi_alt"),
+    "misordered_samples": ("SELECT pos, c AS \"column\", s AS sample FROM (SELECT sample_id AS c, row_number() OVER (ORDER BY sample_id) AS pos FROM samples WHERE sample_id < 40) FULL JOIN (SELECT sample_id AS s, row_number() OVER (ORDER BY sample_id) AS pos FROM samples WHERE sample_id < 40 AND sample_id <> 7) USING (pos) WHERE c IS DISTINCT FROM s", ""),
     "null_repeat_level": ("SELECT * FROM null_level", _STATS),
     "compare_observed_null": ("""SELECT dimension, "group", k, avg(phi) AS observed_mean, max(n_null) AS n_null, max(null_mean) AS null_mean, max(null_median) AS null_median, max(null_p2_5) AS null_p2_5, max(null_p97_5) AS null_p97_5, avg(CASE WHEN phi > null_p97_5 THEN 1.0::DOUBLE ELSE 0 END) AS share_above, min(phi) > max(null_max) AS all_above
         FROM tt_level JOIN (SELECT dimension, "group", k, count(*) AS n_null, avg(phi) AS null_mean, median(phi) AS null_median, quantile_cont(phi, 0.025) AS null_p2_5, quantile_cont(phi, 0.975) AS null_p97_5, max(phi) AS null_max FROM null_level WHERE phi IS NOT NULL GROUP BY ALL) USING (dimension, "group", k) GROUP BY ALL""", "observed_mean null_mean null_median null_p2_5 null_p97_5 share_above"),
     "phi_by_k_pivot": ('SELECT "group", avg(phi) FILTER (k = 5) AS phi_k5, avg(phi) FILTER (k = 10) AS phi_k10, min(phi) FILTER (k = 10) AS low, max(phi) FILTER (k = 10) AS high FROM level WHERE dimension = \'resampling\' GROUP BY 1', "phi_k5 phi_k10 low high"),
-    "top_genes_by_frequency": ("SELECT t.gene, position, " + ", ".join(f"count(*) FILTER (pipeline = '{p}') / 10.0::DOUBLE AS {p.replace('|', '_')}" for p in ("mdiff|coef", "mdiff|shap", "mdiff|perm", "auc|coef", "ttest|ttest")) + " FROM gt5 t JOIN rankings r ON r.gene = t.gene AND r.rank <= 5 AND r.importance > 0 WHERE position <= 8 GROUP BY 1, 2", "mdiff_coef mdiff_shap mdiff_perm auc_coef ttest_ttest"),
+    "top_genes_by_frequency": ("SELECT t.gene, position, " + ", ".join(f"count(*) FILTER (pipeline = '{p}') / {K * REPEATS}.0::DOUBLE AS {p.replace('|', '_')}" for p in ("mdiff|coef", "mdiff|shap", "mdiff|perm", "auc|coef", "ttest|ttest")) + " FROM gt5 t JOIN rankings r ON r.gene = t.gene AND r.rank <= 5 AND r.importance > 0 WHERE position <= 8 GROUP BY 1, 2", "mdiff_coef mdiff_shap mdiff_perm auc_coef ttest_ttest"),
     "performance_summary": (f"SELECT count(*) AS n_repeats, avg(roc_auc) AS roc_auc, avg(roc_auc_lo) AS roc_auc_lo, avg(roc_auc_hi) AS roc_auc_hi, avg(balanced_accuracy) AS balanced_accuracy, avg(balanced_accuracy_lo) AS balanced_accuracy_lo, avg(balanced_accuracy_hi) AS balanced_accuracy_hi FROM ({_metrics('pred', '\"repeat\"')}) JOIN (SELECT \"repeat\", {_INTERVAL(('roc_auc', 'balanced_accuracy'))} FROM boot GROUP BY 1) USING (\"repeat\")", "roc_auc roc_auc_lo roc_auc_hi balanced_accuracy balanced_accuracy_lo balanced_accuracy_hi"),
     "customer_cohort_profile": (_CUSTOMERS, "mean1 mean0 t"),
     "document_cohort_metrics": (_metrics(_DOCUMENTS, "cohort"), _METRIC_DOUBLES),

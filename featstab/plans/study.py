@@ -13,7 +13,8 @@ from ..functions.kept import kept
 from ..operators import attribution, preprocess, replication, splits
 from ..sources import tables
 
-N_SPLITS, N_REPEATS, SEED, N_PERM, N_BOOT = 5, 2, 42, 2, 20
+#: Folds, repeats, permutations of a gene, bootstrap draws of metrics and of the second cohort's units, replicates of the null.
+N_SPLITS, N_REPEATS, SEED, N_PERM, N_BOOT, N_BOOT_UNITS, N_NULL = 5, 20, 42, 10, 2000, 1000, 30
 KS = (5, 10)
 PIPELINES = (("mdiff|coef", "mdiff", "coef", "primary"), ("mdiff|shap", "mdiff", "shap", "primary"), ("mdiff|perm", "mdiff", "perm", "primary"), ("auc|coef", "auc", "coef", "primary"), ("ttest|ttest", "ttest", "ttest", "baseline"))
 FOLD = ("repeat", "fold")
@@ -30,10 +31,10 @@ class Study:
     What is learned, ranked and predicted is small next to the values and read by several steps, so it is written once; values,
     training rows and their z-scores never are."""
 
-    def __init__(self, values: DataFrame, n_repeats: int = N_REPEATS, seed: int = SEED, fraction: float = 0.5, rule: str = "mean", labels: DataFrame | None = None):
-        self.values = values if labels is None else values.drop("y").join(labels, "sample_id")
-        self.labels, self.fraction, self.rule = tables.samples(self.values), fraction, rule
-        self.folds = splits.stratified_folds(self.labels, N_SPLITS, n_repeats, seed)
+    def __init__(self, values: DataFrame, n_repeats: int = N_REPEATS, seed: int = SEED, fraction: float = 0.5, rule: str = "mean", folds: DataFrame | None = None):
+        self.values, self.fraction, self.rule = values, fraction, rule
+        self.labels = tables.samples(self.values)
+        self.folds = splits.stratified_folds(self.labels, N_SPLITS, n_repeats, seed) if folds is None else folds
 
     @property
     def train(self) -> DataFrame:
@@ -41,11 +42,11 @@ class Study:
 
     @cached_property
     def floor(self) -> DataFrame:
-        return kept(preprocess.floor_state(self.train, self.fraction))
+        return kept(preprocess.fold_floors(self.values, self.folds, N_SPLITS, self.fraction))
 
     @cached_property
     def probes(self) -> DataFrame:
-        return kept(preprocess.probe_state(self.train, self.floor))
+        return kept(preprocess.fold_probes(self.values, self.folds, self.floor, N_SPLITS))
 
     @property
     def kept(self) -> DataFrame:

@@ -34,5 +34,5 @@ def test_query_equals_sql(spark, sf, con, name):
 
 
 def test_every_query_but_the_model_fits_has_sql():
-    only = {"model_cv_metrics", "model_rankings", "tree_support", "model_stability", "c_grid_rank_agreement", "frozen_lr_transfer", "regime_diagnostics"}
+    only = {"model_cv_metrics", "model_rankings", "tree_support", "model_stability", "c_grid_rank_agreement", "c_grid_top_overlap", "frozen_lr_transfer", "regime_diagnostics"}
     assert set(catalogue.QUERIES) - set(oracle.QUERIES) == only and set(oracle.QUERIES) <= set(catalogue.QUERIES)
