@@ -1,6 +1,8 @@
 """Approximate nearest neighbours by inner product over a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample; every row is dealt to a leaf. A query walks the tree best bin first: a priority queue holds
+The tree is fitted on a bounded sample; every row is dealt to a leaf. A leaf with more rows than a tree from one sample can tell apart
+is divided by a tree of its own, fitted in a task on a bounded sample of the leaf's rows and stored in the shared folder, where workers
+that need it find it; so leaves don't grow with the table and the driver's tree stays small. A query walks the tree best bin first: a priority queue holds
 the nodes seen so far by the inner product that they promise, and the best is opened until it promises less than the first leaf by a
 margin. So a query within a dense cluster visits few leaves and one without near neighbours many. The margin is calibrated: for a
 bounded sample of queries the exact neighbours are found in all blocks, and it widens until the leaves visited hold the asked part of
@@ -11,6 +13,8 @@ and the two meet by block.
 from __future__ import annotations
 
 import heapq
+import pickle
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, small_batches, table
+from .common import keep, shared_dir, small_batches, table
+from .files import get_bytes, put_bytes
 
 
 @dataclass(frozen=True)
 class Settings:
     """``sample_rows`` fit the tree, ``trial_queries`` calibrate it to ``recall`` on the mean and at least ``least_recall`` for ``most`` of
     the queries; ``branch`` children of a node, ``leaf_rows`` rows of
-    a leaf, about; ``block_rows`` rows of a block and ``chunk`` queries of a chunk, at most."""
+    a leaf, about; a leaf of more than ``large`` rows gets a tree of its own; ``block_rows`` rows of a block and ``chunk`` queries of a
+    chunk, at most."""
 
     sample_rows: int = 20_000
     trial_queries: int = 400
@@ -38,6 +44,7 @@ class Settings:
     leaf_rows: int = 256
     least_sample: int = 8
     rounds: int = 12
+    large: int = 65_536
     block_rows: int = 4096
     chunk: int = 4096
 
@@ -92,27 +99,107 @@ class Tree:
                 out[rows] = self.leaf[node]
         return out
 
-    def visits(self, query: np.ndarray, margin: float, rows: list[int], least: int) -> list[tuple[int, float]]:
-        """(leaf, slack) of the leaves of a query, best bin first: slack is the margin from which on the leaf is visited.
+    def promises(self, query: np.ndarray) -> np.ndarray:
+        """The inner product that each node promises a query."""
+        return self.centre @ query + np.sqrt(query @ query) * self.spread
 
-        Beyond the margin leaves are visited until they hold ``least`` of the leaves' ``rows``."""
-        promise = (self.centre @ query + np.sqrt(query @ query) * self.spread).tolist()
-        queue, found, first, low, seen = [(-promise[0], 0)], [], None, 0.0, 0
+    def least_on_path(self, promise: np.ndarray) -> np.ndarray:
+        """For each leaf the smallest promise on the way to it: a walk gets there once it opens nodes of that promise."""
+        low, out = promise.copy(), np.empty(self.n_leaves)
+        for node, below in enumerate(self.children):  # parents come before their children
+            for child in below:
+                low[child] = min(low[child], low[node])
+            if not below:
+                out[self.leaf[node]] = low[node]
+        return out
+
+
+#: Bits of a leaf's number within a tree of its own, and of a block's within such a leaf.
+INNER = 24
+
+
+def placed(rows: list[int], settings: Settings) -> tuple[list[int], list[int]]:
+    """First block and number of blocks of each leaf: small leaves share a block, large ones have several."""
+    first, split, n_blocks, room = [], [], 0, 0
+    for size in rows:
+        if size > settings.block_rows:
+            first.append(n_blocks)
+            split.append(-(-size // (settings.block_rows // 2)))
+            n_blocks, room = n_blocks + split[-1], 0
+        else:
+            if size > room or not n_blocks:
+                n_blocks, room = n_blocks + 1, settings.block_rows
+            first.append(n_blocks - 1)
+            split.append(1)
+            room -= size
+    return first, split
+
+
+@dataclass
+class Part:
+    """A tree with the rows of its leaves and their blocks. ``base`` is added to the numbers of its leaves and blocks."""
+
+    tree: Tree
+    rows: list[int]
+    first: list[int]
+    split: list[int]
+    base: int = 0
+
+
+class Index:
+    """The root's part, and the parts of the leaves in ``inner``, which workers read from ``folder`` and remember a few of."""
+
+    def __init__(self, root: Part, folder: str, inner: set[int]):
+        self.root, self.folder, self.inner, self.open = root, folder, inner, OrderedDict()
+
+    def __getstate__(self):
+        return self.__dict__ | {"open": OrderedDict()}
+
+    def part(self, leaf: int) -> Part:
+        if leaf not in self.open:
+            if len(self.open) >= 64:
+                self.open.popitem(last=False)
+            self.open[leaf] = pickle.loads(get_bytes(f"{self.folder}/part-{leaf:08d}"))
+        self.open.move_to_end(leaf)
+        return self.open[leaf]
+
+    def visits(self, query: np.ndarray, margin: float, least: int) -> tuple[float, list[tuple[int, range]]]:
+        """What the first leaf promises, and (leaf, its blocks) of the leaves of a query, best bin first, until the margin is passed and
+        they hold ``least`` rows."""
+        promise = {-1: self.root.tree.promises(query)}
+        queue, found, first, seen = [(-promise[-1][0], -1, 0)], [], None, 0
         while queue:
-            key, node = heapq.heappop(queue)
-            if first is not None:
-                low = min(low, -key)
-                if first - low > margin and seen >= least:
-                    break
-            if self.children[node]:
-                for child in self.children[node]:
-                    heapq.heappush(queue, (-promise[child], child))
-            else:
-                if first is None:
-                    first = low = -key
-                found.append((self.leaf[node], first - low))
-                seen += rows[self.leaf[node]]
-        return found
+            key, inside, node = heapq.heappop(queue)
+            if first is not None and first + key > margin and seen >= least:
+                break
+            part = self.root if inside < 0 else self.part(inside)
+            leaf = part.tree.leaf[node]
+            for child in part.tree.children[node]:
+                heapq.heappush(queue, (-promise[inside][child], inside, child))
+            if leaf >= 0 and inside < 0 and leaf in self.inner:
+                promise[leaf] = self.part(leaf).tree.promises(query)
+                heapq.heappush(queue, (max(key, -promise[leaf][0]), leaf, 0))
+            elif leaf >= 0:
+                first = -key if first is None else first
+                found.append((part.base + leaf, range(part.base + part.first[leaf], part.base + part.first[leaf] + part.split[leaf])))
+                seen += part.rows[leaf]
+        return first, found
+
+    def slack(self, query: np.ndarray, leaves: list[int]) -> np.ndarray:
+        """The margin from which on each of the leaves is visited."""
+        low, inner = self.root.tree.least_on_path(self.root.tree.promises(query)), {}
+
+        def reach(leaf: int) -> float:
+            outer, own = (leaf >> INNER) - 1, leaf & (1 << INNER) - 1
+            if outer < 0:
+                return low[leaf]
+            if outer not in inner:
+                tree = self.part(outer).tree
+                inner[outer] = np.minimum(tree.least_on_path(tree.promises(query)), low[outer])
+            return inner[outer][own]
+
+        first = self.visits(query, -np.inf, 0)[0]  # what the first leaf promises
+        return np.maximum(first - np.array([reach(leaf) for leaf in leaves]), 0.0)
 
 
 def usable(rows: DataFrame, vector: str, key: str) -> DataFrame:
@@ -155,6 +242,70 @@ def _sampled(rows: DataFrame, n: int, salt: int) -> tuple[int, list]:
     return total, found
 
 
+def _divided(rows: DataFrame, large: dict[int, int], index: Index, settings: Settings) -> DataFrame:
+    """id, v, leaf, block of the rows of large leaves, each leaf divided by a tree of its own that is stored in the index's folder.
+
+    Rows travel to tasks by leaf and a part of their hash, so a leaf of very many rows is spread, and a task opens one tree at a time."""
+    spark, wide = rows.sparkSession, 1 << 40
+    mark = F.pmod(F.xxhash64("id", "v", F.lit(3)), F.lit(wide))
+    share = F.create_map(*(F.lit(x) for leaf, n in large.items() for x in (leaf, int(wide * min(1.0, 1.2 * settings.sample_rows / n)))))
+    sampled = rows.withColumn("h", mark).where(F.col("h") < share[F.col("leaf")])
+    sampled = sampled.withColumn("n", F.row_number().over(Window.partitionBy("leaf").orderBy("h", "id", "v"))).where(F.col("n") <= settings.sample_rows).drop("n")
+    folder = index.folder
+
+    def fit(key: tuple, group: pa.Table) -> pa.Table:
+        leaf = key[0].as_py()
+        data = group.sort_by([("h", "ascending"), ("id", "ascending")])
+        own = Tree(np.asarray(data.column("v").combine_chunks().flatten()).reshape(len(data), -1), large[leaf], settings, seed=leaf)
+        put_bytes(f"{folder}/tree-{leaf:08d}", pickle.dumps(own))
+        return pa.table({"leaf": pa.array([leaf], pa.int64()), "n": pa.array([own.n_leaves], pa.int64())})
+
+    fitted = {r["leaf"] for r in sampled.groupBy("leaf").applyInArrow(fit, "leaf long, n long").collect()}  # a row per large leaf
+    for leaf in set(large) - fitted:  # rows so alike that none fell under the threshold: one leaf
+        put_bytes(f"{folder}/tree-{leaf:08d}", pickle.dumps(Tree(np.array([rows.where(F.col("leaf") == leaf).first()["v"]]), 1, settings)))
+
+    def each_leaf(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        leaf = batch.column("leaf").to_numpy()
+        for one in np.unique(leaf).tolist():
+            yield one, np.nonzero(leaf == one)[0]
+
+    def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple[int, Tree] | None = None
+        for batch in batches:
+            inner = np.zeros(batch.num_rows, dtype=np.int64)
+            for leaf, at in each_leaf(batch):
+                if known is None or known[0] != leaf:
+                    known = leaf, pickle.loads(get_bytes(f"{folder}/tree-{leaf:08d}"))
+                inner[at] = known[1].leaves_of(_matrix(batch)[at])
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "v": batch.column("v"), "leaf": batch.column("leaf"), "inner": inner})
+
+    by_leaf = lambda df: df.repartition("leaf", F.pmod(F.xxhash64("id"), F.lit(64))).sortWithinPartitions("leaf")
+    found = keep(by_leaf(rows).mapInArrow(assign, "id long, v array<double>, leaf long, inner long"), "inner")
+
+    def place(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        leaf = int(key[0])
+        own = pickle.loads(get_bytes(f"{folder}/tree-{leaf:08d}"))
+        counts = [0] * own.n_leaves
+        for inner, n in zip(group["inner"].tolist(), group["count"].tolist(), strict=True):
+            counts[inner] = n
+        put_bytes(f"{folder}/part-{leaf:08d}", pickle.dumps(Part(own, counts, *placed(counts, settings), base=(leaf + 1) << INNER)))
+        return pd.DataFrame({"leaf": [leaf]})
+
+    found.groupBy("leaf", "inner").count().groupBy("leaf").applyInPandas(place, "leaf long").collect()  # a row per large leaf
+
+    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            inner, mixed = batch.column("inner").to_numpy(), batch.column("mix").to_numpy()
+            block = np.zeros(batch.num_rows, dtype=np.int64)
+            for leaf, at in each_leaf(batch):
+                part = index.part(leaf)
+                own = inner[at]
+                block[at] = part.base + np.array(part.first)[own] + mixed[at] % np.array(part.split)[own]
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "v": batch.column("v"), "leaf": (batch.column("leaf").to_numpy() + 1 << INNER) + inner, "block": block})
+
+    return found.withColumn("mix", F.xxhash64("id", "v")).mapInArrow(blocks, "id long, v array<double>, leaf long, block long")
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, settings: Settings = Settings(), vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """The ``k`` nearest rows found for each query: query_id, rank (from 1), vec_id, score (inner product in double precision).
 
@@ -183,24 +334,20 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, settings: Settings
     leaves = rows.mapInArrow(assign, "id long, v array<double>, leaf long")
     sizes = {r["leaf"]: r["count"] for r in leaves.groupBy("leaf").count().collect()}  # a row per leaf
     held_rows = [sizes.get(leaf, 0) for leaf in range(tree.n_leaves)]
-    first, split, n_blocks, room = [0] * tree.n_leaves, [1] * tree.n_leaves, 0, 0
-    for leaf in range(tree.n_leaves):  # small leaves share a block, large ones have several
-        size = sizes.get(leaf, 0)
-        if size > settings.block_rows:
-            first[leaf], split[leaf], room = n_blocks, -(-size // (settings.block_rows // 2)), 0
-            n_blocks += split[leaf]
-        else:
-            if size > room:
-                n_blocks, room = n_blocks + 1, settings.block_rows
-            first[leaf], room = n_blocks - 1, room - size
+    large = {leaf: n for leaf, n in enumerate(held_rows) if n > settings.large}
+    first, split = placed([0 if leaf in large else n for leaf, n in enumerate(held_rows)], settings)
+    index = Index(Part(tree, held_rows, first, split), shared_dir(spark, "parts"), set(large))
     lookup = lambda values: F.element_at(F.array(*(F.lit(x).cast("long") for x in values)), (F.col("leaf") + 1).cast("int"))
-    block = lookup(first) + F.pmod(F.xxhash64("id", "v"), lookup(split))
+    spread = F.xxhash64("id", "v")
+    dealt = leaves.withColumn("block", lookup(first) + F.pmod(spread, lookup(split)))
+    if large:
+        dealt = dealt.where(~F.col("leaf").isin(list(large))).unionByName(_divided(leaves.where(F.col("leaf").isin(list(large))), large, index, settings))
 
     def packed(pair: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
         return pd.DataFrame({"block": [int(pair[0])], "ids": [group["id"].to_numpy().tobytes()], "leaves": [group["leaf"].to_numpy().tobytes()], "x": [np.stack(group["v"].to_numpy()).tobytes()]})
 
-    blocks = keep(leaves.withColumn("block", block).groupBy("block").applyInPandas(packed, "block long, ids binary, leaves binary, x binary"), "blocks")
+    blocks = keep(dealt.groupBy("block").applyInPandas(packed, "block long, ids binary, leaves binary, x binary"), "blocks")
 
     def opened(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = np.frombuffer(batch.column("ids")[i].as_py(), dtype=np.int64)
@@ -234,16 +381,13 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, settings: Settings
         slack = []  # of each query's true neighbours
         for q_id, v in zip(trial_ids.tolist(), trial_v, strict=True):
             if own := true.get(q_id):
-                by = dict(tree.visits(v, float("inf"), held_rows, 0))
-                slack.append(np.array([by[leaf] for leaf in own]))
+                slack.append(index.slack(v, own))
         for margin in np.unique(np.concatenate(slack)) if slack else ():
             reached = np.array([(x <= margin).mean() for x in slack])
             if reached.mean() >= settings.recall and (reached >= settings.least_recall).mean() >= settings.most:
                 break
         margin = float(margin) + 1e-12
 
-    spans = [range(first[leaf], first[leaf] + split[leaf]) for leaf in range(tree.n_leaves)]
-
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, np.ndarray, int]] = []
 
@@ -251,8 +395,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, settings: Settings
             by: dict[int, list[tuple[int, list[int]]]] = {}
             for n, (_, v, own) in enumerate(held):
                 wanted: dict[int, list[int]] = {}
-                for leaf, _ in tree.visits(v, margin, held_rows, k + own):
-                    for b in spans[leaf]:
+                for leaf, span in index.visits(v, margin, k + own)[1]:
+                    for b in span:
                         wanted.setdefault(b, []).append(leaf)
                 for b, leaves_there in wanted.items():
                     by.setdefault(b, []).append((n, leaves_there))
@@ -283,8 +427,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, settings: Settings
                 ids, own, x = opened(batch, i)
                 q_ids, ends, wanted = (np.frombuffer(batch.column(c)[i].as_py(), dtype=np.int64) for c in ("q_ids", "q_ends", "q_leaves"))
                 q = np.frombuffer(batch.column("q")[i].as_py()).reshape(len(q_ids), -1)
-                open_leaf = np.zeros((len(q_ids), tree.n_leaves), dtype=bool)
-                open_leaf[np.repeat(np.arange(len(q_ids)), np.diff(ends, prepend=0)), wanted] = True
+                here, own = np.unique(own, return_inverse=True)  # leaves of the block
+                row, at = np.repeat(np.arange(len(q_ids)), np.diff(ends, prepend=0)), np.minimum(np.searchsorted(here, wanted), len(here) - 1)
+                known = here[at] == wanted
+                open_leaf = np.zeros((len(q_ids), len(here)), dtype=bool)
+                open_leaf[row[known], at[known]] = True
                 for s in range(0, len(q_ids), 256):
                     got = [*answers(q_ids[s : s + 256], q[s : s + 256], ids, x, open_leaf[s : s + 256][:, own])]
                     if got:

@@ -14,17 +14,29 @@ def of(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def put_array(uri: str, array: np.ndarray) -> None:
-    """Store an array whole or not at all; a second writer of the same file replaces it with the same content."""
+def put_bytes(uri: str, raw: bytes | memoryview) -> None:
+    """Store a file whole or not at all; a second writer of the same file replaces it with the same content."""
     system, path = of(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    raw, own = io.BytesIO(), f"{path}.{uuid.uuid4().hex}.tmp"
-    np.save(raw, array)
+    own = f"{path}.{uuid.uuid4().hex}.tmp"
     with system.open_output_stream(own) as out:
-        out.write(raw.getbuffer())
+        out.write(raw)
     system.move(own, path)
 
 
+def get_bytes(uri: str) -> bytes:
+    system, path = of(uri)
+    with system.open_input_stream(path) as stream:
+        return stream.read()
+
+
+def put_array(uri: str, array: np.ndarray) -> None:
+    """Store an array as put_bytes() does."""
+    raw = io.BytesIO()
+    np.save(raw, array)
+    put_bytes(uri, raw.getbuffer())
+
+
 def get_array(uri: str) -> np.ndarray:
     """A stored array, memory-mapped where the shared folder is mounted, else read."""
     system, path = of(uri)

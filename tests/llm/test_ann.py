@@ -82,3 +82,20 @@ def test_sample_of_equal_rows_is_bounded(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0])] * 5000 + [(k, [float(k), 1.0]) for k in range(2, 12)], "id long, v array<double>")
     total, sample = ann._sampled(df, 100, 1)
     assert total == 5010 and len(sample) == 100
+
+
+def test_large_leaves_have_trees_of_their_own(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 6)) * 3
+    rows = [(i, (centres[i % 60] + rng.normal(size=6) * 0.3).tolist()) for i in range(3000)] + [(i, [5.0] * 6) for i in range(3000, 3300)] + [(21, [1.0] * 6)] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    settings = ann.Settings(sample_rows=200, trial_queries=60, leaf_rows=16, least_sample=20, large=100, block_rows=64, chunk=50)
+    got = found(ann.search(df, df.where("vec_id % 20 = 0"), 20, settings))
+    want = brute(rows, {i for i, _ in rows if i % 20 == 0}, 20)
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    right = [len({x[1] for x in got[q]} & {x[1] for x in want[q]}) / 20 for q in want]
+    assert np.mean(right) >= 0.93
+    scores = {(q, i): float((np.array(v) * np.array(dict(rows)[q])).sum()) for q in list(want)[:5] for i, v in rows if i != 21}
+    assert all(scores.get((q, x[1]), x[2]) == pytest.approx(x[2]) for q, v in got.items() for x in v)
+    every = found(ann.search(df, df.where("vec_id % 20 = 0"), 20, ann.Settings(sample_rows=200, trial_queries=400, leaf_rows=16, least_sample=20, large=100, block_rows=64, recall=1.0, most=1.0)))
+    assert np.mean([len({x[1] for x in every[q]} & {x[1] for x in want[q]}) / 20 for q in want]) == 1.0
