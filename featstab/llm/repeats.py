@@ -86,10 +86,12 @@ class RunIndex:
     """A run-compressed Burrows-Wheeler transform of texts, with the suffix array at both ends of each run.
 
     Each text ends in a separator of its own, smaller than any byte and than later separators; a separator is never part of a run.
-    ``head``, ``tail``: text positions sampled at the first and last row of each run; ``before``, ``after``: lengths of the match
-    with the row above the head and below the tail."""
+    ``symbol``, ``length``: the transform itself, run by run; ``head``, ``tail``: text positions sampled at the first and last row of
+    each run; ``before``, ``after``: lengths of the match with the row above the head and below the tail."""
 
     n: int
+    symbol: np.ndarray
+    length: np.ndarray
     head: np.ndarray
     tail: np.ndarray
     before: np.ndarray
@@ -129,7 +131,7 @@ class RunIndex:
         heads = np.nonzero(breaks)[0]
         tails = np.append(heads[1:], n) - 1
         lcp = cls._matches(seven, left, order[heads[1:] - 1], order[heads[1:]])
-        return cls(n, order[heads], order[tails], np.append(0, lcp), np.append(lcp, 0))
+        return cls(n, last[heads], np.diff(np.append(heads, n)), order[heads], order[tails], np.append(0, lcp), np.append(lcp, 0))
 
     @staticmethod
     def _ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -156,6 +158,25 @@ class RunIndex:
             rows = rows[(width == 0) & (most[rows] > at)]
         return out
 
+    def occurrences(self, pattern: bytes) -> int:
+        """How often the texts hold a pattern: backward search over the runs, without the texts."""
+        start, totals = np.cumsum(np.append(0, self.length)), np.zeros(258, dtype=np.int64)
+        np.add.at(totals, self.symbol.astype(np.int64) + 1, self.length)
+        smaller, low, high = np.cumsum(totals), 0, self.n
+
+        def rank(symbol: int, row: int, own: np.ndarray, before: np.ndarray) -> int:
+            run = int(np.searchsorted(own, np.searchsorted(start, row, "right") - 1))  # runs of the symbol before the row's run
+            inside = row - int(start[own[run]]) if run < len(own) and start[own[run]] < row else 0
+            return int(before[run]) + inside
+
+        for byte in reversed(pattern):
+            own = np.nonzero(self.symbol == byte + 1)[0]
+            before = np.cumsum(np.append(0, self.length[own]))
+            low, high = (int(smaller[byte + 1]) + rank(byte + 1, x, own, before) for x in (low, high))
+            if low >= high:
+                return 0
+        return high - low
+
     def matching(self) -> np.ndarray:
         """For each text position the length of its longest match elsewhere in the texts, streamed from the run ends.
 

@@ -81,3 +81,16 @@ def test_matching_statistics_equal_brute_force(seed):
                         best = max(best, k)
             assert got[at + p] == best, (i, p)
         at += len(t) + 1
+
+
+def test_runs_are_the_transform():
+    """Backward search over the stored runs counts what the texts hold, and repetitive texts have few runs."""
+    rng = np.random.default_rng(3)
+    base = bytes(rng.integers(97, 101, 300).astype(np.uint8))
+    texts = [base[: int(rng.integers(1, 300))] + bytes([int(rng.integers(97, 101))]) for _ in range(12)] + [b"", b"\xff\x00\xff", base]
+    index = repeats.RunIndex.build(texts)
+    assert index.length.sum() == index.n == sum(len(t) + 1 for t in texts) and len(index.symbol) < index.n / 2
+    patterns = [base[i : i + k] for i, k in ((0, 1), (5, 3), (10, 9), (200, 40), (0, 300))] + [b"e", b"\xff", b"\x00\xff", b"abcdabcdabcd", b""]
+    for p in patterns:
+        want = sum(t[i : i + len(p)] == p for t in texts for i in range(len(t) - len(p) + 1)) if p else index.n
+        assert index.occurrences(p) == want
