@@ -144,7 +144,7 @@ class History:
 
     def has_changes(self) -> bool:
         """Whether tracked files differ from the commit; without a repository that can't be told, and counts as changed."""
-        got = self._git("diff-index", "--quiet", "HEAD", "--")
+        got = self._git("diff", "--quiet", "HEAD", "--")
         return got.returncode != 0
 
     def holds(self, commit: str) -> bool:

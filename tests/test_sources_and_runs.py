@@ -1,5 +1,6 @@
 import gzip
 import random
+import shutil
 import subprocess
 from functools import partial
 
@@ -111,7 +112,7 @@ def test_run_recovers_signal_and_resumes_by_fold(spark, sf, tmp_path):
 
 def test_a_folder_never_gives_back_fits_of_other_settings(spark, sf, tmp_path):
     values = tables.cohort(spark, sf)
-    small = CONFIG | {"configs": [{"id": "logreg", "model": "logreg", "explainers": ["coef"], "parameters": {"C": 0.001}}]}
+    small = CONFIG | {"top_k": [3], "configs": [{"id": "logreg", "model": "logreg", "explainers": ["coef"], "parameters": {"C": 0.001}}]}
     scores = lambda place: sorted((r.sample_id, r.fold, round(r.score, 9)) for r in place.read(spark, "predictions").collect())
     first = scores(runs.run_matrix(values, small, tmp_path / "one"))
     changed = small | {"configs": [small["configs"][0] | {"parameters": {"C": 100.0}}], "seed": 8}
@@ -123,7 +124,7 @@ def test_a_folder_never_gives_back_fits_of_other_settings(spark, sf, tmp_path):
 
 def test_a_run_stopped_in_its_first_write_goes_on(spark, sf, tmp_path):
     values = tables.cohort(spark, sf)
-    small = CONFIG | {"configs": CONFIG["configs"][:1], "wave": 2}
+    small = CONFIG | {"top_k": [3], "configs": CONFIG["configs"][:1], "wave": 2}
     place = runs.run_matrix(values, small, tmp_path / "run")
     key = next((tmp_path / "run" / "fits").iterdir())
     for f in [*key.iterdir()]:
@@ -158,23 +159,31 @@ def test_identity_and_files(tmp_path):
         provenance.latest(tmp_path, "_z_")
 
 
-@pytest.fixture
-def history(tmp_path):
-    tree = tmp_path / "tree"
+@pytest.fixture(scope="module")
+def discovery_run(spark, sf, tmp_path_factory):
+    """The discovery half, and a run on it from a tree without changes."""
+    folder = tmp_path_factory.mktemp("discovery")
+    tree = folder / "tree"
     tree.mkdir()
     git = lambda *words: subprocess.run(["git", "-C", str(tree), "-c", "user.name=a", "-c", "user.email=a@example.org", *words], check=True, capture_output=True)
     git("init", "-q")
     (tree / "code").write_text("1")
     git("add", "code")
     git("commit", "-qm", "first")
-    return History(tree)
+    disc = tables.discovery_half(tables.cohort(spark, sf))
+    return tree, disc, runs.run_matrix(disc, CONFIG, folder / "run", tree)
 
 
 @pytest.fixture
-def frozen_run(spark, sf, tmp_path, history):
-    """A run on the discovery half, and its freeze."""
-    disc = tables.discovery_half(tables.cohort(spark, sf))
-    run = runs.run_matrix(disc, CONFIG, tmp_path / "run", history.tree)
+def history(discovery_run, tmp_path):
+    """A copy of the tree that a test may change."""
+    shutil.copytree(discovery_run[0], tmp_path / "tree")
+    return History(tmp_path / "tree")
+
+
+@pytest.fixture
+def frozen_run(discovery_run, tmp_path, history):
+    _, disc, run = discovery_run
     return disc, run, external.create_freeze(disc, run, tmp_path / "freeze", history, headline=3)
 
 
