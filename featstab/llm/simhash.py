@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import files
 from .common import arrow_map, keep, shared_dir, small_batches, table, utf8
-from .components import components
+from .components import components, spread_join
 
 #: Rows of a sub-tile, of a block within a tile, and of the runs that are compared by shifting.
 TILE, BLOCK, SMALL = 8192, 1024, 48
@@ -362,8 +362,11 @@ def groups(docs: DataFrame, shingle: int = 5, parts: int = 4, radius: int = 44,
     distinct = found.select("fp", "shingles").distinct()
     tiles = block_tiles(found.select("fp").distinct(), parts, radius) if radius < 8 * parts else size_tiles(distinct, similarity)
     labels = components(compare(tiles, parts, radius))
-    least = found.groupBy("fp").agg(F.min(key).alias("m")).join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "m")
-    ids = least.join(least.groupBy("label").agg(F.min("m").alias("group")), "label").select("fp", "group")
+    least = keep(found.groupBy("fp").agg(F.min(key).alias("m")).join(labels.withColumnRenamed("node", "fp"), "fp", "left"), "labels")
+    linked = least.where("label is not null")
+    per = linked.groupBy("label").agg(F.min("m").alias("group"), F.count(F.lit(1)).alias("n"))
+    ids = spread_join(linked.select("fp", "label"), per, "label", least.count()).select("fp", "group")
+    ids = ids.unionByName(least.where("label is null").select("fp", F.col("m").alias("group")))
     return found.select(key, *carried, "fp").join(ids, "fp")
 
 

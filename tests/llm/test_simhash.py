@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from featstab.llm import simhash
 from featstab.llm.common import table
@@ -136,3 +137,16 @@ def test_repeated_lines_do_not_count_in_similar(spark):
     rows += [(10, " ".join(base) + f"\n{line}" * 2), (11, edited + f"\n{line}" * 40)]
     label = {r.doc_id: r.label for r in simhash.similar(documents(spark, rows)).collect()}
     assert len({label[k] for k in range(6)}) == 6 and label[10] == label[11] not in {label[k] for k in range(6)}
+
+
+def test_heavy_keys_join_like_others(spark, monkeypatch):
+    from featstab.llm import components as module
+
+    rows = spark.createDataFrame([(k, i) for k, n in (("a", 1500), ("b", 40), ("c", 1), (None, 1200)) for i in range(n)], "k string, x int")
+    per = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("m"))
+    got = {(r.k, r.m): r.n for r in module.spread_join(rows, per, "k", rows.count()).groupBy("k", "m").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {("a", 0): 1500, ("b", 0): 40, ("c", 0): 1}
+    monkeypatch.setattr(module, "LEAST", 3)
+    edges = spark.createDataFrame([(50, i) for i in range(100, 140)] + [(7, 100), (139, 60), (200, 201)], "a long, b long")
+    label = {r.node: r.label for r in components(edges).collect()}
+    assert label == {n: 7 for n in (7, 50, 60, *range(100, 140))} | {200: 200, 201: 200}
