@@ -41,10 +41,12 @@ def _account(length: int, countries: str) -> str:
 
 #: Account numbers of the countries above have their length; those of others may have any.
 _KNOWN, _OTHER = "|".join(_account(*x) for x in ACCOUNT_LENGTHS.items()), "|".join(" ".join(ACCOUNT_LENGTHS.values()).split())
+#: A network address with groups left out, if it is one of a host (global, of a site or of a link): words and code have double colons too.
+_SHORT = r"(?:[23][0-9A-Fa-f]{3}|[Ff][CcDd][0-9A-Fa-f]{2}|[Ff][Ee][89AaBb][0-9A-Fa-f])(?::[0-9A-Fa-f]{1,4}){0,6}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}"
 SHAPES = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "iban": rf"(?=[A-Z]{{2}}[0-9]{{2}}[A-Z0-9 ])(?:{_KNOWN}|(?!{_OTHER})[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?))",
-    "ip6": r"(?<!:)[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?!:[0-9A-Fa-f])",
+    "ip6": rf"(?<!:)(?:[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{7}}|{_SHORT})(?!:[0-9A-Fa-f])",
     "ip": r"(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])",
     "date": r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
@@ -161,7 +163,8 @@ def kind_of(m: Column) -> Column:
     short = (F.length(digits) >= 8) & (F.length(digits) <= 15)
     found = F.when(F.instr(m, "@") > 0, "email")
     found = found.when(full["iban"], F.when(_mod97(F.concat(F.substr(flat, F.lit(5)), F.substr(flat, F.lit(1), F.lit(4)))) == 1, "iban"))
-    found = found.when(full["ip6"], "ip6").when(full["ip"], F.when(F.forall(octets, lambda o: o), "ip"))
+    groups = F.size(F.split(F.replace(m, F.lit("::"), F.lit(":")), ":"))
+    found = found.when(full["ip6"], F.when((F.instr(m, "::") == 0) | (groups < 8), "ip6")).when(full["ip"], F.when(F.forall(octets, lambda o: o), "ip"))
     found = found.when(full["date"], F.when(year.between(1800, 2199) & month.between(1, 12) & day.between(1, 31) & (day <= days), "date"))
     found = found.when(full["ssn"], F.when(~m.rlike("^(?:000|666|9)|-00-|-0000$"), "ssn"))
     return found.when(full["phone"], "phone").when(full["abroad"], F.when(short, "abroad")).when(full["card"], F.when((_luhn(digits, 1) % 10 == 0) & (F.translate(digits, "0", "") != ""), "card"))
@@ -179,8 +182,10 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     body = permuted_text(key, "iban", F.substr(flat, F.lit(5)), lambda c, i: F.when(c.rlike("[0-9]"), digit).otherwise(F.lit(LETTERS.upper())))
     check = F.lpad((98 - _mod97(F.concat(body, F.substr(flat, F.lit(1), F.lit(2)), F.lit("00")))).cast("string"), 2, "0")
     iban = _respelt(m, "A-Z0-9", F.concat(F.substr(flat, F.lit(1), F.lit(2)), check, body))
-    # network address of eight groups: all of its 32 digits, leading noughts of a group left out
-    nibbles = F.array_join(F.transform(F.split(F.lower(m), ":"), lambda g: F.lpad(g, 4, "0")), "")
+    # network address of eight groups: all of its 32 digits, leading noughts of a group left out; groups left out are written
+    sides = F.split(F.lower(m), "::")
+    first, last = F.split(F.get(sides, F.lit(0)), ":"), F.coalesce(F.split(F.get(sides, F.lit(1)), ":"), F.array().cast("array<string>"))
+    nibbles = F.array_join(F.transform(F.concat(first, F.array_repeat(F.lit("0"), 8 - F.size(first) - F.size(last)), last), lambda g: F.lpad(g, 4, "0")), "")
     moved6 = permuted_text(key, "ip6", nibbles, lambda c, i: F.lit(HEX))
     ip6 = F.element_at(F.transform(F.array(moved6), lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substr(x, 4 * i + 1, F.lit(4)), "^0{1,3}", "")), ":")), 1)
     # network address: two pairs of octets
@@ -229,8 +234,9 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", chars: str | No
 
     Null stays null with counts 0; empty texts and texts without valid values stay as they are. Values are replaced wherever they
     stand, in texts of any length. A number that only looks like a kind (wrong check digit, 31 February, octet over 255) stays.
-    Slashed dates count as month first where that is possible. Addresses of eight groups are spelt without leading noughts. Columns of ``docs`` named like a count are replaced by it. ``chars``
-    names a column for the new length. Equal values become equal values in every row; repeated rows stay equal. No shuffle."""
+    Slashed dates count as month first where that is possible. Network addresses of eight groups are spelt in full, without
+    leading noughts. Columns of ``docs`` named like a count are replaced by it. ``chars`` names a column for the new length. Equal values
+    become equal values in every row; repeated rows stay equal. No shuffle."""
     rows = docs.select(F.struct("*").alias("_row"), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)).alias("_m"))
     rows = rows.select("_row", F.transform("_m", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k"))).alias("_found"))
     rows = rows.withColumn("_new", F.transform("_found", lambda x: pseudonym(x["m"], x["k"], key)))

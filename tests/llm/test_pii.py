@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import ipaddress
 import re
 
 import pytest
@@ -144,8 +145,11 @@ def brute_value(m):
             return None
         body = brute_text("iban", flat[4:], [pii.DIGITS if c.isdigit() else pii.LETTERS.upper() for c in flat[4:]])
         return "iban", respelt(m, f"{flat[:2]}{98 - remainder(body + flat[:2] + '00'):02d}{body}", "A-Z0-9")
-    if m.count(":") == 7:
-        x = brute_text("ip6", "".join(g.zfill(4) for g in m.lower().split(":")), [pii.HEX] * 32)
+    if m.count(":") == 7 or "::" in m:
+        try:
+            x = brute_text("ip6", ipaddress.IPv6Address(m).exploded.replace(":", ""), [pii.HEX] * 32)
+        except ValueError:
+            return None
         return "ip6", ":".join(f"{int(x[i : i + 4], 16):x}" for i in range(0, 32, 4))
     if re.fullmatch(r"\d+(\.\d+){3}", m) and not re.fullmatch(r"\d{3}\.\d{3}\.\d{4}", m):
         o = [int(x) for x in m.split(".")]
@@ -217,6 +221,7 @@ def test_every_kind_equals_brute_force(spark):
         "ZZ79 1234 5678 9012 3456 is of no known country",
         "j\u00fcrgen.m\u00fcller@x.de, J\u00dcRGEN@x.de and a+b_c%d@sub.example.co.uk",
         "2001:0db8:85a3:0000:0000:8a2e:0370:7334 2001:DB8:85A3:0:0:8A2E:370:7334, 12:30:45 and 1:2:3:4:5:6:7:8:9",
+        "2001:db8::8a2e:370:7334 and 2001:0DB8:0:0::8A2E:0370:7334 are 2001:db8:0:0:0:8a2e:370:7334; fe80::1, fd12:3:4:5:6:7::8; std::abs, dead::beef, a::b, ::1, 2001:db8::/32, 2001:1:2:3:4:5:6::7:8",
         "+49 30 1234567, +44 (0)20 7946 0958, +358.9.123.456 and +12 or +1 212 555 0100 (212) 555-0100 212.555.0100",
         "10.0.0.1 255.255.255.256 1984-02-29 31.12.1999 7/4/1976 078-05-1120 000-12-3456 4111 1111 1111 1111 378282246310005",
     ]
@@ -226,7 +231,9 @@ def test_every_kind_equals_brute_force(spark):
     assert by[0].n_iban == 3 and "BE68 5390 0754 7034" not in by[0].text and " PAID and " in by[0].text and by[0].text.endswith(" AB")
     assert by[2].n_email == 3 and "j\u00fcrgen" not in by[2].text.lower()
     assert by[3].n_ip6 == 2 and len(set(re.findall(r"(?:[0-9a-f]+:){7}[0-9a-f]+", by[3].text.split(", ")[0]))) == 1
-    assert by[4].n_abroad == 3 and by[4].n_phone == 3 and by[4].text.startswith("+49 ") and "+44 (0)" in by[4].text
+    assert by[4].n_ip6 == 5 and len(set(re.findall(r"(?:[0-9a-f]+:){7}[0-9a-f]+", by[4].text.split("; ")[0]))) == 1
+    assert by[4].text.endswith("; std::abs, dead::beef, a::b, ::1, 2001:db8::/32, 2001:1:2:3:4:5:6::7:8")
+    assert by[5].n_abroad == 3 and by[5].n_phone == 3 and by[5].text.startswith("+49 ") and "+44 (0)" in by[5].text
 
 
 def test_key_is_configured_or_lasts_for_the_application(spark):
