@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -76,6 +77,13 @@ class _Units(dict):
         return found
 
 
+class Follows(dict):
+    """Of a token: which tokens are known to go, or not to go, behind it."""
+
+    def __init__(self, token: int):
+        self.token = token
+
+
 class PrefixCounter:
     """Counts for one byte-level BPE file. Raises ValueError for files with settings that this does not follow."""
 
@@ -106,7 +114,7 @@ class PrefixCounter:
             self.pairs[left << 32 | right] = k
             self.rank.setdefault(whole, k)
             self.parts.setdefault(whole, (left, right))
-        self.automaton = ahocorasick.Automaton()
+        self.automaton, self.follows, self.n_pairs = ahocorasick.Automaton(), [], 0
         reached: set[int] = set()
         for piece, token in sorted(ids.items(), key=lambda x: self.rank.get(x[1], -1)):
             if piece in names:
@@ -115,9 +123,9 @@ class PrefixCounter:
             if parts is None and len(piece) > 1 or parts and not (parts[0] in reached and parts[1] in reached and self.apart(*parts, self.rank[token])):
                 continue  # no text's encoding has it
             reached.add(token)
-            self.automaton.add_word(piece.translate(byte), (token, len(piece)))
+            self.follows.append(Follows(token))
+            self.automaton.add_word(piece.translate(byte), (token, len(piece), self.follows[-1]))
         self.automaton.make_automaton()
-        self.known: dict[int, bool] = {}
         self.units = _Units(self.of_unit)
 
     def apart(self, a: int, b: int, before: int = 1 << 60) -> bool:
@@ -141,27 +149,35 @@ class PrefixCounter:
     def of_piece(self, piece: str) -> list[int]:
         """Token count of the prefix of 0, 1, ... characters of a piece that the pattern leaves whole."""
         raw = piece.encode()
-        n, known = len(raw), self.known
-        last, count = [-1] * (n + 1), [0] * (n + 1)
-        for end, (token, length) in self.automaton.iter(raw.decode("latin-1")):
-            end += 1
-            start = end - length
+        n = len(raw)
+        after, count, done = [None] * (n + 1), [0] * (n + 1), 0
+        for end, (token, length, follows) in self.automaton.iter(raw.decode("latin-1")):
+            if end < done:  # the one token that may end here is found
+                continue
+            start = end + 1 - length
             if start:
-                before = last[start]
-                key = before << 32 | token
-                good = known.get(key)
+                good = after[start].get(token)
                 if good is None:
-                    if len(known) >= PAIRS:
-                        known.clear()
-                    good = known[key] = self.apart(before, token)
+                    good = self.learn(after[start], token)
                 if not good:
                     continue
-            last[end], count[end] = token, count[start] + 1
+            done = end + 1
+            after[done], count[done] = follows, count[start] + 1
         if n == len(piece):
             return count
         ends = [i for i in range(1, n) if raw[i] & 0xC0 != 0x80] + [n]
         return [0, *(count[i] for i in ends)]
 
+    def learn(self, follows: Follows, token: int) -> bool:
+        """Decide a pair and remember it."""
+        if self.n_pairs >= PAIRS:
+            for each in self.follows:
+                each.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        good = follows[token] = self.apart(follows.token, token)
+        return good
+
     def of_unit(self, unit: str, shape: str) -> tuple[bytes, int]:
         """Counts of the prefixes of a unit, as int32 bytes, and what it counts when something follows.
 
@@ -170,7 +186,7 @@ class PrefixCounter:
         if space == len(shape):
             counts = self.of_piece(unit)
             behind = counts[-2] + self.of_piece(unit[-1])[-1]  # followed by another character, its last stands alone
-        elif space:
+        elif space > 1:
             blank = self.of_piece(unit[:space])
             word = self.of_piece(unit[space - 1 :])
             counts = blank + [blank[space - 1] + c for c in word[2:]]
@@ -184,7 +200,7 @@ class PrefixCounter:
         else:
             counts = self.of_piece(unit)
             behind = counts[-1]
-        return np.array(counts[1:], dtype=np.int32).tobytes(), behind
+        return array("i", counts[1:]).tobytes(), behind
 
     def of_segment(self, text: str) -> np.ndarray:
         """Counts of the prefixes of 1, 2, ... characters of a text without added tokens."""
@@ -282,11 +298,11 @@ def within_budget(stored: DataFrame, budget: int, order: list[Column], key: str
     is_cut = (F.col("tokens_before") < budget) & (F.col("_through") > budget)
     one = total.where(is_cut).select(F.col(key).alias("_k"), F.col("n_chars").alias("_c"), F.col("n_tokens").alias("_n"), (F.lit(budget) - F.col("tokens_before")).alias("_left"))  # at most one row
     same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("n_chars") == F.col("_c")) & (F.col("n_tokens") == F.col("_n"))
-    array = stored.join(F.broadcast(one), same).groupBy("_k", "_c", "_n", "_left").agg(F.max("counts").alias("_counts"))
+    cut = stored.join(F.broadcast(one), same).groupBy("_k", "_c", "_n", "_left").agg(F.max("counts").alias("_counts"))
     chars = longest_within(F.col("_counts"), F.col("_left")).cast("long")
-    array = array.select("_k", "_c", "_n", chars.alias("_chars"), tokens_in(F.col("_counts"), chars).cast("long").alias("_tokens"))
+    cut = cut.select("_k", "_c", "_n", chars.alias("_chars"), tokens_in(F.col("_counts"), chars).cast("long").alias("_tokens"))
     none, whole = F.lit(0).cast("long"), F.col("_through") <= budget
-    out = total.join(F.broadcast(array), same & is_cut, "left")
+    out = total.join(F.broadcast(cut), same & is_cut, "left")
     return out.select(key, "n_tokens", "tokens_before", F.when(whole, F.col("n_chars")).otherwise(F.coalesce("_chars", none)).alias("chars_taken"), F.when(whole, F.col("n_tokens")).otherwise(F.coalesce("_tokens", none)).alias("tokens_taken"))
 
 
