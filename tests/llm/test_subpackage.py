@@ -28,4 +28,4 @@ def test_entry_has_one_query_of_each_operator():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == [*range(1, 11), 12] and "pipeline" in entry.queries()
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 13)) and "pipeline" in entry.queries()
