@@ -171,7 +171,8 @@ def resample(docs: DataFrame, target: DataFrame, settings: Settings = Settings()
     Other columns are not read, so their names cannot clash. Texts are read twice, once to count, once to weigh; what is gathered from
     them is a row a bucket. Weights are written to the shared folder; ranks come from a range sort of those small rows, partition by
     partition, and no task sees more than its range. Memory is a batch of texts, or some thirty bytes for each byte of the longest text."""
-    found = gains(bucket_counts(docs, settings, text), bucket_counts(target, settings, target_text), settings)
+    counted = [keep(bucket_counts(*x), "buckets") for x in ((docs, settings, text), (target, settings, target_text))]
+    found = gains(*counted, settings)
     gain = np.zeros(settings.buckets, dtype=np.int64)
     for r in found.select("bucket", "gain").collect():  # a row a bucket, whatever the input
         gain[r["bucket"]] = r["gain"]
