@@ -44,7 +44,7 @@ _KNOWN, _OTHER = "|".join(_account(*x) for x in ACCOUNT_LENGTHS.items()), "|".jo
 #: A network address with groups left out, if it is one of a host (global, of a site or of a link): words and code have double colons too.
 _SHORT = r"(?:[23][0-9A-Fa-f]{3}|[Ff][CcDd][0-9A-Fa-f]{2}|[Ff][Ee][89AaBb][0-9A-Fa-f])(?::[0-9A-Fa-f]{1,4}){0,6}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}"
 SHAPES = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": r"(?<![\p{L}\p{N}\p{M}._%+-])[\p{L}\p{N}\p{M}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "iban": rf"(?=[A-Z]{{2}}[0-9]{{2}}[A-Z0-9 ])(?:{_KNOWN}|(?!{_OTHER})[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?))",
     "ip6": rf"(?<!:)(?:[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{7}}|{_SHORT})(?!:[0-9A-Fa-f])",
     "ip": r"(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])",
@@ -54,7 +54,16 @@ SHAPES = {
     "abroad": r"\+[1-9][0-9]{0,2}(?:[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,12}){1,5}",
     "card": r"[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19}",
 }
-PATTERN = r"(?<![0-9A-Za-z])(?:" + "|".join(f"(?:{SHAPES[k]})" for k in KINDS) + r")(?![0-9A-Za-z])"
+#: What may follow a value; the time of day may follow a date.
+_BEHIND = {"date": r"(?:(?![0-9A-Za-z])|(?=T[0-9]{2}:))"}
+PATTERN = r"(?<![0-9A-Za-z])(?:" + "|".join(f"(?:{SHAPES[k]})" + _BEHIND.get(k, "(?![0-9A-Za-z])") for k in KINDS) + ")"
+# Ranges of code points that are letters, or digits, of one script throughout (Unicode).
+SCRIPTS = (
+    (0xDF, 0xF6), (0xF8, 0xFF), (0x100, 0x24F), (0x3AC, 0x3CE), (0x430, 0x45F), (0x561, 0x586), (0x5D0, 0x5EA), (0x621, 0x64A), (0x660, 0x669), (0x904, 0x939), (0x966, 0x96F),
+    (0xE01, 0xE30), (0x10D0, 0x10FA), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FEF), (0xAC00, 0xD7A3),
+)
+#: Letters and digits of no such range move among so many neighbours.
+NEIGHBOURS = 16
 
 
 def _long(x: Column) -> Column:
@@ -105,6 +114,40 @@ def permuted_text(key: str, kind: str, value: Column, alphabet: Callable[[Column
     return F.when(F.length(value) > 0, done).otherwise(value)
 
 
+def permuted_letters(key: str, kind: str, value: Column) -> Column:
+    """``value``, letters and digits of any script in lower case, each permuted within its own range of code points."""
+    code = lambda i: _long(F.ascii(F.substr(value, i, F.lit(1))))
+
+    def place(i: Column) -> Column:
+        c = code(i)
+        base, size = c - c % NEIGHBOURS, F.lit(NEIGHBOURS)
+        for first, last in SCRIPTS:
+            base, size = F.when(c.between(first, last), first).otherwise(base), F.when(c.between(first, last), last - first + 1).otherwise(size)
+        latin, digit = c.between(97, 122), c.between(48, 57)
+        at = F.when(latin, c - 97).when(digit, c - 22).otherwise(c - base)  # a-z and 0-9 are one alphabet
+        return F.struct(at.alias("c"), F.when(latin | digit, -1).otherwise(base).cast("long").alias("b"), F.when(latin | digit, 36).otherwise(size).cast("long").alias("n"))
+
+    places = F.transform(F.sequence(F.lit(1), F.length(value)), place)
+    half = F.floor(F.length(value) / 2).cast("int")
+    shown = lambda part: F.array_join(F.transform(part, lambda x: F.concat_ws(":", x["b"], x["c"])), ",")
+
+    def shifted(part: Column, other: Column, i: Column) -> Column:
+        digest = _hash(key, kind, i, shown(other))
+        return F.transform(part, lambda x, j: F.struct(F.pmod(x["c"] + _part(digest, 3 * j, 8), x["n"]).alias("c"), x["b"].alias("b"), x["n"].alias("n")))
+
+    def turn(pair: Column, i: Column) -> Column:
+        l, r = pair["l"], pair["r"]
+        even = i % 2 == 0
+        return F.struct(F.when(even, shifted(l, r, i)).otherwise(l).alias("l"), F.when(even, r).otherwise(shifted(r, l, i)).alias("r"))
+
+    def written(x: Column) -> Column:
+        plain = F.substr(F.lit(LETTERS + DIGITS), x["c"].cast("int") + 1, F.lit(1))
+        return F.when(x["b"] < 0, plain).otherwise(F.decode(F.unhex(F.lpad(F.hex(x["b"] + x["c"]), 8, "0")), "UTF-32"))
+
+    start = F.struct(F.slice(places, F.lit(1), half).alias("l"), F.slice(places, half + 1, F.length(value) - half).alias("r"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda pair: F.array_join(F.transform(F.concat(pair["l"], pair["r"]), written), ""))
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -161,7 +204,7 @@ def kind_of(m: Column) -> Column:
     octets = F.transform(F.split(m, "\\."), lambda o: _long(o) <= 255)
     full = {k: m.rlike(f"^(?:{SHAPES[k]})$") for k in KINDS}
     short = (F.length(digits) >= 8) & (F.length(digits) <= 15)
-    found = F.when(F.instr(m, "@") > 0, "email")
+    found = F.when(F.instr(m, "@") > 0, F.when(m.rlike(r"^[^@]*[\p{L}\p{N}]"), "email"))
     found = found.when(full["iban"], F.when(_mod97(F.concat(F.substr(flat, F.lit(5)), F.substr(flat, F.lit(1), F.lit(4)))) == 1, "iban"))
     groups = F.size(F.split(F.replace(m, F.lit("::"), F.lit(":")), ":"))
     found = found.when(full["ip6"], F.when((F.instr(m, "::") == 0) | (groups < 8), "ip6")).when(full["ip"], F.when(F.forall(octets, lambda o: o), "ip"))
@@ -175,8 +218,9 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     digit = F.lit(DIGITS)
     # e-mail: the name before the @, in lower case; the domain stays
     name = F.lower(F.regexp_extract(m, "^[^@]*", 0))
-    letters = F.regexp_replace(name, "[^a-z0-9]", "")
-    email = F.concat(_respelt(name, "a-z0-9", permuted_text(key, "email", letters, lambda c, i: F.lit(LETTERS + DIGITS))), F.regexp_extract(m, "@.*$", 0))
+    plain = _respelt(name, "a-z0-9", permuted_text(key, "email", F.regexp_replace(name, "[^a-z0-9]", ""), lambda c, i: F.lit(LETTERS + DIGITS)))
+    of_any_script = _respelt(name, r"\p{L}\p{N}", permuted_letters(key, "email", F.regexp_replace(name, r"[^\p{L}\p{N}]", "")))
+    email = F.concat(F.when(name.rlike(r"[^\x00-\x7F]"), of_any_script).otherwise(plain), F.regexp_extract(m, "@.*$", 0))
     # account number: digits and letters of the part after the check digits, which are computed anew
     flat = F.regexp_replace(m, " ", "")
     body = permuted_text(key, "iban", F.substr(flat, F.lit(5)), lambda c, i: F.when(c.rlike("[0-9]"), digit).otherwise(F.lit(LETTERS.upper())))
@@ -234,6 +278,8 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", chars: str | No
 
     Null stays null with counts 0; empty texts and texts without valid values stay as they are. Values are replaced wherever they
     stand, in texts of any length. A number that only looks like a kind (wrong check digit, 31 February, octet over 255) stays.
+    Letters and digits of an e-mail name move within their own script, its marks stay (those of rarer scripts among sixteen neighbours); a name without
+    any is no address. The key stands in the plan, so a deployment redacts it there (spark.redaction.string.regex).
     Slashed dates count as month first where that is possible. Network addresses of eight groups are spelt in full, without
     leading noughts. Columns of ``docs`` named like a count are replaced by it. ``chars`` names a column for the new length. Equal values
     become equal values in every row; repeated rows stay equal. No shuffle."""

@@ -137,7 +137,12 @@ def brute_value(m):
     digits = re.sub(r"\D", "", m)
     if "@" in m:
         name, _, domain = m.partition("@")
+        if not name.isascii():
+            moved = iter(brute_letters("".join(c for c in name.lower() if regex.match(r"[\p{L}\p{N}]", c))))
+            return "email", "".join(next(moved) if regex.match(r"[\p{L}\p{N}]", c) else c for c in name.lower()) + "@" + domain
         letters = re.sub("[^a-z0-9]", "", name.lower())
+        if not letters:
+            return None
         return "email", respelt(name.lower(), brute_text("email", letters, [pii.LETTERS + pii.DIGITS] * len(letters)), "a-z0-9") + "@" + domain
     if re.match("[A-Z]{2}[0-9]{2}[A-Z0-9 ]", m):
         flat = m.replace(" ", "")
@@ -243,3 +248,50 @@ def test_key_is_configured_or_lasts_for_the_application(spark):
         assert pii.configured_key(spark) == "mine"
     finally:
         spark.conf.unset(pii.KEY_SETTING)
+
+
+def brute_letters(value):
+    """The network over letters and digits of any script, written down plainly."""
+
+    def place(c):
+        n = ord(c)
+        if c in pii.LETTERS + pii.DIGITS:
+            return (pii.LETTERS + pii.DIGITS).index(c), -1, 36
+        for first, last in pii.SCRIPTS:
+            if first <= n <= last:
+                return n - first, first, last - first + 1
+        return n % 16, n - n % 16, 16
+
+    half = len(value) // 2
+    sides = [list(map(place, value[:half])), list(map(place, value[half:]))]
+    for i in range(pii.ROUNDS):
+        mine, other = (0, 1) if i % 2 == 0 else (1, 0)
+        digest = hashlib.sha256(f"{KEY}|email|{i}|{','.join(f'{b}:{c}' for c, b, _ in sides[other])}".encode()).hexdigest()
+        sides[mine] = [((c + int(digest[3 * j % 56 : 3 * j % 56 + 8], 16)) % n, b, n) for j, (c, b, n) in enumerate(sides[mine])]
+    return "".join((pii.LETTERS + pii.DIGITS)[c] if b < 0 else chr(b + c) for side in sides for c, b, _ in side)
+
+
+def test_names_of_any_script(spark):
+    names = ["иван", "ИВАН", "李", "jürgen", "Jürgen.Ö", "δημήτρης", "김철수", "やまだ.7", "محمد", "दिल", "𝒜bc", "x²", "ꙗꙗ", "a.é-_b9"]
+    got, rows = run(spark, [f"mail {n}@mail.ru, thanks" for n in names] + ["_%-@x.com", "иван@mail.ru иван@mail.ru"])
+    for name, text, row in zip(names, got, rows, strict=False):
+        low = name.lower()
+        letters = iter(brute_letters(re.sub(r"[._%+-]", "", "".join(c for c in low if regex.match(r"[\p{L}\p{N}]", c)))))
+        assert text == "mail " + "".join(next(letters) if regex.match(r"[\p{L}\p{N}]", c) else c for c in low) + "@mail.ru, thanks" and row.n_email == 1
+    assert got[0] == got[1] and "иван" not in got[0] and "李" not in got[2] and "ü" not in got[3][5:11].replace(brute_letters("jürgen"), "")
+    assert got[-2] == "_%-@x.com" and rows[-2].n_email == 0
+    one, two = got[-1].split()
+    assert one == two == got[0].split()[1].rstrip(",") and rows[-1].n_email == 2
+    assert regex.fullmatch(r"\p{Cyrillic}{4}@mail\.ru", one)
+
+
+def test_names_of_one_script_stay_apart(spark):
+    letters = "абвгдежз"
+    names = [a + b + c for a in letters for b in letters for c in letters]
+    got, _ = run(spark, [" ".join(f"{n}@x.de" for n in names)])
+    assert len(set(got[0].split())) == len(names) and not set(got[0].split()) <= {f"{n}@x.de" for n in names}
+
+
+def test_time_stamps(spark):
+    got, rows = run(spark, ["at 2020-02-03T10:00:00Z", "2020-02-03Total", "2020-02-03"])
+    assert [r.n_date for r in rows] == [1, 0, 1] and got[0] == f"at {got[2]}T10:00:00Z" and got[2] != "2020-02-03"
