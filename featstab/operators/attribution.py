@@ -24,11 +24,6 @@ def ranked(rows: DataFrame, by: tuple[str, ...] = FOLD) -> DataFrame:
     return rows.withColumn("importance", F.when(bad, told).otherwise(i)).withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("importance"), "gene")))
 
 
-def invalid_importances(rows: DataFrame) -> DataFrame:
-    i = F.col("importance")
-    return rows.where(i.isNull() | F.isnan(i) | (F.abs(i) == float("inf")))
-
-
 def positive_top(rows: DataFrame, k: int) -> DataFrame:
     """Ranks up to ``k`` with a positive importance: sets may be smaller than k."""
     return rows.where((F.col("rank") <= k) & (F.col("importance") > 0))
@@ -41,13 +36,14 @@ def welch_t(mean1: str = "mean1", mean0: str = "mean0", var1: str = "var1", var0
     return F.when((F.col(n1) < 2) | (F.col(n0) < 2), None).when(error > 0, difference / F.when(error > 0, error)).when(difference == 0, F.lit(0.0)).otherwise(F.signum(difference) * SEPARATED)
 
 
-def _shown(rows: DataFrame, importance: Column, signed: Column, by: tuple[str, ...]) -> DataFrame:
+def shown(rows: DataFrame, importance: Column, signed: Column, by: tuple[str, ...] = FOLD) -> DataFrame:
+    """by, gene, importance, signed, to twelve decimals."""
     return rows.select(*by, "gene", F.round(importance, 12).alias("importance"), F.round(signed, 12).alias("signed"))
 
 
 def ttest(state: DataFrame, by: tuple[str, ...] = FOLD) -> DataFrame:
     t = welch_t()
-    return _shown(state, F.abs(t), t, by)
+    return shown(state, F.abs(t), t, by)
 
 
 def mean_difference(state: DataFrame, by: tuple[str, ...] = FOLD) -> DataFrame:
@@ -56,7 +52,7 @@ def mean_difference(state: DataFrame, by: tuple[str, ...] = FOLD) -> DataFrame:
 
 
 def coefficients(weights: DataFrame, by: tuple[str, ...] = FOLD) -> DataFrame:
-    return _shown(weights, F.abs("w"), F.col("w"), by)
+    return shown(weights, F.abs("w"), F.col("w"), by)
 
 
 def linear_shap(z: DataFrame, weights: DataFrame, by: tuple[str, ...] = FOLD) -> DataFrame:
@@ -64,7 +60,7 @@ def linear_shap(z: DataFrame, weights: DataFrame, by: tuple[str, ...] = FOLD) ->
     centre = z.groupBy(*by, "gene").agg(F.avg("z").alias("c"))
     phi = F.col("w") * (F.col("z") - F.col("c"))
     rows = z.join(centre, [*by, "gene"]).join(weights, [*by, "gene"]).groupBy(*by, "gene").agg(F.avg(F.abs(phi)).alias("i"), F.avg(phi).alias("s"))
-    return _shown(rows, F.col("i"), F.col("s"), by)
+    return shown(rows, F.col("i"), F.col("s"), by)
 
 
 def sigmoid(x: Column) -> Column:
@@ -109,7 +105,12 @@ def linear_permutation(z: DataFrame, weights: DataFrame, moves: DataFrame, by: t
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", gene string, raw double"
     own = moves.select(*(F.col(c).alias(c) for c in (*by, "r", "sample_id", "from_id")))  # columns of its own, as both sides come from the folds
     raw = rows.groupBy(*by).cogroup(own.groupBy(*by)).applyInArrow(run, schema)
-    return _shown(raw, F.when(F.col("raw") > NOISE, F.col("raw")).otherwise(F.lit(0.0)), F.col("raw"), by)
+    return permutation_importance(raw, by)
+
+
+def permutation_importance(raw: DataFrame, by: tuple[str, ...] = FOLD) -> DataFrame:
+    """From the rise of the loss: what is under NOISE counts as none; ``signed`` keeps it."""
+    return shown(raw, F.when(F.col("raw") > NOISE, F.col("raw")).otherwise(F.lit(0.0)), F.col("raw"), by)
 
 
 def class_auc(rows: DataFrame, value: str = "x", by: tuple[str, ...] = (*FOLD, "gene")) -> DataFrame:
@@ -121,4 +122,4 @@ def class_auc(rows: DataFrame, value: str = "x", by: tuple[str, ...] = (*FOLD, "
 
 
 def auc_importance(auc: DataFrame, by: tuple[str, ...] = FOLD) -> DataFrame:
-    return _shown(auc, F.abs(F.col("auc") - 0.5), F.col("auc") - 0.5, by)
+    return shown(auc, F.abs(F.col("auc") - 0.5), F.col("auc") - 0.5, by)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kept import kept, shared
+from ..functions.prefix import running
 from ..functions.scalars import rounded
 from ..operators import attribution, cohort, consensus, enrichment, metrics, models, preprocess, replication, splits, stability
 from ..sources import tables
@@ -20,8 +21,9 @@ PANELS = (("G1", "primary"), ("G4", "primary"), ("G9", "extended"), ("G99", "ext
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-#: Decimals of doubles; more where shares have few, which rounding to six would split at the half.
-DIGITS = {"rank_features": 9}
+#: Decimals of doubles: nine where they are fractions of counts, many of which end in a half of the sixth decimal.
+FRACTIONS = ("rank_features", "auc_ranking", "auc_effects", "gene_level_replication", "classification_metrics", "pooled_metrics_by_repeat", "fold_metric_summary", "document_cohort_metrics")
+DIGITS = dict.fromkeys(FRACTIONS, 9) | {"list_level_replication": 7}  # means of effects that have nine themselves
 
 
 def query(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -262,13 +264,13 @@ def linear_coef_rank(spark, sf):
 @query
 def linear_shap_importance(spark, sf):
     s = the_study(spark, sf)
-    return attribution.linear_shap(s.train_z, s.weights).select(*FOLD, "gene", "importance", "signed")
+    return s.shap.select(*FOLD, "gene", "importance", "signed")
 
 
 @query
 def linear_permutation_importance(spark, sf):
     s = the_study(spark, sf)
-    return attribution.linear_permutation(s.train_z, s.weights, s.moves).select(*FOLD, "gene", "importance", "signed")
+    return s.permutation.select(*FOLD, "gene", "importance", "signed")
 
 
 @query
@@ -284,7 +286,8 @@ def auc_ranking(spark, sf):
 
 @query
 def group_definitions(spark, sf):
-    return stability.group_definitions(study.pipelines(spark))
+    """Of the pipelines that the rankings have."""
+    return stability.group_definitions(study.pipelines(spark).join(the_study(spark, sf).rankings.select("pipeline").distinct(), "pipeline", "left_semi"))
 
 
 @query
@@ -534,9 +537,10 @@ def list_notes(spark, sf):
 
 @query
 def panel_constants(spark, sf):
-    """The composition panel."""
-    del sf
-    return spark.createDataFrame([(g, "core") for g in external.CORE_PANEL] + [(g, "wide") for g in external.WIDE_PANEL], "gene string, panel string")
+    """The composition panel, and how many usable probes of the annotation each of its genes has."""
+    panel = spark.createDataFrame([(g, "core") for g in external.CORE_PANEL] + [(g, "wide") for g in external.WIDE_PANEL], "gene string, panel string")
+    probes = cohort.usable_probes(tables.annotation(spark, sf)).groupBy("gene").agg(F.count(F.lit(1)).alias("n_probes"))
+    return F.broadcast(panel).join(probes, "gene", "left").na.fill(0, ["n_probes"])
 
 
 @query
@@ -549,10 +553,10 @@ def alternative_universe(spark, sf):
 
 @query
 def misordered_samples(spark, sf):
-    """Places where a matrix's columns and its metadata name different samples: even ids against all but those of a class."""
-    v = tables.samples(values(spark, sf))
-    place = lambda rows, name: rows.select(F.col("sample_id").alias(name), F.row_number().over(Window.orderBy("sample_id")).alias("pos"))
-    return place(v.where("sample_id < 40"), "column").join(place(v.where("sample_id < 40 and sample_id <> 7"), "sample"), "pos", "full_outer").where(~F.col("column").eqNullSafe(F.col("sample")))
+    """Places where a matrix's columns and its metadata, which lacks one sample, name different samples."""
+    v = tables.samples(values(spark, sf)).select("sample_id")
+    place = lambda rows, name: running(rows, [F.col("sample_id")], position="pos").withColumnRenamed("sample_id", name)
+    return place(v, "column").join(place(v.where("sample_id <> 7"), "sample"), "pos", "full_outer").where(~F.col("column").eqNullSafe(F.col("sample")))
 
 
 @query
@@ -694,15 +698,9 @@ def null_repeat_level(spark, sf):
 
 @query
 def compare_observed_null(spark, sf):
-    """Observed phi per repeat against the permutation null of the same dimension, group and k."""
-    keys = ["dimension", "group", "k"]
+    """Observed phi and Jaccard of the repeats against the permutation null of the same dimension, group and k."""
     observed = stability.repeat_level(stability.members(the_study(spark, sf).ttest_rankings, KS), study.pipelines(spark).where("pipeline = 'ttest|ttest'"), D)
-    null = _null(spark, sf).where("phi is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_null"), F.avg("phi").alias("null_mean"), F.median("phi").alias("null_median"), F.percentile("phi", F.lit(0.025)).alias("null_p2_5"), F.percentile("phi", F.lit(0.975)).alias("null_p97_5"), F.max("phi").alias("null_max"))
-    rows = observed.join(null, keys)
-    return rows.groupBy(*keys).agg(
-        F.avg("phi").alias("observed_mean"), F.max("n_null").alias("n_null"), F.max("null_mean").alias("null_mean"), F.max("null_median").alias("null_median"), F.max("null_p2_5").alias("null_p2_5"), F.max("null_p97_5").alias("null_p97_5"),
-        F.avg((F.col("phi") > F.col("null_p97_5")).cast("double")).alias("share_above"), (F.min("phi") > F.max("null_max")).alias("all_above"),
-    )
+    return stability.against_null(observed, _null(spark, sf))
 
 
 @query

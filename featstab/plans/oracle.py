@@ -249,7 +249,7 @@ for _t, _z in (("d", "d_z"), ("e", "e_z")):
 
 
 #: Decimals where six would split shares at the half.
-DIGITS = {"rank_features": 9}
+DIGITS = dict.fromkeys(("rank_features", "auc_ranking", "auc_effects", "gene_level_replication", "classification_metrics", "pooled_metrics_by_repeat", "fold_metric_summary", "document_cohort_metrics"), 9) | {"list_level_replication": 7}
 
 
 def assembled(select: str, doubles: str = "", digits: int = 6) -> str:
@@ -362,7 +362,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "linear_permutation_importance": ("SELECT * FROM perm", "importance signed"),
     "balanced_brier": ("SELECT * FROM brier", "loss"),
     "auc_ranking": ("SELECT * FROM train_auc", "auc"),
-    "group_definitions": ("SELECT * FROM groups", ""),
+    "group_definitions": ("SELECT * FROM groups WHERE pipeline IN (SELECT pipeline FROM rankings)", ""),
     "stats_variable_sizes": (set_stats("sets", 'k, "repeat", fold', "pipeline"), _STATS),
     "nogueira_kuncheva_jaccard": ('SELECT pipeline, k, "repeat", phi, kuncheva, jaccard FROM own_stats', "phi kuncheva jaccard"),
     "repeat_level_stability": ("SELECT * FROM level", _STATS),
@@ -417,12 +417,17 @@ QUERIES: dict[str, tuple[str, str]] = {
         (SELECT list, b, score, sum(CASE WHEN y = 1 THEN w ELSE 0 END)::DOUBLE AS p, sum(CASE WHEN y = 0 THEN w ELSE 0 END)::DOUBLE AS n FROM sig_e JOIN (SELECT sample_id, b, w FROM ext_weights) USING (sample_id) GROUP BY 1, 2, 3)) GROUP BY 1, 2) GROUP BY 1""", "signature_auc_lo signature_auc_hi"),
     "list_notes": ("""SELECT list, coalesce(n, 0) AS n_genes, CASE WHEN n >= 2 THEN n_up END AS n_up, CASE WHEN coalesce(n, 0) < 2 THEN 'too few genes for statistics of a list' END AS note FROM (SELECT unnest(['S_cons', 'S_top25', 'S_top50']) AS list)
         LEFT JOIN (SELECT list, count(*) AS n, count(*) FILTER (e_disc > 0) AS n_up FROM by_list GROUP BY 1) USING (list)""", ""),
-    "panel_constants": ("SELECT unnest(['ADIPOQ', 'PLIN1', 'FABP4']) AS gene, 'core' AS panel UNION ALL SELECT unnest(['LEP', 'LPL', 'CFD', 'ADH1B', 'CIDEC', 'PLIN4', 'CD36', 'GPD1']), 'wide'", ""),
+    "panel_constants": ("SELECT gene, panel, coalesce(n_probes, 0) AS n_probes FROM (SELECT unnest(['ADIPOQ', 'PLIN1', 'FABP4']) AS gene, 'core' AS panel UNION ALL SELECT unnest(['LEP', 'LPL', 'CFD', 'ADH1B', 'CIDEC', 'PLIN4', 'CD36', 'GPD1']), 'wide') LEFT JOIN (SELECT gene, count(*) AS n_probes FROM usable GROUP BY 1) USING (gene)", ""),
     "alternative_universe": (f"SELECT pipeline, k, scope, a.phi, b.phi AS phi_alt FROM ({_SCOPES(D + 6)}) a JOIN ({_SCOPES(D)}) b USING (pipeline, k, scope)", "phi phi_alt"),
-    "misordered_samples": ("SELECT pos, c AS \"column\", s AS sample FROM (SELECT sample_id AS c, row_number() OVER (ORDER BY sample_id) AS pos FROM samples WHERE sample_id < 40) FULL JOIN (SELECT sample_id AS s, row_number() OVER (ORDER BY sample_id) AS pos FROM samples WHERE sample_id < 40 AND sample_id <> 7) USING (pos) WHERE c IS DISTINCT FROM s", ""),
+    "misordered_samples": ("SELECT pos, c AS \"column\", s AS sample FROM (SELECT sample_id AS c, row_number() OVER (ORDER BY sample_id) AS pos FROM samples) FULL JOIN (SELECT sample_id AS s, row_number() OVER (ORDER BY sample_id) AS pos FROM samples WHERE sample_id <> 7) USING (pos) WHERE c IS DISTINCT FROM s", ""),
     "null_repeat_level": ("SELECT * FROM null_level", _STATS),
-    "compare_observed_null": ("""SELECT dimension, "group", k, avg(phi) AS observed_mean, max(n_null) AS n_null, max(null_mean) AS null_mean, max(null_median) AS null_median, max(null_p2_5) AS null_p2_5, max(null_p97_5) AS null_p97_5, avg(CASE WHEN phi > null_p97_5 THEN 1.0::DOUBLE ELSE 0 END) AS share_above, min(phi) > max(null_max) AS all_above
-        FROM tt_level JOIN (SELECT dimension, "group", k, count(*) AS n_null, avg(phi) AS null_mean, median(phi) AS null_median, quantile_cont(phi, 0.025) AS null_p2_5, quantile_cont(phi, 0.975) AS null_p97_5, max(phi) AS null_max FROM null_level WHERE phi IS NOT NULL GROUP BY ALL) USING (dimension, "group", k) GROUP BY ALL""", "observed_mean null_mean null_median null_p2_5 null_p97_5 share_above"),
+    "compare_observed_null": (f"""WITH both_sides AS (SELECT dimension, "group", k, statistic, v, true AS seen FROM (UNPIVOT (SELECT dimension, "group", k, phi, jaccard FROM tt_level) ON phi, jaccard INTO NAME statistic VALUE v)
+        UNION ALL SELECT dimension, "group", k, statistic, v, false FROM (UNPIVOT (SELECT dimension, "group", k, phi, jaccard FROM null_level) ON phi, jaccard INTO NAME statistic VALUE v)),
+        each AS (SELECT dimension, "group", k, statistic, {", ".join(f"{f}(v) FILTER ({'seen' if side == 'observed' else 'NOT seen'}) AS {side}_{label}" for side in ("observed", "null") for label, f in (("n", "count"), ("mean", "avg"), ("median", "median"), ("least", "min"), ("most", "max")))},
+            quantile_cont(v, 0.025) FILTER (NOT seen) AS null_p2_5, quantile_cont(v, 0.975) FILTER (NOT seen) AS null_p97_5 FROM both_sides GROUP BY ALL)
+        SELECT e.*, observed_mean - null_mean AS mean_difference, observed_median - null_median AS median_difference, share_above, observed_least > null_most AS all_above
+        FROM each e JOIN (SELECT dimension, "group", k, statistic, avg(CASE WHEN v > null_p97_5 THEN 1.0::DOUBLE ELSE 0 END) AS share_above FROM both_sides JOIN each USING (dimension, "group", k, statistic) WHERE seen GROUP BY ALL) USING (dimension, "group", k, statistic)
+        WHERE observed_n > 0 AND null_n > 0""", "observed_mean observed_median observed_least observed_most null_mean null_median null_least null_most null_p2_5 null_p97_5 mean_difference median_difference share_above"),
     "phi_by_k_pivot": ('SELECT "group", avg(phi) FILTER (k = 5) AS phi_k5, avg(phi) FILTER (k = 10) AS phi_k10, min(phi) FILTER (k = 10) AS low, max(phi) FILTER (k = 10) AS high FROM level WHERE dimension = \'resampling\' GROUP BY 1', "phi_k5 phi_k10 low high"),
     "top_genes_by_frequency": ("SELECT t.gene, position, " + ", ".join(f"count(*) FILTER (pipeline = '{p}') / {K * REPEATS}.0::DOUBLE AS {p.replace('|', '_')}" for p in ("mdiff|coef", "mdiff|shap", "mdiff|perm", "auc|coef", "ttest|ttest")) + " FROM gt5 t JOIN rankings r ON r.gene = t.gene AND r.rank <= 5 AND r.importance > 0 WHERE position <= 8 GROUP BY 1, 2", "mdiff_coef mdiff_shap mdiff_perm auc_coef ttest_ttest"),
     "performance_summary": (f"SELECT count(*) AS n_repeats, avg(roc_auc) AS roc_auc, avg(roc_auc_lo) AS roc_auc_lo, avg(roc_auc_hi) AS roc_auc_hi, avg(balanced_accuracy) AS balanced_accuracy, avg(balanced_accuracy_lo) AS balanced_accuracy_lo, avg(balanced_accuracy_hi) AS balanced_accuracy_hi FROM ({_metrics('pred', '\"repeat\"')}) JOIN (SELECT \"repeat\", {_INTERVAL(('roc_auc', 'balanced_accuracy'))} FROM boot GROUP BY 1) USING (\"repeat\")", "roc_auc roc_auc_lo roc_auc_hi balanced_accuracy balanced_accuracy_lo balanced_accuracy_hi"),

@@ -1,8 +1,9 @@
 """Configured runs: every model on every fold, resumable, with tables, analysis and a manifest.
 
 A run lives in a folder that driver and executors share. Fits are stored under the identity of all that decides them (data, folds,
-preprocessing, model, permutations), so a folder never gives back fits of other settings, and are written wave by wave, so a run that is
-stopped goes on with the folds that are missing.
+preprocessing, model, permutations), so a folder never gives back fits of other settings. Configurations, repeats and folds are key
+columns of one plan; fits are written wave by wave, so a run that is stopped goes on with those that are missing, and one of more repeats
+or replicates adds to them.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from . import provenance
 from .provenance import Folder, History
 
 REQUIRED = ("name", "seed", "cv", "preprocessing", "top_k", "store_top", "n_perm", "bootstrap", "configs")
-#: Folds of a wave, unless the configuration says otherwise.
-WAVE = 64
+#: Fits of a wave, unless the configuration says otherwise.
+WAVE = 512
 FOLD = ("repeat", "fold")
 
 
@@ -79,26 +80,30 @@ class Clock:
         self.last = now
 
 
-def fitted(packed: DataFrame, config: dict, deciding: dict, folder: Folder) -> DataFrame:
-    """Fits of all configurations on all folds: those that the folder has, and the missing ones, which are run and stored wave by wave."""
+def fitted(packed: DataFrame, config: dict, deciding: dict, folder: Folder) -> tuple[DataFrame, list[str]]:
+    """Fits of all configurations on all folds, and the identities under which the folder has them.
+
+    Configuration, repeat (or replicate) and fold are key columns: what is wanted but not stored is one anti-join, and a job runs as many
+    of these fits as a wave holds, whatever their configuration; each wave is stored before the next begins."""
     spark = packed.sparkSession
-    wanted = packed.select(*FOLD).distinct().orderBy(*FOLD).collect()  # a row per fold
-    out = None
-    for c in config["configs"]:
-        key = provenance.identity({**deciding, "config": {k: v for k, v in c.items() if k != "role"}})
-        place = f"{folder.uri}/fits/{key}"
-        done = set()
-        if folder.has(f"fits/{key}"):
-            done = {(r["repeat"], r["fold"]) for r in spark.read.schema(models.SCHEMA).parquet(place).select(*FOLD).distinct().collect()}
-        missing = [(r["repeat"], r["fold"]) for r in wanted if (r["repeat"], r["fold"]) not in done]
-        wave = int(config.get("wave", WAVE))
-        for i in range(0, len(missing), wave):
-            folds = spark.createDataFrame(missing[i : i + wave], "repeat int, fold int")
-            own = packed.join(F.broadcast(folds), list(FOLD), "left_semi")  # WAVE rows
-            models.fit_folds(own, [c], config["n_perm"], config["seed"]).write.mode("append").parquet(place)
-        part = spark.read.schema(models.SCHEMA).parquet(place)
-        out = part if out is None else out.unionByName(part)
-    return out
+    keys = {c["id"]: provenance.identity({**deciding, "config": {k: v for k, v in c.items() if k != "role"}}) for c in config["configs"]}
+    names = spark.createDataFrame(list(keys.items()), "config string, identity string")
+    wanted = packed.select(*FOLD).distinct().select(*FOLD, F.explode(F.array(*map(F.lit, keys))).alias("config")).join(F.broadcast(names), "config")
+    if folder.has("fits"):
+        wanted = wanted.join(stored_fits(spark, folder, list(keys.values())).select("identity", *FOLD).distinct(), ["identity", *FOLD], "left_anti")
+    missing = [tuple(r) for r in wanted.select("config", *FOLD, "identity").orderBy(*FOLD, "config").collect()]  # a row a fit
+    wave = int(config.get("wave", WAVE))
+    for i in range(0, len(missing), wave):
+        now = spark.createDataFrame(missing[i : i + wave], "config string, repeat int, fold int, identity string")
+        found = models.fit_folds(packed.join(F.broadcast(now.drop("identity")), list(FOLD)), config["configs"], config["n_perm"], config["seed"])  # a wave's rows
+        found.join(F.broadcast(names), "config").write.mode("append").partitionBy("identity").parquet(f"{folder.uri}/fits")
+    return stored_fits(spark, folder, list(keys.values())), list(keys.values())
+
+
+def stored_fits(spark: SparkSession, folder: Folder, keys: list[str] | None = None) -> DataFrame:
+    """Fits of these identities, else of those that the folder's manifest names: a folder may hold fits of other settings too."""
+    own = folder.get_json("manifest.json")["fits"] if keys is None else keys
+    return spark.read.schema(f"{models.SCHEMA}, identity string").parquet(f"{folder.uri}/fits").where(F.col("identity").isin(own))
 
 
 def run_matrix(values: DataFrame, config: dict, folder: str | Path | Folder, tree: str | Path = ".") -> Folder:
@@ -109,21 +114,23 @@ def run_matrix(values: DataFrame, config: dict, folder: str | Path | Folder, tre
     config, folder, spark, clock = checked(config), Folder.of(folder), values.sparkSession, Clock()
     if exclude := config.get("exclude_genes"):
         values = cohort.without_genes(values, exclude)
-    if config["labels"] == "permuted":
-        values = values.drop("y").join(splits.permuted_labels(tables.samples(values), config["seed"], config.get("replicate", 0)), "sample_id")
     n_splits, labels = config["cv"]["n_splits"], kept(tables.samples(values))
     if bad := splits.too_small_classes(labels, n_splits).collect():
         raise ValueError(f"classes are too small: {bad}")
     data = identity_of(values)
-    folds = kept(splits.stratified_folds(labels, n_splits, config["cv"]["n_repeats"], config["seed"]))
+    if config["labels"] == "permuted":
+        folds = kept(splits.null_folds(labels, n_splits, config["cv"]["n_repeats"], config["seed"]))
+    else:
+        folds = kept(splits.stratified_folds(labels, n_splits, config["cv"]["n_repeats"], config["seed"]))
     how = config["preprocessing"]
     floors = kept(preprocess.fold_floors(values, folds, n_splits, how.get("min_detect_frac_of_minority", 0.5)))
     probes = kept(preprocess.fold_probes(values, folds, floors, n_splits))
     state = kept(preprocess.scaling(preprocess.collapsed(preprocess.detected(probes, floors), how.get("collapse_rule", "mean"))))
     clock.lap("preprocess")
-    deciding = {k: config.get(k) for k in ("seed", "cv", "preprocessing", "labels", "replicate", "exclude_genes", "n_perm")} | {"data": data}
-    z, test = preprocess.applied(splits.training(values, folds, n_splits), state), preprocess.applied(splits.testing(values, folds), state)
-    fits = fitted(kept(models.packed(z, test)), config, deciding, folder)
+    deciding = {k: config.get(k) for k in ("seed", "preprocessing", "labels", "exclude_genes", "n_perm")} | {"data": data, "n_splits": n_splits}
+    own_y = folds.select("repeat", "sample_id", "y")  # a null has labels of its own in every replicate
+    z, test = (preprocess.applied(rows, state).drop("y").join(own_y, ["repeat", "sample_id"]) for rows in (splits.training(values, folds, n_splits), splits.testing(values, folds)))
+    fits, keys = fitted(kept(models.packed(z, test)), config, deciding, folder)
     clock.lap("fit")
     shown = models.attributions(fits).withColumn("importance", F.round("importance", 9)).unionByName(attribution.ttest(state).withColumn("config", F.lit("ttest")).withColumn("explainer", F.lit("ttest")))
     ranked = attribution.ranked(shown.withColumn("pipeline", F.concat_ws("|", "config", "explainer")), ("pipeline", *FOLD))
@@ -144,7 +151,7 @@ def run_matrix(values: DataFrame, config: dict, folder: str | Path | Folder, tre
     analyse(spark, folder, config, n_genes)
     clock.lap("analysis")
     classes = {str(r["y"]): r["count"] for r in labels.groupBy("y").count().collect()}
-    described(folder, config, tree, clock, data=data, n_genes=n_genes, n_probes=values.select("probe_id").distinct().count(), samples=classes, n_folds=n_splits * config["cv"]["n_repeats"], models={c["id"]: models.resolved(c["model"], **c.get("parameters", {})) for c in config["configs"]})
+    described(folder, config, tree, clock, data=data, fits=keys, n_genes=n_genes, n_probes=values.select("probe_id").distinct().count(), samples=classes, n_folds=n_splits * config["cv"]["n_repeats"], models={c["id"]: models.resolved(c["model"], **c.get("parameters", {})) for c in config["configs"]})
     return folder
 
 
@@ -205,32 +212,22 @@ def run_experiment(values: DataFrame, config: dict, model: str, explainer: str,
 
 
 def fits_genes(spark: SparkSession, folder: Folder) -> int:
-    """Genes that any fold's fits have."""
-    return spark.read.schema(models.SCHEMA).option("recursiveFileLookup", "true").parquet(f"{folder.uri}/fits").where("kind = 'attribution'").select("gene").distinct().count()
-
-
-def run_null(values: DataFrame, config: dict, folder: str | Path | Folder, replicates: int = 30, tree: str | Path = ".") -> list[Folder]:
-    """Runs on permuted labels, one repeat each; replicates with a manifest of the same settings are not run again."""
-    out = []
-    for b in range(replicates):
-        own = checked(config | {"labels": "permuted", "replicate": b, "seed": config["seed"] + 100_000 * (1 + b), "cv": config["cv"] | {"n_repeats": 1}})
-        out.append(Folder.of(folder) / f"rep_{b:03d}")
-        if not out[-1].has("manifest.json") or out[-1].get_json("manifest.json")["config_id"] != provenance.identity(own):
-            run_matrix(values, own, out[-1], tree)
-    return out
-
-
-def compare_with_null(spark: SparkSession, observed: str | Path | Folder, null: list[Folder]) -> DataFrame:
-    """dimension, group, k: observed phi over repeats, the null's mean, median, interval and maximum, the share of repeats above it."""
-    keys = ["dimension", "group", "k"]
-    rows = None
-    for b, place in enumerate(null):
-        part = place.read(spark, "analysis/repeat_level_stability").withColumn("repeat", F.lit(b))
-        rows = part if rows is None else rows.unionByName(part)
-    spread = rows.where("phi is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_null"), F.avg("phi").alias("null_mean"), F.median("phi").alias("null_median"), F.percentile("phi", F.lit(0.025)).alias("null_p2_5"), F.percentile("phi", F.lit(0.975)).alias("null_p97_5"), F.max("phi").alias("null_max"))
-    level = Folder.of(observed).read(spark, "analysis/repeat_level_stability").join(spread, keys)
-    shown = [F.max(c).alias(c) for c in ("n_null", "null_mean", "null_median", "null_p2_5", "null_p97_5", "null_max")]
-    return level.groupBy(*keys).agg(F.avg("phi").alias("observed_mean"), *shown, F.avg((F.col("phi") > F.col("null_p97_5")).cast("double")).alias("share_above"), (F.min("phi") > F.max("null_max")).alias("all_above"))
+    """Genes that any fold of the run's own fits has."""
+    return stored_fits(spark, folder).where("kind = 'attribution'").select("gene").distinct().count()
+
+
+def run_null(values: DataFrame, config: dict, folder: str | Path | Folder, replicates: int = 30, tree: str | Path = ".") -> Folder:
+    """One run over permuted labels: each replicate, with labels and folds of its own, stands under ``repeat``.
+
+    Replicates are repeats of run_matrix(): one plan prepares them all, and fits that are stored, of a run that was stopped or of one of
+    fewer replicates, are not run again."""
+    return run_matrix(values, config | {"labels": "permuted", "cv": config["cv"] | {"n_repeats": replicates}}, folder, tree)
+
+
+def compare_with_null(spark: SparkSession, observed: str | Path | Folder, null: str | Path | Folder) -> DataFrame:
+    """stability.against_null() of a run's repeats and a null's replicates, for every statistic of repeat_level_stability."""
+    level = [Folder.of(x).read(spark, "analysis/repeat_level_stability") for x in (observed, null)]
+    return stability.against_null(*level, ("phi", "jaccard", "kuncheva"))
 
 
 class UniverseError(ValueError):
@@ -240,8 +237,10 @@ class UniverseError(ValueError):
 def rank_agreement(rows: DataFrame, reference: str, k: int) -> DataFrame:
     """setting, repeat, fold, rho, jaccard, n_genes of (setting, repeat, fold, gene, importance) against the reference setting.
 
-    Every setting must rank the reference's genes in every fold: a missing or surplus gene is a UniverseError."""
+    Every setting must rank the reference's genes in every fold, each once: a missing, surplus or repeated gene is a UniverseError."""
     rows = kept(rows.select("setting", *FOLD, "gene", F.round("importance", 9).alias("importance")))
+    if twice := rows.groupBy("setting", *FOLD, "gene").count().where("count > 1").limit(1).collect():
+        raise UniverseError(f"a gene is ranked twice by one setting, e.g. {twice[0].asDict()}")
     ref = rows.where(F.col("setting") == reference).select(*FOLD, "gene", F.col("importance").alias("reference"))
     settings = rows.select("setting").distinct()
     both = ref.join(settings).join(rows, ["setting", *FOLD, "gene"], "full_outer")  # a few settings
@@ -267,8 +266,7 @@ def run_regularisation(values: DataFrame, config: dict, grid: list[float], refer
     setting = F.split("pipeline", r"\|")[0].alias("setting")
     by_c = folder.write("stability_by_C", whole.read(spark, "analysis/pooled_resampling").where("pipeline <> 'ttest|ttest'").select(setting, "*"))
     pooled = folder.write("pooled_metrics_by_C", whole.read(spark, "pooled_metrics").withColumnRenamed("config", "setting"))
-    every = spark.read.schema(models.SCHEMA).option("recursiveFileLookup", "true").parquet(f"{whole.uri}/fits").where(F.col("config").isin([name(c) for c in grid]))
-    folder.write("rank_agreement", rank_agreement(models.attributions(every).withColumnRenamed("config", "setting"), name(reference), k))
+    folder.write("rank_agreement", rank_agreement(models.attributions(stored_fits(spark, whole)).withColumnRenamed("config", "setting"), name(reference), k))
     auc = pooled.groupBy("setting").agg(F.min("roc_auc").alias("auc"))
     verdict = folder.write("verdict", stability.verdict(by_c.where(F.col("k") == k).select("setting", "phi").join(auc, "setting"), F.col("setting") == name(reference), auc_floor))
     described(folder, checked(own), tree, Clock(), grid=grid, reference=reference, k=k)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kept import kept
-from ..operators import attribution, preprocess, replication, splits
+from ..operators import attribution, membership, preprocess, replication, splits
 from ..sources import tables
 
 #: Folds, repeats, permutations of a gene, bootstrap draws of metrics and of the second cohort's units, replicates of the null.
@@ -68,20 +68,38 @@ class Study:
     def test_z(self) -> DataFrame:
         return preprocess.applied(splits.testing(self.values, self.folds), self.state)
 
+    @property
+    def moves(self) -> DataFrame:
+        return splits.permutations(splits.training(self.labels.select("sample_id"), self.folds, N_SPLITS), N_PERM, SEED)
+
     @cached_property
+    def at_once(self) -> DataFrame:
+        """repeat, fold, gene, auc, shap, shap_signed, raw of every training set, from packed columns; from rows where samples are too many."""
+        n = self.folds.groupBy("repeat").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)), F.count(F.lit(1))).first()
+        if membership.what(*n, N_SPLITS, N_PERM) <= membership.MOST_BYTES:
+            return kept(membership.fold_attributions(self.values, self.folds, self.state, self.moves))
+        z, w = self.train_z, self.weights
+        shap = attribution.linear_shap(z, w).select(*FOLD, "gene", F.col("importance").alias("shap"), F.col("signed").alias("shap_signed"))
+        raw = attribution.linear_permutation(z, w, self.moves).select(*FOLD, "gene", F.col("signed").alias("raw"))
+        return kept(attribution.class_auc(z).join(shap, [*FOLD, "gene"]).join(raw, [*FOLD, "gene"]))
+
+    @property
     def train_auc(self) -> DataFrame:
-        return kept(attribution.class_auc(self.train_z))
+        return self.at_once.where("auc is not null").select(*FOLD, "gene", "auc")
 
     @property
-    def moves(self) -> DataFrame:
-        return splits.permutations(self.train.select("repeat", "fold", "sample_id"), N_PERM, SEED)
+    def shap(self) -> DataFrame:
+        return attribution.shown(self.at_once, F.col("shap"), F.col("shap_signed"))
+
+    @property
+    def permutation(self) -> DataFrame:
+        return attribution.permutation_importance(self.at_once)
 
     @cached_property
     def rankings(self) -> DataFrame:
         """repeat, fold, pipeline, model, explainer, gene, importance, signed, rank of all closed-form pipelines."""
-        z, w = self.train_z, self.weights
         parts = {
-            "mdiff|coef": attribution.coefficients(w), "mdiff|shap": attribution.linear_shap(z, w), "mdiff|perm": attribution.linear_permutation(z, w, self.moves),
+            "mdiff|coef": attribution.coefficients(self.weights), "mdiff|shap": self.shap, "mdiff|perm": self.permutation,
             "auc|coef": attribution.auc_importance(self.train_auc), "ttest|ttest": attribution.ttest(self.state),
         }
         out = None

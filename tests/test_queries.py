@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB."""
+"""Every query with SQL against DuckDB, digit by digit, at the scale factor of the correctness check."""
 
 import os
 
@@ -8,6 +8,11 @@ import pytest
 from featstab.plans import catalogue, oracle
 
 
+@pytest.fixture(scope="module")
+def sf():
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def con(sf):
     with duckdb.connect() as con:
@@ -18,7 +23,7 @@ def con(sf):
 
 def shown(value):
     if isinstance(value, float):
-        return "null" if value != value else f"{round(value, 5) + 0.0:.5f}"
+        return "null" if value != value else f"{value + 0.0:.9f}"  # both sides are rounded, so nothing is rounded here
     return "null" if value is None else str(value)
 
 

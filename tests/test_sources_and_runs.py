@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from featstab.functions import kept as kept_module
-from featstab.operators import cohort
+from featstab.operators import cohort, models
 from featstab.plans import external, provenance, runs
 from featstab.plans.provenance import Folder, History
 from featstab.sources import files, geo, tables
@@ -274,9 +274,11 @@ def test_null_regularisation_comparison_and_experiment(spark, sf, tmp_path):
     small = CONFIG | {"configs": CONFIG["configs"][:1], "n_perm": 1}
     observed = runs.run_matrix(values, small, tmp_path / "observed")
     null = runs.run_null(values, small, tmp_path / "null", 2)
-    assert not null[0].has("pooled_metrics") and null[0].has("rankings")
+    assert not null.has("pooled_metrics") and null.has("rankings")
     rows = runs.compare_with_null(spark, observed, null).collect()
-    assert rows and all(r.n_null == 2 for r in rows if r.dimension == "resampling")
+    assert rows and all(r.null_n == 2 for r in rows if r.dimension == "resampling") and {r.statistic for r in rows} >= {"phi", "jaccard"}
+    for r in rows:
+        assert r.observed_least <= r.observed_median <= r.observed_most and r.mean_difference == pytest.approx(r.observed_mean - r.null_mean) and 0 <= r.share_above <= 1
     verdict = runs.run_regularisation(values, small, [0.1, 1.0], 1.0, 0.5, tmp_path / "grid", 5).collect()
     assert {r.setting for r in verdict} == {"C=0.1", "C=1"} and len({r.verdict for r in verdict}) == 1
     agree = Folder.of(tmp_path / "grid").read(spark, "rank_agreement").collect()
@@ -286,6 +288,11 @@ def test_null_regularisation_comparison_and_experiment(spark, sf, tmp_path):
     lost = spark.createDataFrame([(s, 0, 0, g, 1.0) for s, g in (("a", "G1"), ("a", "G2"), ("b", "G1"))], "setting string, repeat int, fold int, gene string, importance double")
     with pytest.raises(runs.UniverseError):
         runs.rank_agreement(lost, "a", 1)
+    with pytest.raises(runs.UniverseError, match="twice"):
+        runs.rank_agreement(lost.union(lost.where("setting = 'a'")), "a", 1)
+    again = runs.run_regularisation(values, small | {"seed": 77}, [0.1, 1.0], 1.0, 0.5, tmp_path / "grid", 5)  # other settings in the same folder
+    agree = Folder.of(tmp_path / "grid").read(spark, "rank_agreement").collect()
+    assert again.count() == 2 and len(agree) == 6 and all(r.n_genes == 24 for r in agree)
     same = runs.compare_runs(spark, observed, observed, 5).first()
     assert same.mean_abs_phi_change == 0 and same.top_jaccard == 1 and same.spearman_frequency == pytest.approx(1) and same.auc_a == same.auc_b
     single = runs.run_experiment(values, small, "logreg", "coef", tmp_path / "experiment")
@@ -294,6 +301,35 @@ def test_null_regularisation_comparison_and_experiment(spark, sf, tmp_path):
     assert {r.scope for r in stability} == {"all_runs", "repeat_0"} and all(r.phi_alt == r.phi for r in stability)  # all genes are eligible
 
 
+def test_null_goes_on_where_it_stopped(spark, sf, tmp_path, monkeypatch):
+    values, whole, asked = tables.cohort(spark, sf), models.fit_folds, []
+    small = CONFIG | {"configs": CONFIG["configs"][:1], "n_perm": 0, "wave": 4}
+
+    def counting(rows, *how):
+        asked.append(sorted({tuple(r) for r in rows.select("config", "repeat", "fold").distinct().collect()}))
+        if len(asked) == 3:
+            raise RuntimeError("stopped")
+        return whole(rows, *how)
+
+    monkeypatch.setattr(models, "fit_folds", counting)
+    with pytest.raises(RuntimeError, match="stopped"):
+        runs.run_null(values, small, tmp_path / "null", 4)
+    first = [k for wave in asked[:2] for k in wave]
+    asked.clear()
+    asked.extend([[]] * 3)
+    null = runs.run_null(values, small, tmp_path / "null", 4)
+    rest = [k for wave in asked[3:] for k in wave]
+    n_splits = CONFIG["cv"]["n_splits"]
+    assert len(first) == 8 and len(rest) == 4 * n_splits - 8 and not set(first) & set(rest)
+    before = sorted(map(tuple, null.read(spark, "rankings").where("repeat < 4").select("pipeline", "repeat", "fold", "gene", "rank").collect()))
+    del asked[3:]
+    more = runs.run_null(values, small, tmp_path / "null", 5)  # a replicate more runs its own fits alone
+    assert {k[1] for wave in asked[3:] for k in wave} == {4}
+    assert sorted(map(tuple, more.read(spark, "rankings").where("repeat < 4").select("pipeline", "repeat", "fold", "gene", "rank").collect())) == before
+    fresh = runs.run_null(values, small | {"wave": 1000}, tmp_path / "fresh", 4)
+    assert sorted(map(tuple, fresh.read(spark, "rankings").select("pipeline", "repeat", "fold", "gene", "rank").collect())) == before
+
+
 def test_shared_steps_follow_the_files(spark, tmp_path):
     calls = []
 
