@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prefix import running
+
 
 def frequencies(rankings: DataFrame, k: int) -> DataFrame:
     """pipeline, gene, freq: the share of all folds in which a pipeline's top-k holds the gene."""
@@ -30,8 +32,8 @@ def gene_table(rankings: DataFrame, pipelines: DataFrame, k: int) -> DataFrame:
     ranks = top.groupBy("gene").agg(F.median(rank).alias("median_rank"), F.min(rank).alias("best_rank"), F.avg(rank).alias("mean_rank"), F.avg(signs).alias("frac_signed_positive"))
     rows = counts.join(F.broadcast(n)).join(ranks, "gene", "left")  # n: one row
     rows = rows.withColumn("mean_selection_frequency", F.col("_total") / F.col("_p")).withColumn("consensus", F.col("n_pipelines_ge50") >= F.ceil(F.col("_p") / 2))
-    order = Window.orderBy(F.round("mean_selection_frequency", 9).desc(), F.round("mean_rank", 9).asc_nulls_last(), "gene")
-    return rows.withColumn("position", F.row_number().over(order)).drop("_total", "_p")
+    order = [F.round("mean_selection_frequency", 9).desc(), F.round("mean_rank", 9).asc_nulls_last(), F.col("gene")]
+    return running(rows.drop("_total", "_p"), order)
 
 
 def frozen_lists(rankings: DataFrame, pipelines: DataFrame, small: int = 25, large: int = 50) -> DataFrame:

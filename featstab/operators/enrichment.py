@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefix import running
+
 
 def benjamini_hochberg(rows: DataFrame, p: str = "p_value", name: str = "adj_p") -> DataFrame:
-    """Adds the adjusted p-value: the running minimum of p n / i from the largest p down, at most 1."""
-    i, n = F.row_number().over(Window.orderBy(p, "term")), F.count(F.lit(1)).over(Window.partitionBy())
-    rows = rows.withColumn("_q", F.col(p) * n / i).withColumn("_i", i)
-    return rows.withColumn(name, F.least(F.lit(1.0), F.min("_q").over(Window.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)))).drop("_q", "_i")
+    """Adds the adjusted p-value: the running minimum of p n / i from the largest p down, at most 1.
+
+    Places and minima are made partition by partition (functions.prefix), so there may be any number of terms."""
+    placed = running(rows, [F.col(p), F.col("term")], position="_i")
+    n = placed.agg(F.max("_i")).first()[0]
+    least = running(placed.withColumn("_q", F.col(p) * F.lit(n) / F.col("_i")), [F.desc("_i")], position=None, _least=("min", "_q"))
+    return least.withColumn(name, F.least(F.lit(1.0), F.col("_least"))).drop("_q", "_i", "_least")
 
 
 def _log_choose(table: Column, n: Column, k: Column) -> Column:

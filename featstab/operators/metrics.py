@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import resampled
+from ..functions.prefix import running
 from ..functions.resampled import multiplicities, nullable
 
 
@@ -17,21 +18,30 @@ def _curve(rows: DataFrame, by: Sequence[str], score: Column, positive: Column,
     return rows.groupBy(*by, score.alias("s")).agg(F.sum(F.when(positive, weight).otherwise(0)).cast("double").alias("p"), F.sum(F.when(positive, 0).otherwise(weight)).cast("double").alias("n"))
 
 
-def roc_auc(rows: DataFrame, by: Sequence[str], name: str = "roc_auc", weight: Column | None = None) -> DataFrame:
-    """Weighted probability that a positive outranks a negative, ties half; null without both classes."""
+def roc_auc(rows: DataFrame, by: Sequence[str], name: str = "roc_auc", weight: Column | None = None, spread: bool = False) -> DataFrame:
+    """Weighted probability that a positive outranks a negative, ties half; null without both classes.
+
+    A group's distinct scores are summed up in one task, or with ``spread``, for groups of any size, over all tasks (functions.prefix)."""
     curve = _curve(rows, by, F.col("score"), F.col("y") == 1, F.lit(1) if weight is None else weight)
-    below = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    curve = curve.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0.0)))
+    if spread:
+        curve = running(curve, [F.col("s")], tuple(by), None, through=("sum", "n")).withColumn("below", F.col("through") - F.col("n"))
+    else:
+        below = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+        curve = curve.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0.0)))
     sums = curve.groupBy(*by).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("_concordant"), F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     return sums.select(*by, F.when((F.col("all_p") > 0) & (F.col("all_n") > 0), F.col("_concordant") / (F.col("all_p") * F.col("all_n"))).alias(name))
 
 
-def average_precision(rows: DataFrame, by: Sequence[str], name: str, positive: int = 1, weight: Column | None = None) -> DataFrame:
-    """Sum over falling distinct scores of recall gained times precision. For class 0 the score is 1 - score."""
+def average_precision(rows: DataFrame, by: Sequence[str], name: str, positive: int = 1, weight: Column | None = None, spread: bool = False) -> DataFrame:
+    """Sum over falling distinct scores of recall gained times precision. For class 0 the score is 1 - score. ``spread`` as for roc_auc()."""
     score = F.col("score") if positive == 1 else 1 - F.col("score")
     curve = _curve(rows, by, score, F.col("y") == positive, F.lit(1) if weight is None else weight)
-    down = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = curve.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down)).withColumn("all_p", F.sum("p").over(Window.partitionBy(*by)))
+    if spread:
+        every = curve.groupBy(*by).agg(F.sum("p").alias("all_p"))  # a row a group
+        curve = running(curve, [F.desc("s")], tuple(by), None, tp=("sum", "p"), fp=("sum", "n")).join(every, list(by))
+    else:
+        down = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+        curve = curve.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down)).withColumn("all_p", F.sum("p").over(Window.partitionBy(*by)))
     all_ = F.col("tp") + F.col("fp")
     gained = F.when((F.col("all_p") > 0) & (all_ > 0), F.col("p") / F.when(F.col("all_p") > 0, F.col("all_p")) * F.col("tp") / F.when(all_ > 0, all_))
     return curve.groupBy(*by).agg(F.sum(gained).alias(name))
@@ -48,14 +58,14 @@ def _share(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / F.when(b > 0, b))
 
 
-def classification(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """All metrics of (y, score, pred) per group; undefined ones are null, F1 is 0 where nothing is right."""
+def classification(rows: DataFrame, by: Sequence[str], spread: bool = False) -> DataFrame:
+    """All metrics of (y, score, pred) per group; undefined ones are null, F1 is 0 where nothing is right. ``spread``: groups may have any size."""
     c = confusion(rows, by)
     tn, fp, fn, tp = (F.col(x).cast("double") for x in ("tn", "fp", "fn", "tp"))
     sens, spec = _share(tp, tp + fn), _share(tn, tn + fp)
     f1 = lambda t, a, b: F.coalesce(_share(2 * t, 2 * t + a + b), F.lit(0.0))
     c = c.select(*by, "tn", "fp", "fn", "tp", sens.alias("sensitivity"), spec.alias("specificity"), ((sens + spec) / 2).alias("balanced_accuracy"), f1(tp, fp, fn).alias("f1_cancer"), f1(tn, fn, fp).alias("f1_normal"))
-    for part in (roc_auc(rows, by), average_precision(rows, by, "ap_cancer"), average_precision(rows, by, "ap_normal", 0)):
+    for part in (roc_auc(rows, by, spread=spread), average_precision(rows, by, "ap_cancer", spread=spread), average_precision(rows, by, "ap_normal", 0, spread=spread)):
         c = c.join(part, list(by))
     return c
 

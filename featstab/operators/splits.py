@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefix import running
 from ..functions.scalars import keyed, keyed_int
 
 
@@ -39,8 +40,9 @@ def overlap(folds: DataFrame, n_splits: int) -> DataFrame:
 
 def permuted_labels(labels: DataFrame, seed: int, replicate: int) -> DataFrame:
     """Labels dealt anew: the label of rank n in one keyed order goes to the sample of rank n by id."""
-    by_id = labels.select("sample_id", F.row_number().over(Window.orderBy("sample_id")).alias("n"))
-    dealt = labels.select("y", F.row_number().over(Window.orderBy(keyed(seed, 777, replicate, F.col("sample_id")), "sample_id")).alias("n"))
+    by_id = running(labels.select("sample_id"), [F.col("sample_id")], position="n")
+    drawn = labels.select("y", "sample_id", keyed(seed, 777, replicate, F.col("sample_id")).alias("_key"))
+    dealt = running(drawn, [F.col("_key"), F.col("sample_id")], position="n").select("y", "n")
     return by_id.join(dealt, "n").select("sample_id", "y")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kept import kept, shared
@@ -721,7 +721,7 @@ def document_cohort_metrics(spark, sf):
     words = F.filter(F.split("text", "\\s+"), lambda w: w != "")
     rows = tables.load(spark, sf, "documents").join(tables.load(spark, sf, "labels"), "doc_id").where(F.size(words) > 0)
     score = F.round(F.size(F.array_distinct(words)) / F.size(words), 6)
-    return metrics.classification(rows.select(F.col("doc_id").alias("sample_id"), F.col("quality").alias("y"), score.alias("score"), (score > 0.4).cast("int").alias("pred"), F.lit("documents").alias("cohort")), ["cohort"])
+    return metrics.classification(rows.select(F.col("doc_id").alias("sample_id"), F.col("quality").alias("y"), score.alias("score"), (score > 0.4).cast("int").alias("pred"), F.lit("documents").alias("cohort")), ["cohort"], spread=True)
 
 
 CONFIGS = [

@@ -41,3 +41,9 @@ def test_query_equals_sql(spark, sf, con, name):
 def test_every_query_but_the_model_fits_has_sql():
     only = {"model_cv_metrics", "model_rankings", "tree_support", "model_stability", "c_grid_rank_agreement", "c_grid_top_overlap", "frozen_lr_transfer", "regime_diagnostics"}
     assert set(catalogue.QUERIES) - set(oracle.QUERIES) == only and set(oracle.QUERIES) <= set(catalogue.QUERIES)
+
+
+@pytest.mark.parametrize("name", ["benjamini_hochberg", "permuted_labels", "document_cohort_metrics", "gene_table_k5", "misordered_samples"])
+def test_global_orders_have_no_task_of_their_own(spark, name):
+    got = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert got.count() and "SinglePartition" not in got._jdf.queryExecution().toString()
