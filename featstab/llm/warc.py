@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, table
+from featstab.functions.prefix import running
+
+from .common import forget, keep, shared_dir, small_batches, table
 from .files import of
 
 
@@ -29,7 +31,7 @@ from .files import of
 class Layout:
     """``roll`` compressed bytes after which a file ends, ``shard`` payload bytes of a shard (about), fewer where there would be less than
     ``shards`` of them, but not under ``small``; ``least`` payload bytes from which equal payloads are stored once; ``date`` of the
-    records; ``sample`` pages from which bounds are taken."""
+    records."""
 
     roll: int = 64 << 20
     shard: int = 256 << 20
@@ -38,36 +40,52 @@ class Layout:
     least: int = 0
     level: int = 6
     date: str = "1970-01-01T00:00:00Z"
-    sample: int = 10_000
 
 
 def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def _between(bounds: list[tuple[int, str]], x: Column) -> Column:
-    """How many bounds (page id, digest) are at most x, over two levels; null ids are the least."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    many = lambda array: F.size(F.filter(array, lambda b: b <= x))
-    pairs = lambda values: F.array(*(F.struct(F.lit(i).cast("long").alias("page_id"), F.lit(d).alias("digest")) for i, d in values))
-    part = many(pairs(p[0] for p in parts))
-    return F.when(part == 0, 0).otherwise((part - 1) * step + many(F.get(F.array(*(pairs(p) for p in parts)), part - 1)))
+#: Up to so many bounds stand in the plan; more are a table, which is broadcast if it has no more than MOST rows.
+LITERAL, MOST = 1024, 1 << 20
+
+
+def _at_most(bounds: Column, x: Column) -> Column:
+    """How many of an array of bounds are at most x."""
+    return F.size(F.filter(bounds, lambda b: b <= x))
+
 
+def _literal(bounds: list[tuple[int | None, str]]) -> Column:
+    return F.array(*(F.struct(F.lit(i).cast("long").alias("page_id"), F.lit(d).alias("digest")) for i, d in bounds))
 
-def shard_of(ids: DataFrame, n: int, layout: Layout) -> tuple[Column, int]:
-    """The shard of (page_id, digest), and the number of shards: ranges of equal numbers of pages, from a hashed sample.
 
-    The sample's bound holds whatever the ids are: it is by id and digest, each pair once."""
-    if n < 2:
-        return F.lit(0), 1
-    wide, total = 1 << 40, ids.count()
-    share, mark = int(wide * min(1.0, layout.sample / max(1, total))), F.pmod(F.xxhash64("page_id", "digest"), F.lit(wide))
-    found = sorted((r["page_id"], r["digest"]) for r in ids.where(F.col("page_id").isNotNull() & (mark < share)).select("page_id", "digest").distinct().collect())
-    bounds = sorted({found[len(found) * k // n] for k in range(1, n)} if found else ())
-    return _between(bounds, F.struct(F.col("page_id").alias("page_id"), F.col("digest").alias("digest"))), len(bounds) + 1
+def bounds_of(ids: DataFrame, size: int) -> list[tuple[int | None, str]]:
+    """The first (page id, digest) of every shard but the first: shards of about ``size`` payload bytes along the order of the pairs.
+
+    Running sums of bytes decide, so shards are even whatever the ids are, however many there are, and depend on the data alone. A pair's
+    rows stay together."""
+    pairs = ids.groupBy("page_id", "digest").agg(F.sum("n").alias("n"))
+    through = running(pairs, [F.asc_nulls_first("page_id"), F.asc("digest")], position=None, through=("sum", "n"))
+    shard = F.floor((F.col("through") - F.col("n")) / F.lit(size))
+    found = through.groupBy(shard.alias("shard")).agg(F.min(F.struct("page_id", "digest")).alias("first")).orderBy("shard").collect()  # a row a shard
+    return [(r["first"]["page_id"], r["first"]["digest"]) for r in found[1:]]
+
+
+def with_shard(rows: DataFrame, bounds: list[tuple[int | None, str]]) -> DataFrame:
+    """Adds ``shard``: how many bounds are at most the row's (page_id, digest), nulls first; looked up over two levels."""
+    x = F.struct(F.col("page_id").alias("page_id"), F.col("digest").alias("digest"))
+    step = max(1, int(len(bounds) ** 0.5))
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    if len(bounds) <= LITERAL:
+        if not bounds:
+            return rows.withColumn("shard", F.lit(0))
+        part = _at_most(_literal([p[0] for p in parts]), x)
+        return rows.withColumn("shard", F.when(part == 0, 0).otherwise((part - 1) * step + _at_most(F.get(F.array(*map(_literal, parts)), part - 1), x)))
+    kind = "array<struct<page_id:bigint,digest:string>>"
+    fine = rows.sparkSession.createDataFrame([(i + 1, p) for i, p in enumerate(parts)], f"part int, bounds {kind}")
+    fine = F.broadcast(fine) if len(bounds) <= MOST else fine
+    coarse = rows.withColumn("part", _at_most(_literal([p[0] for p in parts]), x))
+    return coarse.join(fine, "part", "left").withColumn("shard", F.when(F.col("part") == 0, 0).otherwise((F.col("part") - 1) * step + _at_most(F.col("bounds"), x))).drop("part", "bounds")
 
 
 def _identity(*parts: object) -> str:
@@ -137,21 +155,22 @@ def write(pages: DataFrame, folder: str, layout: Layout = Layout(), key: str = "
 
     Null html is an empty payload, null url a urn of the page id. Payloads are equal if their SHA-1 and length are. Rows that repeat a
     page id are records of their own; of equal rows one is the response and the others revisit it. Null ids sort first and are the
-    least, of one shard; a group of null ids alone refers to null. Other columns are not read. An empty table gives a manifest without files. The
+    least; a group of null ids alone refers to null. Other columns are not read. An empty table gives a manifest without files. The
     same table gives the same files whatever its partitions and order, but for the order of rows equal in id and payload."""
     spark = pages.sparkSession
     small_batches(spark)
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit("").cast("binary")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    ids = rows.select("page_id", "digest", F.octet_length("payload").alias("n"))
+    ids = keep(rows.select("page_id", "digest", F.octet_length("payload").alias("n")), "ids")  # payloads are read for this, and to be written
     size = ids.agg(F.sum("n")).first()[0] or 0
-    shard, shards = shard_of(ids, -(-size // max(layout.small, min(layout.shard, size // layout.shards))), layout)
+    bounds = bounds_of(ids, max(layout.small, min(layout.shard, size // layout.shards)))
     shared = ids.where(F.col("n") >= layout.least).groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     equal = ids.join(shared, ["digest", "n"]).select("page_id", "digest", "refers_to").distinct()
     # what is known of a page's payload travels to its shard by itself and comes before the page, so payloads are shuffled once
-    known = equal.select(shard.alias("shard"), "page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
-    whole = rows.select(shard.alias("shard"), "page_id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers_to"))
-    dealt = whole.unionByName(known).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "kind", "url")
+    known = equal.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
+    whole = rows.select("page_id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers_to"))
+    every = with_shard(whole.unionByName(known), bounds).select("shard", *whole.columns)
+    dealt = every.repartitionById(len(bounds) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "kind", "url")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, told, before = None, None, None
@@ -177,6 +196,7 @@ def write(pages: DataFrame, folder: str, layout: Layout = Layout(), key: str = "
             yield pa.RecordBatch.from_pylist(files, pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in (x.split() for x in FILES.split(", "))]))
 
     found = sorted((r.asDict() for r in dealt.mapInArrow(run, FILES).collect()), key=lambda r: r["name"])  # a row per file
+    forget(ids)
     system, path = of(folder)
     system.create_dir(path, recursive=True)
     with ThreadPoolExecutor(32) as pool:

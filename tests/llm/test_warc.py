@@ -81,3 +81,27 @@ def test_broken_archives_are_noticed(spark):
     open(path, "wb").write(raw[: len(raw) // 2])
     with pytest.raises(Exception, match="ends within|has .* records"):
         warc.read(spark, folder).collect()
+
+
+def test_thousands_of_shards_of_even_size(spark, monkeypatch):
+    rows = [(None if i % 50 == 0 else 7 if i % 3 == 0 else i, "u", f"{i}-" * (1 + i % 5)) for i in range(1500)]  # a hot id, and null ids
+    layout = warc.Layout(shard=1, small=1)
+    folder = shared_dir(spark, "test")
+    manifest = warc.write(spark.createDataFrame(rows, PAGES).repartition(7), folder, layout)
+    assert len(manifest["files"]) == 1500 and all(f["records"] == 1 for f in manifest["files"])  # a shard a record
+    assert found(warc.read(spark, folder)) == brute(rows)
+    shown = {}
+    for most, literal in ((0, 0), (1 << 20, 0), (0, 1 << 20)):  # looked up by a join, a broadcast, and in the plan
+        monkeypatch.setattr(warc, "MOST", most)
+        monkeypatch.setattr(warc, "LITERAL", literal)
+        folder = shared_dir(spark, "test")
+        warc.write(spark.createDataFrame(rows[:600], PAGES), folder, warc.Layout(shard=200, small=200, shards=10_000))
+        shown[most, literal] = {k: v for k, v in files(folder).items() if k != "manifest.json"}
+    first, *rest = shown.values()
+    assert len(first) > 40 and all(first == other for other in rest)
+
+
+def test_bounds_are_by_bytes(spark):
+    ids = spark.createDataFrame([(i, "d", 1000 if i < 10 else 1) for i in range(2000)], "page_id long, digest string, n int")
+    got = warc.with_shard(ids, warc.bounds_of(ids, 2000)).groupBy("shard").sum("n").orderBy("shard").collect()
+    assert [r["sum(n)"] for r in got] == [2000] * 5 + [1990]
