@@ -16,6 +16,7 @@ from ..operators import attribution, cohort, consensus, enrichment, metrics, rep
 from ..sources import geo, tables
 from . import provenance, study
 from .provenance import FREEZE, FROZEN, Folder, FreezeError, Gate, History
+from .report import freeze_text
 
 LISTS = ("S_cons", "S_top25", "S_top50")
 # The composition panel, its core and its extension.
@@ -107,6 +108,7 @@ def create_freeze(values: DataFrame, run: str | Path | Folder, folder: str | Pat
         "rule": "no gene, size, threshold, preprocessing step or endpoint changes once the second cohort is open, and its results are reported whatever they are",
     }
     folder.put_json(FREEZE, document)
+    folder.put("freeze.md", freeze_text(document))
     return document
 
 

@@ -106,12 +106,18 @@ def stored_fits(spark: SparkSession, folder: Folder, keys: list[str] | None = No
     return spark.read.schema(f"{models.SCHEMA}, identity string").parquet(f"{folder.uri}/fits").where(F.col("identity").isin(own))
 
 
-def run_matrix(values: DataFrame, config: dict, folder: str | Path | Folder, tree: str | Path = ".") -> Folder:
+def run_matrix(values: DataFrame, config: dict, folder: str | Path | Folder, tree: str | Path = ".", titles: DataFrame | None = None) -> Folder:
     """Run the configuration on a tall cohort into ``folder``; fits that the folder has already are not run again.
 
     Tables (Parquet): rankings, predictions, fold_metrics, timings, diagnostics, pipelines, pooled_metrics (not for permuted labels),
-    and the analysis. ``tree`` is the working tree whose state the manifest records."""
+    and the analysis. ``tree`` is the working tree whose state the manifest records. A configuration with ``subset`` ({kind: full, month or
+    random_control; month: yy-mm}) runs on those samples alone; ``titles`` (sample_id, y, title) tell the months."""
     config, folder, spark, clock = checked(config), Folder.of(folder), values.sparkSession, Clock()
+    if part := config.get("subset"):
+        if titles is None:
+            raise ValueError("a subset needs titles")
+        chosen = cohort.subset(titles, part["kind"], part.get("month", ""), config["seed"]).select("sample_id")
+        values = values.join(kept(chosen), "sample_id", "left_semi")
     if exclude := config.get("exclude_genes"):
         values = cohort.without_genes(values, exclude)
     n_splits, labels = config["cv"]["n_splits"], kept(tables.samples(values))

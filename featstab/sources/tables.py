@@ -64,6 +64,13 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), y.alias("y"), F.when(F.col("o_orderkey") % 10 == 0, F.concat(F.lit("Breast cancer, T"), F.col("o_orderkey"))).otherwise(dated).alias("title"))
 
 
+def vector_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_id, y, title of the vectors: two thirds of them were processed in December 2004."""
+    number = F.col("vec_id")
+    month = F.when(number % 3 == 0, F.lit("11")).otherwise(F.lit("12"))
+    return load(spark, sf_dir, "embeddings").select(number.alias("sample_id"), F.when(F.col("label") == 0, 0).otherwise(1).alias("y"), F.concat(F.lit("Breast cancer, T"), number, F.lit("_03_"), month, F.lit("_04")).alias("title"))
+
+
 def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as sample metadata; some fields disagree with the tissue, some tissues are unknown."""
     docs = load(spark, sf_dir, "documents").select("doc_id").join(load(spark, sf_dir, "labels"), "doc_id")
