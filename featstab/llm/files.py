@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 from pyarrow import fs
@@ -44,3 +45,32 @@ def get_array(uri: str) -> np.ndarray:
         return np.load(path, mmap_mode="r")
     with system.open_input_stream(path) as stream:
         return np.load(io.BytesIO(stream.read()))
+
+
+#: Arrays that a worker holds open: so many, far fewer than the maps that a process may have, and so many bytes of those read into memory.
+MOST_OPEN, MOST_READ = 4096, 1 << 28
+
+
+class OpenArrays:
+    """Stored arrays by URI. Those used last stay open; a pickled one begins anew with the same bounds."""
+
+    def __init__(self, most: int | None = None, most_bytes: int | None = None):
+        self.most, self.most_bytes = MOST_OPEN if most is None else most, MOST_READ if most_bytes is None else most_bytes
+        self.held: OrderedDict[str, np.ndarray] = OrderedDict()
+        self.bytes = 0
+
+    def __reduce__(self):
+        return OpenArrays, (self.most, self.most_bytes)
+
+    @staticmethod
+    def _read(array: np.ndarray) -> int:
+        return 0 if isinstance(array, np.memmap) else array.nbytes
+
+    def __call__(self, uri: str) -> np.ndarray:
+        if uri not in self.held:
+            self.held[uri] = get_array(uri)
+            self.bytes += self._read(self.held[uri])
+            while len(self.held) > 1 and (len(self.held) > self.most or self.bytes > self.most_bytes):
+                self.bytes -= self._read(self.held.popitem(last=False)[1])
+        self.held.move_to_end(uri)
+        return self.held[uri]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import buckets_for, fold, shared_dir, small_batches, table
-from .files import get_array, put_array
+from .files import OpenArrays, put_array
 from .words import END, token_stream
 
 #: Tokens that a task counts before it hands them on, and looks up at a time; bytes of input for a word bucket and bigram tokens for a
@@ -110,16 +110,10 @@ class Model:
     n_bigrams: int
     by_bigrams: list[int]  # bigrams seen 1 to 4 times
     by_words: list[int]  # words with 1 to 4 different words before them; then with 3 or more
-    open: dict = field(default_factory=dict, repr=False)
-
-    def __getstate__(self):
-        return self.__dict__ | {"open": {}}
+    open: OpenArrays = field(default_factory=OpenArrays, repr=False)
 
     def array(self, name: str, bucket: int) -> np.ndarray:
-        key = (name, bucket)
-        if key not in self.open:
-            self.open[key] = get_array(f"{self.path}/{name}-{bucket:06d}.npy")
-        return self.open[key]
+        return self.open(f"{self.path}/{name}-{bucket:06d}.npy")
 
     @property
     def n_words(self) -> int:

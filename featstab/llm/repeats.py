@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, buckets_for, shared_dir, small_batches, table, utf8
-from .files import get_array, put_array
+from .files import OpenArrays, put_array
 from .lm import dealt, pack, scattered, unpack
 
 #: Bytes of the k-grams that can be anchors; positions taken at a time; contents from which on an anchor counts as frequent;
@@ -201,19 +201,14 @@ class Stored:
     buckets: int
     index_buckets: int = 0
     held: dict[str, set[int]] = field(default_factory=dict)
-    open: dict = field(default_factory=dict, repr=False)
-
-    def __getstate__(self):
-        return self.__dict__ | {"open": {}}
+    open: OpenArrays = field(default_factory=OpenArrays, repr=False)
 
     def put(self, name: str, bucket: int, *arrays: np.ndarray) -> None:
         for k, a in enumerate(arrays):
             put_array(f"{self.path}/{name}-{bucket:06d}-{k}.npy", a)
 
     def array(self, name: str, bucket: int, k: int = 0) -> np.ndarray:
-        if (name, bucket, k) not in self.open:
-            self.open[name, bucket, k] = get_array(f"{self.path}/{name}-{bucket:06d}-{k}.npy")
-        return self.open[name, bucket, k]
+        return self.open(f"{self.path}/{name}-{bucket:06d}-{k}.npy")
 
     def found(self, name: str, keys: np.ndarray, buckets: int) -> np.ndarray:
         """Where the keys are in their bucket's array, -1 if they aren't."""
