@@ -16,7 +16,7 @@ def test_nothing_else_imports_it():
 
 def test_entry_without_it(tmp_path):
     code = "import __spark_entry__ as e; print(sum(n.startswith('op') or n == 'pipeline' for n in e.queries()), len(e.queries()) > 50, set(e.oracle_sql()) <= set(e.queries()))"
-    for name in ("featstab", "__spark_entry__.py"):
+    for name in ("featstab", "jobs", "__spark_entry__.py"):
         (tmp_path / name).symlink_to(ROOT / name) if name.endswith(".py") else subprocess.run(["cp", "-r", ROOT / name, tmp_path / name], check=True)
     subprocess.run(["rm", "-r", tmp_path / "featstab" / "llm"], check=True)
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
