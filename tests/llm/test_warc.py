@@ -83,7 +83,7 @@ def test_broken_archives_are_noticed(spark):
         warc.read(spark, folder).collect()
 
 
-def test_thousands_of_shards_of_even_size(spark, monkeypatch):
+def test_many_shards_of_even_size(spark, monkeypatch):
     rows = [(None if i % 50 == 0 else 7 if i % 3 == 0 else i, "u", f"{i}-" * (1 + i % 5)) for i in range(1500)]  # a hot id, and null ids
     layout = warc.Layout(shard=1, small=1)
     folder = shared_dir(spark, "test")
@@ -95,7 +95,7 @@ def test_thousands_of_shards_of_even_size(spark, monkeypatch):
         monkeypatch.setattr(warc, "MOST", most)
         monkeypatch.setattr(warc, "LITERAL", literal)
         folder = shared_dir(spark, "test")
-        warc.write(spark.createDataFrame(rows[:600], PAGES), folder, warc.Layout(shard=200, small=200, shards=10_000))
+        warc.write(spark.createDataFrame(rows[:600], PAGES), folder, warc.Layout(shard=100, small=100, shards=10_000))
         shown[most, literal] = {k: v for k, v in files(folder).items() if k != "manifest.json"}
     first, *rest = shown.values()
     assert len(first) > 40 and all(first == other for other in rest)
