@@ -150,3 +150,88 @@ def test_heavy_keys_join_like_others(spark, monkeypatch):
     edges = spark.createDataFrame([(50, i) for i in range(100, 140)] + [(7, 100), (139, 60), (200, 201)], "a long, b long")
     label = {r.node: r.label for r in components(edges).collect()}
     assert label == {n: 7 for n in (7, 50, 60, *range(100, 140))} | {200: 200, 201: 200}
+
+
+def test_bands_lose_no_pair_of_random_sets():
+    """Of 4000 pairs of similarity 0.80 to 0.85, of small and large sets, some 0.02 are expected to share no band."""
+    rng = np.random.default_rng(7)
+    for k in range(4000):
+        own = int(rng.integers(3, 40))  # of each side alone
+        size = round(own * rng.uniform(9, 12.3))
+        hashes = rng.integers(0, 1 << 64, size + own, dtype=np.uint64)
+        a, b = simhash.bands(hashes[:size]), simhash.bands(hashes[own:])
+        assert 0.79 < (size - own) / (size + own) < 0.86
+        assert (a == b).any()
+
+
+def test_bands_of_empty_and_long_sets():
+    assert (simhash.bands(np.empty(0, np.uint64)) == simhash.bands(np.empty(0, np.uint64))).all()
+    rng = np.random.default_rng(2)
+    long = rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    assert (simhash.bands(long) == simhash.bands(rng.permutation(long))).all()
+    assert len(set(simhash.bands(long).tolist())) == simhash.BANDS
+
+
+def banded(spark, texts):
+    rows = [(k.to_bytes(4, "big"), bytes(32), simhash.bands(np.unique(simhash.shingle_hashes(t.encode(), 5))).tolist()) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "node binary, fp binary, bands array<long>").withColumn("joined", F.xxhash64("node"))
+
+
+def test_tiles_grow_with_alike_texts_and_not_with_their_square(spark):
+    """Texts of like size that share a passage meet hardly ever; groups of copies meet within themselves."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"shared{i}" for i in range(40))
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    pairs = []
+    for n in (200, 800):
+        texts = [f"{words(160)} {passage}" for _ in range(n)]
+        texts += [f"{t} again" for t in texts[: n // 10]]
+        sizes = simhash.band_tiles(banded(spark, texts), 0, simhash.BANDS).groupBy("t", "u").count().collect()
+        pairs.append(sum(r["count"] * (r["count"] - 1) // 2 for r in sizes) / n)
+    assert pairs[1] < 2 * pairs[0] and pairs[1] < 20
+
+
+def test_tiles_of_joined_rows_are_left_out(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = banded(spark, [text, f"{text} a", f"{text} b", "other words that nothing else has here"])
+    assert simhash.band_tiles(rows, 0, simhash.BANDS).select("node").distinct().count() == 3
+    assert simhash.band_tiles(rows.withColumn("joined", F.lit(1).cast("long")), 0, simhash.BANDS).count() == 0
+
+
+def brute_similar(texts, similarity=0.8):
+    sets = shingle_sets(texts)
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= similarity * len(a | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {frozenset(i for i in range(len(texts)) if find(i) == r) for r in {find(i) for i in range(len(texts))}}
+
+
+@pytest.mark.parametrize(("tile", "first"), [(4, 1), (8192, 4), (8192, 0)])
+def test_chains_groups_and_singles_equal_brute_force(spark, monkeypatch, tile, first):
+    """Chains of which only neighbours are alike, groups of many copies (over SMALL in a tile), copies that only a late band joins."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "SMALL", 6)
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    monkeypatch.setattr(simhash, "FIRST", first)
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(3):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+        for step in range(8):  # each replaces 20 words more than the one before
+            texts.append(" ".join([*(f"new{step}x{i}" for i in range(20 * step)), *base[20 * step :]]))
+    group = [f"g{x}" for x in rng.integers(0, 10**6, 200)]
+    texts += [" ".join([*group[:i], "edited", *group[i + 1 :]]) for i in range(0, 200, 5)] + [" ".join(group)] * 5
+    texts += [" ".join(f"s{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(10)]
+    label = {r.doc_id: r.label for r in simhash.similar(documents(spark, list(enumerate(texts)))).collect()}
+    got = {}
+    for k, v in label.items():
+        got.setdefault(v, set()).add(k)
+    assert set(map(frozenset, got.values())) == brute_similar(texts)
