@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from featstab.operators import attribution, membership, splits
+from featstab.operators import attribution, membership, preprocess, splits
 from featstab.plans.study import FOLD, N_SPLITS, Study
 from featstab.sources import tables
 
@@ -54,3 +54,16 @@ def test_missing_classes_and_samples(spark, study):
     with pytest.raises(Exception, match="lacks samples"):
         membership.fold_attributions(values.where("sample_id > 5"), one, state).collect()
     assert membership.fold_attributions(study.values, study.folds, study.state.where("false")).collect() == []
+
+
+def test_permutations_drawn_in_the_task_are_those_of_the_table(study):
+    moves = splits.permutations(splits.training(study.labels.select("sample_id"), study.folds, N_SPLITS), 3, 7)
+    shown = lambda d: sorted((r["repeat"], r["fold"], r["gene"], round(r["raw"], 12)) for r in d.collect())
+    assert shown(membership.fold_attributions(study.values, study.folds, study.state, moves)) == shown(membership.fold_attributions(study.values, study.folds, study.state, draws=(3, 7)))
+
+
+def test_folds_do_not_go_to_every_task(study):
+    """What grows with the samples is joined by sorted samples, however small it is taken for."""
+    rows = [splits.testing(study.values, study.folds), splits.training(study.values, study.folds, N_SPLITS), preprocess.fold_probes(study.values, study.folds, study.floor, N_SPLITS)]
+    for plan in (d._jdf.queryExecution().toString().split("Physical Plan")[1] for d in rows):
+        assert not [line for line in plan.splitlines() if "Broadcast" in line and "Join" in line and "sample_id" in line] and "SortMergeJoin [sample_id" in plan
