@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prefix import running
 from ..functions.scalars import keyed
 
 #: Tissues and their labels.
@@ -83,8 +84,8 @@ def subset(samples: DataFrame, kind: str, month: str, seed: int = 42) -> DataFra
     if kind != "random_control":
         raise ValueError(kind)
     n = dated.where(F.col("month") == month).groupBy("y").agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy("y").orderBy(keyed(seed, F.col("sample_id")), "sample_id")
-    return dated.withColumn("_i", F.row_number().over(order)).join(n, "y").where("_i <= _n").drop("_i", "_n")
+    drawn = running(dated.withColumn("_key", keyed(seed, F.col("sample_id"))), [F.col("_key"), F.col("sample_id")], ("y",), position="_i")
+    return drawn.join(F.broadcast(n), "y").where("_i <= _n").select(*dated.columns)  # n: a row a class
 
 
 def without_genes(values: DataFrame, genes: Sequence[str]) -> DataFrame:
