@@ -1,18 +1,17 @@
 """A first look at a cohort's matrix: scale with exact quantiles, floor, copies, and the samples that correlate most.
 
 Values are tall rows (sample_id, probe_id, x). Nothing here gathers a matrix: quantiles come from running counts of values, samples are
-compared through partial Gram matrices of blocks of probes and samples.
+compared block by block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kept import kept
 from ..functions.prefix import running
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -69,54 +68,69 @@ def copies(values: DataFrame, digits: int | None = None) -> DataFrame:
     return one.join(many, "digest").select("digest", "sample_id", "n")
 
 
-def nearest_samples(values: DataFrame, samples: int = 256, probes: int = 4096) -> DataFrame:
+#: Blocks of samples that nearest_samples() makes, if they have LEAST samples then; tasks that a block's products are dealt to; rows of a tile.
+BLOCKS, LEAST, SHARES, TILE = 24, 256, 4, 1024
+
+
+def best_of_pair(x: np.ndarray, y: np.ndarray, same: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(own rows, nearest row of the other, r) of the rows of ``x`` and, unless both are the ``same``, of ``y``; ties to the first row. Rows
+    with NaN have none and are nobody's nearest. Products are made and looked at in tiles."""
+    least = -np.inf
+    best = [(np.full(len(m), least), np.zeros(len(m), dtype=np.int64)) for m in (x, y)]
+    void = [np.isnan(m[:, :1]).any(1) for m in (x, y)]
+    for i in range(0, len(x), TILE):
+        for j in range(0, len(y), TILE):
+            tile = np.round(x[i : i + TILE] @ y[j : j + TILE].T, 12)
+            tile[void[0][i : i + TILE]] = least
+            tile[:, void[1][j : j + TILE]] = least
+            if same and i == j:
+                np.fill_diagonal(tile, least)
+            for (r, at), axis, own, other in ((best[0], 1, i, j), (best[1], 0, j, i))[: 1 if same else 2]:
+                k = tile.argmax(axis)
+                most = np.take_along_axis(tile, np.expand_dims(k, axis), axis).ravel()
+                part = slice(own, own + len(most))
+                better = most > r[part]
+                r[part][better], at[part][better] = most[better], k[better] + other
+    return [(np.flatnonzero(~np.isinf(r)), at[~np.isinf(r)], r[~np.isinf(r)]) for r, at in best[: 1 if same else 2]]
+
+
+def nearest_samples(values: DataFrame, samples: int = 16384, probes: int = 256) -> DataFrame:
     """sample_id, nearest, r: the other sample with the largest Pearson correlation, ties to the smaller id; samples without variance or
     without another have null.
 
-    Values are standardised by sample. A block holds ``samples`` samples by about ``probes`` probes, dealt by hash; two blocks of the same
-    probes give a part of the Gram matrix, and the parts of a pair of sample blocks, as many as there are blocks of probes, are added.
+    Values are standardised by sample. A block holds at most ``samples`` samples and ``samples`` times ``probes`` values, whatever the number of
+    probes. Two blocks meet in one task, which returns only each sample's best of them: products are neither stored nor shuffled. A block is
+    copied for each later one, so that what is shuffled is the values times half the number of blocks.
     Every sample must have every probe once: another count of cells fails the job, as a part of a matrix would pass for a whole one."""
     w = Window.partitionBy("sample_id")
     numbers = running(values.select("sample_id").distinct(), [F.col("sample_id")], position="number")
     n_samples, n_probes, cells = values.agg(F.countDistinct("sample_id"), F.countDistinct("probe_id"), F.count("x")).first()
     if cells != n_samples * n_probes or cells != values.count():
         raise ValueError(f"{cells} values are not {n_probes} probes of each of {n_samples} samples")
-    parts = -(-max(n_probes, 1) // probes)
+    size = max(1, min(samples, samples * probes // max(n_probes, 1), max(LEAST, -(-n_samples // BLOCKS))))
     norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(w))
     centred = values.select("sample_id", "probe_id", (F.col("x") - F.avg("x").over(w)).alias("c"))
     z = centred.select("sample_id", "probe_id", F.when(norm > 1e-12, F.col("c") / F.when(norm > 1e-12, norm)).alias("z"))
-    dealt = z.join(numbers, "sample_id").select(F.floor((F.col("number") - 1) / samples).alias("a"), ((F.col("number") - 1) % samples).cast("int").alias("i"), F.pmod(F.xxhash64("probe_id"), F.lit(parts)).alias("part"), "probe_id", "z")
+    cells = F.sort_array(F.collect_list(F.struct("probe_id", F.coalesce("z", F.lit(float("nan"))).alias("z"))))
+    rows = z.groupBy("sample_id").agg(cells.alias("cells")).join(numbers.hint("merge"), "sample_id")
+    dealt = rows.select(F.floor((F.col("number") - 1) / size).alias("a"), ((F.col("number") - 1) % size).cast("int").alias("i"), F.col("cells.z").alias("z"))
 
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("i", "ascending"), ("probe_id", "ascending")])
-        return pa.table({"a": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()), "n": pa.array([len(pa.compute.unique(rows.column("i")))], pa.int32()), "z": pa.array([rows.column("z").fill_null(np.nan).to_numpy().tobytes()], pa.binary())})
-
-    def multiply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "m", "z", "z2")), strict=True):
-                gram = np.frombuffer(x).reshape(n, -1) @ np.frombuffer(y).reshape(m, -1).T
-                yield pa.RecordBatch.from_pydict({"a": pa.array([a], pa.int64()), "b": pa.array([b], pa.int64()), "n": pa.array([n], pa.int32()), "gram": pa.array([gram.tobytes()], pa.binary())})
+        z = rows.sort_by("i").column("z").combine_chunks().flatten()
+        return pa.table({"a": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([len(rows)], pa.int32()), "z": pa.array([z.to_numpy().tobytes()], pa.binary())})
 
-    def best(key: tuple, rows: pa.Table) -> pa.Table:
+    def best(key: tuple, pair: pa.Table) -> pa.Table:
         a, b = key[0].as_py(), key[1].as_py()
-        n = rows.column("n")[0].as_py()
-        total = np.round(sum(np.frombuffer(g.as_buffer()) for g in rows.column("gram")).reshape(n, -1), 12)
-        total = np.where(np.isnan(total), -np.inf, total)
-        if a == b:
-            np.fill_diagonal(total, -np.inf)
-        out = []
-        for own, other, m in ((a, b, total), (b, a, total.T)) if a != b else ((a, b, total),):
-            at = m.argmax(1)
-            out.append((own * samples + np.arange(len(m)) + 1, other * samples + at + 1, m[np.arange(len(m)), at]))
+        x, y = (np.frombuffer(pair.column(c)[0].as_buffer()).reshape(pair.column(n)[0].as_py(), -1) for c, n in (("z", "n"), ("z2", "m")))
+        out = [(own * size + at + 1, other * size + near + 1, r) for (own, other), (at, near, r) in zip(((a, b), (b, a)), best_of_pair(x, y, a == b), strict=False)]
         number, near, r = (np.concatenate(c) for c in zip(*out, strict=True))
-        some = ~np.isinf(r)
-        return pa.table({"number": pa.array(number[some], pa.int64()), "near": pa.array(near[some], pa.int64()), "r": pa.array(r[some], pa.float64())})
-
-    blocks = dealt.groupBy("a", "part").applyInArrow(pack, "a long, part long, n int, z binary")
-    last = (max(n_samples, 1) - 1) // samples
-    left = blocks.select("a", "part", "n", "z", F.explode(F.sequence(F.col("a"), F.lit(last).cast("long"))).alias("b"))
-    right = blocks.select(F.col("a").alias("b"), "part", F.col("n").alias("m"), F.col("z").alias("z2"))
-    grams = left.join(right, ["b", "part"]).mapInArrow(multiply, "a long, b long, n int, gram binary")
-    found = grams.groupBy("a", "b").applyInArrow(best, "number long, near long, r double").groupBy("number").agg(F.max(F.struct("r", (-F.col("near")).alias("near"))).alias("best"))
+        return pa.table({"number": pa.array(number, pa.int64()), "near": pa.array(near, pa.int64()), "r": pa.array(r, pa.float64())})
+
+    blocks = kept(dealt.groupBy("a").applyInArrow(pack, "a long, n int, z binary"))
+    last = (max(n_samples, 1) - 1) // size
+    left = blocks.select("a", "n", "z", F.explode(F.sequence(F.col("a"), F.lit(last).cast("long"))).alias("b"), F.pmod("a", F.lit(SHARES)).cast("int").alias("share"))
+    right = blocks.select(F.col("a").alias("b"), F.col("n").alias("m"), F.col("z").alias("z2"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    pairs = left.join(right.hint("merge"), ["b", "share"])
+    found = pairs.groupBy("a", "b", "share").applyInArrow(best, "number long, near long, r double").groupBy("number").agg(F.max(F.struct("r", (-F.col("near")).alias("near"))).alias("best"))  # a pair a group
     ids = numbers.select(F.col("number").alias("near"), F.col("sample_id").alias("nearest"))
     return numbers.join(found.select("number", (-F.col("best.near")).alias("near"), "best.r"), "number", "left").join(ids, "near", "left").select("sample_id", "nearest", "r")
