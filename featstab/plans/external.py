@@ -186,14 +186,16 @@ def composition(frozen: DataFrame, cohorts: dict[str, DataFrame], panel: tuple[s
 
 
 def transfer(disc: DataFrame, units: DataFrame, genes: DataFrame, n_boot: int = 0, seed: int = 42) -> DataFrame:
-    """One row: metrics, with intervals if ``n_boot``, of a logistic regression on the discovery cohort's own z, applied to the second's."""
+    """One row: metrics, with intervals if ``n_boot``, of a logistic regression on the discovery cohort's own z, applied to the second's,
+    and the second's units, all and normal ones."""
     from ..operators import models
 
     shown = lambda rows: replication.within_cohort_z(rows.join(genes, "gene", "left_semi")).withColumn("repeat", F.lit(0)).withColumn("fold", F.lit(0))
     numbered = units.withColumn("sample_id", F.pmod(F.xxhash64(F.col("sample_id").cast("string")), F.lit(1 << 62)))
     found = models.fit_folds(models.packed(shown(disc), shown(numbered)), [{"id": "logreg", "model": "logreg", "explainers": ()}], 0, seed)
     predicted = kept(models.predictions(found).drop("repeat", "fold"))
-    out = metrics.classification(predicted, ["config"])
+    sizes = predicted.groupBy("config").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 0).alias("n_normal"))
+    out = metrics.classification(predicted, ["config"]).join(sizes, "config")
     if n_boot:
         boot = metrics.bootstrap(predicted, splits.bootstrap_weights(tables.samples(predicted), n_boot, seed), ["config"])
         out = out.join(metrics.percentile_interval(boot, ["config"], ["roc_auc", "ap_normal", "balanced_accuracy"]), "config")
