@@ -135,7 +135,7 @@ def gene_level(frozen: DataFrame, units: DataFrame, n_boot: int = 0, seed: int =
     counts = tables.samples(units).agg(F.count(F.lit(1)).alias("n_units"), F.count_if(F.col("y") == 0).alias("n_normal"))
     out = point.join(agree).join(counts)  # one row each
     if n_boot:
-        draws = replication.weighted_auc(units, splits.bootstrap_weights(tables.samples(units), n_boot, seed)).withColumnRenamed("auc", "auc_ext")
+        draws = replication.weighted_auc(units, splits.Draws(tables.samples(units), n_boot, seed)).withColumnRenamed("auc", "auc_ext")
         rows = draws.join(p.select("gene", "s", "e_disc"), "gene")
         out = out.join(metrics.percentile_interval(replication.c1_c2(rows, ["b"]), [], ["c1", "c1_selected", "c2_stability", "c2_partial"]))
     return out
@@ -144,7 +144,7 @@ def gene_level(frozen: DataFrame, units: DataFrame, n_boot: int = 0, seed: int =
 def signature_intervals(scores: DataFrame, n_boot: int, seed: int, by: tuple[str, ...] = ("list",)) -> DataFrame:
     """by, signature_auc_lo, signature_auc_hi: percentile interval of a score's AUC over stratified resamples of its samples; predicted
     is what lies over the median."""
-    boot = metrics.bootstrap(scores.withColumn("pred", F.lit(0)), splits.bootstrap_weights(tables.samples(scores), n_boot, seed), list(by))
+    boot = metrics.bootstrap(scores.withColumn("pred", F.lit(0)), splits.Draws(tables.samples(scores), n_boot, seed), list(by))
     return metrics.percentile_interval(boot.withColumnRenamed("roc_auc", "signature_auc"), list(by), ["signature_auc"])
 
 
@@ -197,7 +197,7 @@ def transfer(disc: DataFrame, units: DataFrame, genes: DataFrame, n_boot: int =
     sizes = predicted.groupBy("config").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 0).alias("n_normal"))
     out = metrics.classification(predicted, ["config"]).join(sizes, "config")
     if n_boot:
-        boot = metrics.bootstrap(predicted, splits.bootstrap_weights(tables.samples(predicted), n_boot, seed), ["config"])
+        boot = metrics.bootstrap(predicted, splits.Draws(tables.samples(predicted), n_boot, seed), ["config"])
         out = out.join(metrics.percentile_interval(boot, ["config"], ["roc_auc", "ap_normal", "balanced_accuracy"]), "config")
     return out
 
